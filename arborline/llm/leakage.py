@@ -33,8 +33,12 @@ WALKS, TABLES, PLACES = 6, 4, 4
 #: Steps of a walk: the pointer moves half a word a step.
 STEPS = 2 * WINDOW
 
-#: Words of a candidate window that must stand near the item's diagonal before the alignment is made.
-NEAR = 11
+#: Words of a candidate window that must stand near the item's diagonal before the alignment is made: a window within a run
+#: of RUN words with its three edits has as many.
+NEAR = 13
+
+#: Bits of the filter in front of a table (small enough for a processor's cache), documents gone through at a time.
+SIEVE, PIECE = 18, 250
 
 #: Greatest number of item words held by a task at a time; more items are looked for block by block.
 BLOCK_WORDS = 2_000_000
@@ -93,7 +97,7 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     factors = rng.integers(0, 2**63, (WALKS * TABLES, PLACES), np.uint64) | np.uint64(1)
     starts = np.concatenate([np.arange(a, b - WINDOW + 1) for a, b in zip(offset[:-1], offset[1:]) if b - a >= WINDOW] or [np.zeros(0, np.int64)])
     keys, windows = [], []
-    sieve = np.zeros((WALKS * TABLES, 1 << 20), bool)
+    sieve = np.zeros((WALKS * TABLES, 1 << SIEVE), bool)
     for w in range(WALKS):
         codes = _codes(flat, starts, bits[w])
         for t in range(w * TABLES, (w + 1) * TABLES):
@@ -101,7 +105,7 @@ def build_index(items: list[tuple[int, str]]) -> Index:
             order = np.argsort(k, kind="stable")
             keys.append(k[order])
             windows.append(starts[order])
-            sieve[t, (k >> np.uint64(44)).astype(np.int64)] = True
+            sieve[t, (k >> np.uint64(64 - SIEVE)).astype(np.int64)] = True
     return Index(vocabulary, flat, offset, [i for i, _ in items], owner, bits, places, factors, keys, windows, sieve)
 
 
@@ -112,7 +116,7 @@ def _candidates(ix: Index, flat: np.ndarray, starts: np.ndarray) -> tuple[np.nda
         codes = _codes(flat, starts, ix.bits[w])
         for t in range(w * TABLES, (w + 1) * TABLES):
             k = _table_keys(codes, ix.places[t], ix.factors[t])
-            maybe = np.flatnonzero(ix.sieve[t, (k >> np.uint64(44)).astype(np.int64)])
+            maybe = np.flatnonzero(ix.sieve[t, (k >> np.uint64(64 - SIEVE)).astype(np.int64)])
             if not len(maybe):
                 continue
             a = np.searchsorted(ix.keys[t], k[maybe], "left")
@@ -129,12 +133,12 @@ def _candidates(ix: Index, flat: np.ndarray, starts: np.ndarray) -> tuple[np.nda
 
 
 def _near(ix: Index, flat: np.ndarray, d: np.ndarray, i: np.ndarray) -> np.ndarray:
-    """Whether at least NEAR words of the item's window stand within two words of their place in the document."""
+    """Whether at least NEAR words of the item's window stand within three words of their place in the document."""
     n = np.zeros(len(d), np.int64)
     for j in range(WINDOW):
         w = ix.flat[i + j]
         hit = np.zeros(len(d), bool)
-        for s in (-2, -1, 0, 1, 2):
+        for s in range(-3, 4):
             hit |= flat[np.clip(d + j + s, 0, len(flat) - 1)] == w
         n += hit
     return n >= NEAR
@@ -255,8 +259,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, block_words: int = BLOC
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                for k in range(0, len(batch), 1000):
-                    piece = batch.iloc[k : k + 1000]
+                for k in range(0, len(batch), PIECE):
+                    piece = batch.iloc[k : k + PIECE]
                     yield pd.DataFrame(search_batch(index.value, piece["doc_id"].tolist(), piece["text"].tolist()), columns=["doc_id", "item_id"])
 
         found = rows.mapInPandas(run, schema)

@@ -15,7 +15,7 @@ _LINK = re.compile(r"\]\((?:https?:|/|#|\./)[^)\s]*\)")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑¬]\s*\n\s*(?=[^\W\d_])")
 _DAMAGED = re.compile("â€[\u0080-¿™œ“”˜¦¢\"]?")
 _APART = re.compile(r"[^\w\s.,'’\-‐‑]|_")
-_INSIDE = re.compile(r"[^\w]+")
+_INSIDE = re.compile(r"[^\w\s]+")
 
 
 def plain(text: str) -> str:
@@ -44,5 +44,4 @@ def words(text: str | None) -> list[str]:
     """The words of a text: runs between blanks, without case, accents, markup and punctuation (also that within a word)."""
     if not text:
         return []
-    text = _APART.sub(" ", fold(plain(text)))
-    return [w for w in (_INSIDE.sub("", x) for x in text.split()) if w]
+    return _INSIDE.sub("", _APART.sub(" ", fold(plain(text)))).split()
