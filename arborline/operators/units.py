@@ -84,7 +84,7 @@ def read_units(calibrations: DataFrame) -> DataFrame:
     ``evidence`` (number of pieces) and ``factor``: the one that holds, null if there is none or if they disagree.
     NaN, infinite, zero and negative factors are no evidence. A unit word counts in any case, with or without a point.
     """
-    rows = calibrations.dropDuplicates(["calibration_id", "recorded_at", "mm_per_mesh_unit", "declared_unit", "raw_declaration", "coordinate_unit", "scale", "scale_text", "remark", "minimum_x", "minimum_y", "minimum_z"])
+    rows = calibrations.select("calibration_id", "sample_id", "recorded_at", "source", "mm_per_mesh_unit", "declared_unit", "raw_declaration", "coordinate_unit", "minimum_x", "minimum_y", "minimum_z", "scale", "scale_text", "remark").distinct()
     mesh = finite("mm_per_mesh_unit")
     mesh = F.when(mesh > 0, mesh)
     words = [

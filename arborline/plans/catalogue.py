@@ -148,7 +148,7 @@ def polyline_tangents(s: SparkSession, d: str) -> DataFrame:
 
 _window = with_sql("nodes", "arcs", "segs") + """, tot AS (SELECT root_id, sum(length) AS total FROM segs GROUP BY root_id HAVING sum(length) > 0),
 att AS (SELECT root_id, total - least(40.0, total * 0.25) AS low, total AS high FROM tot),
-hit AS (SELECT s.*, a.low, a.high, a.total, CASE WHEN arc <= low + 1e-9 * total AND low <= arc + length + 1e-9 * total AND length > 0 THEN greatest(0.0, least(1.0, (low - arc) / length)) END AS tl, CASE WHEN arc <= high + 1e-9 * total AND high <= arc + length + 1e-9 * total AND length > 0 THEN greatest(0.0, least(1.0, (high - arc) / length)) END AS th FROM segs s JOIN att a USING (root_id)),
+hit AS (SELECT s.*, a.low, a.high, CASE WHEN arc <= low + 1e-9 * a.high AND low <= arc + length + 1e-9 * a.high AND length > 0 THEN greatest(0.0, least(1.0, (low - arc) / length)) END AS tl, CASE WHEN arc <= high + 1e-9 * a.high AND high <= arc + length + 1e-9 * a.high AND length > 0 THEN greatest(0.0, least(1.0, (high - arc) / length)) END AS th FROM segs s JOIN att a USING (root_id)),
 w AS (SELECT root_id, arg_min(ax + (bx - ax) * tl, seg_id) FILTER (tl IS NOT NULL) AS lx, arg_min(ay + (by_ - ay) * tl, seg_id) FILTER (tl IS NOT NULL) AS ly, arg_min(az + (bz - az) * tl, seg_id) FILTER (tl IS NOT NULL) AS lz,
  arg_min(ax + (bx - ax) * th, seg_id) FILTER (th IS NOT NULL) AS hx, arg_min(ay + (by_ - ay) * th, seg_id) FILTER (th IS NOT NULL) AS hy, arg_min(az + (bz - az) * th, seg_id) FILTER (th IS NOT NULL) AS hz FROM hit GROUP BY root_id)
 """
@@ -427,3 +427,182 @@ def flag_texts(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT sample_id, CAST(date_trunc('day', measured_at) AS DATE) AS day, count(*) AS n FROM traits GROUP BY ALL")
 def measurements_by_day(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "traits").groupBy("sample_id", F.col("measured_at").cast("date").alias("day")).agg(F.count("*").alias("n"))
+
+
+# Ownership and kernels, one specimen per label of the vertices
+
+
+@query(with_sql("vertices") + _pieces + """, lab AS (SELECT v.id, CAST(CASE WHEN t.owner IS NULL THEN -1 WHEN t.rival_distance - t.distance <= 0.02 THEN -2 ELSE t.owner END AS INTEGER) AS label FROM vertices v LEFT JOIN two t ON t.id = v.id)
+SELECT count(*) AS vertices, count(*) FILTER (label = 0) AS "primary", count(*) FILTER (label > 0) AS lateral, count(*) FILTER (label = -1) AS unassigned, count(*) FILTER (label = -2) AS uncertain, count(*) FILTER (label <= -3) AS other FROM lab""")
+def assignment_summary(s: SparkSession, d: str) -> DataFrame:
+    from arborline.operators import ownership
+
+    v = vertices(s, d)
+    two = spatial.assign(spatial.nearest_two_owners(v, _owner_pieces(s, d), 0.15), 0.02)
+    return ownership.assignment_summary(v.select("id").join(two.select("id", "label"), "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label")))
+
+
+@query()
+def label_patches(s: SparkSession, d: str) -> DataFrame:
+    """Patches of one label over the edges of near vertices."""
+    from arborline.operators import ownership
+
+    v = vertices(s, d)
+    return ownership.patch_table(spatial.knn_graph(v, NEIGHBOURS).select("u", "v"), v.select("id", "label"))
+
+
+@query()
+def component_volumes(s: SparkSession, d: str) -> DataFrame:
+    return rounded(mesh.component_volumes(faces(s, d), vertices(s, d)), 4)
+
+
+def _kernel(s: SparkSession, d: str, kernel: Callable, schema: str) -> DataFrame:
+    from arborline.operators.kernels import grouped
+
+    return grouped(vertices(s, d), "label", kernel, schema)
+
+
+def _sorted(pdf):
+    pdf = pdf.sort_values("id", ignore_index=True)
+    return pdf, pdf[["x", "y", "z"]].to_numpy()
+
+
+@query()
+def shortest_path(s: SparkSession, d: str) -> DataFrame:
+    """The path from the highest to the lowest vertex of each specimen over its neighbour graph."""
+
+    def run(pdf):
+        import pandas as pd
+
+        from arborline.operators import kernels
+
+        pdf, p = _sorted(pdf)
+        path = kernels.path_between(p, int(p[:, 2].argmax()), int(p[:, 2].argmin()), 6)
+        return pd.DataFrame({"place": range(len(path)), "id": pdf["id"].to_numpy()[path]})
+
+    return _kernel(s, d, run, "place long, id long")
+
+
+@query()
+def cluster_density(s: SparkSession, d: str) -> DataFrame:
+    def run(pdf):
+        from arborline.operators import kernels
+
+        pdf, p = _sorted(pdf)
+        return pdf[["id"]].assign(cluster=kernels.density_clusters(p, 5))
+
+    return _kernel(s, d, run, "id long, cluster long")
+
+
+@query()
+def convex_hull(s: SparkSession, d: str) -> DataFrame:
+    """Depth, width and hull volume of each specimen."""
+
+    def run(pdf):
+        import pandas as pd
+
+        from arborline.operators import kernels
+
+        _, p = _sorted(pdf)
+        return pd.DataFrame([(float(p[:, 2].max() - p[:, 2].min()), kernels.hull_width(p[:, :2]), kernels.hull_volume(p))], columns=["depth", "width", "volume"])
+
+    return rounded(_kernel(s, d, run, "depth double, width double, volume double"))
+
+
+@query()
+def landmarks(s: SparkSession, d: str) -> DataFrame:
+    def run(pdf):
+        import pandas as pd
+
+        from arborline.operators import kernels
+
+        pdf, p = _sorted(pdf)
+        return pd.DataFrame([(k, int(pdf["id"][i])) for k, i in enumerate(kernels.farthest_points(p, 8))], columns=["place", "id"])
+
+    return _kernel(s, d, run, "place long, id long")
+
+
+@query()
+def distinct_top(s: SparkSession, d: str) -> DataFrame:
+    """The highest vertices that keep a distance from each other."""
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        from arborline.operators import kernels
+
+        pdf, p = _sorted(pdf)
+        keep = kernels.spread_out(p, np.lexsort((pdf["id"], -p[:, 2])), 10, 0.1)
+        return pd.DataFrame({"place": range(len(keep)), "id": pdf["id"].to_numpy()[keep]})
+
+    return _kernel(s, d, run, "place long, id long")
+
+
+@query()
+def principal_axes(s: SparkSession, d: str) -> DataFrame:
+    def run(pdf):
+        import pandas as pd
+
+        from arborline.operators import kernels
+
+        _, p = _sorted(pdf)
+        return pd.DataFrame([tuple(map(float, kernels.principal_axes(p)[0]))], columns=["first", "second", "third"])
+
+    return rounded(_kernel(s, d, run, "first double, second double, third double"))
+
+
+@query()
+def greedy_selection(s: SparkSession, d: str) -> DataFrame:
+    """Balls around the vertices of a specimen as candidates, selected by weighted greedy cover."""
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        from arborline.operators import kernels
+
+        pdf, p = _sorted(pdf)
+        supports = [set(np.flatnonzero(np.linalg.norm(p - q, axis=1) <= 0.15).tolist()) for q in p]
+        chosen = kernels.greedy_cover(supports, np.zeros(len(p)), 0.05)
+        return pd.DataFrame({"place": range(len(chosen)), "id": pdf["id"].to_numpy()[chosen], "support": [len(supports[i]) for i in chosen]})
+
+    return _kernel(s, d, run, "place long, id long, support long")
+
+
+@query()
+def primary_rank(s: SparkSession, d: str) -> DataFrame:
+    def run(pdf):
+        from arborline.operators import kernels
+
+        pdf, p = _sorted(pdf)
+        out = kernels.rank_primaries(p)
+        return out.assign(start=pdf["id"].to_numpy()[out["start"].to_numpy(int)], end=pdf["id"].to_numpy()[out["end"].to_numpy(int)])
+
+    return rounded(_kernel(s, d, run, "start long, end long, length double, down double, straight double, score double, rank long"))
+
+
+@query()
+def grown_paths(s: SparkSession, d: str) -> DataFrame:
+    """Paths grown downwards from the highest vertex of each specimen."""
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        from arborline.operators import kernels
+
+        pdf, p = _sorted(pdf)
+        path = kernels.grow_path(p, int(p[:, 2].argmax()), np.array([0.0, 0.0, -1.0]), 0.08)
+        return pd.DataFrame({"place": range(len(path)), "id": pdf["id"].to_numpy()[path]})
+
+    return _kernel(s, d, run, "place long, id long")
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '5 minutes', ts) AS from_ts, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def event_windows(s: SparkSession, d: str) -> DataFrame:
+    """Events per five minutes (tumbling), the batch form of the streaming operator."""
+    from arborline.streaming import edits
+
+    e = table(s, d, "events")
+    return edits.windows(e, slide="5 minutes").select("event_type", F.col("from_ts").cast(e.schema["ts"].dataType).alias("from_ts"), "n", F.round("total", 6).alias("total"))
