@@ -11,7 +11,7 @@ SECRET_NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey", "c
 
 def split_flags(flags: Column) -> Column:
     """``a; b;a`` as an array without blanks and repeats, in order of first appearance."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(flags, F.lit("")), ";"), F.trim), lambda f: f != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(flags, F.lit("")), ";"), lambda f: F.trim(f)), lambda f: f != ""))
 
 
 def join_flags(flags: Column) -> Column:

@@ -32,10 +32,10 @@ def proper(faces: DataFrame) -> DataFrame:
 
 def sanitize(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """Faces whose corners are all there and finite."""
-    ok = finite_vertices(vertices).select("id")
+    ok, columns = finite_vertices(vertices).select("id"), faces.columns
     for k in "abc":
         faces = faces.join(ok.withColumnRenamed("id", k), k, "left_semi")
-    return faces
+    return faces.select(*columns)
 
 
 def _p(k: str) -> list[Column]:
@@ -169,7 +169,7 @@ def drop_hidden(faces: DataFrame, vertices: DataFrame, hidden: DataFrame) -> tup
     f = faces
     for k in "abc":
         f = f.join(hidden.select(F.col("id").alias(k)), k, "left_anti")
-    return f, v
+    return f.select(*faces.columns), v
 
 
 def noise_components(faces: DataFrame, vertices: DataFrame, dominant: float = 0.9, area_share: float = 0.001, extent_share: float = 0.02, elongation: float = 4.0) -> DataFrame:

@@ -30,7 +30,7 @@ CHUNK = 100_000
 
 
 def raw_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``sample_id, path, content`` of the files of a folder; the sample is the name without its suffix."""
+    """``sample_id, path, content`` of the files of a folder; the sample is the name without its suffix. Empty files are not seen."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return f.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("sample_id"), "path", "content")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import io
 import re
 import struct
 
@@ -133,16 +132,13 @@ def read_off(data: bytes) -> Geometry:
 
 def read_points(data: bytes) -> Geometry:
     """The columns x, y, z if a header names them in any case, else the first three numbers of each row; other rows are skipped."""
-    text = data.decode("utf-8", "replace")
-    rows = list(csv.reader(io.StringIO(text))) if "," in text.partition("\n")[0] else [line.split() for line in text.splitlines()]
-    head = [x.strip().lower() for x in rows[0]] if rows else []
-    if {"x", "y", "z"} <= set(head):
-        at, rows = [head.index(a) for a in "xyz"], rows[1:]
-    else:
-        at = [0, 1, 2]
+    lines = data.decode("utf-8", "replace").splitlines()
+    head = [x.strip().lower() for x in next(csv.reader(lines[:1]), [])]
+    named = {"x", "y", "z"} <= set(head)
+    at = [head.index(a) for a in "xyz"] if named else [0, 1, 2]
+    rows = csv.reader(lines[1:]) if named else (re.split(r"[,;\s]+", line.strip()) for line in lines)
     points = []
     for row in rows:
-        row = [x for cell in row for x in cell.replace(";", " ").split()] if at == [0, 1, 2] else row
         try:
             points.append([float(row[i]) for i in at])
         except (ValueError, IndexError):
