@@ -38,7 +38,7 @@ FLOOR = 2e-5
 #: Labelled examples that are read at most (a documented bound; the given table has 300).
 MAX_EXAMPLES = 100_000
 
-_DOUBLE = re.compile("[Â-ô][-¿Œ-žƒˆ˜–-™€]+")
+_DOUBLE = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]+")
 _END = re.compile(r"(?<=[.?!])[\"'”“)\]]*\s+")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 _CLOSED = re.compile(r"[.?!,;][\"'”“)\]]*$")
@@ -71,7 +71,7 @@ def sentences(text: str | None) -> list[list[str]]:
             if line.strip() == "--" or line.startswith("-- "):
                 lines = lines[:i]
                 break
-        if lines and len(lines[0].split()) <= 6 and not _CLOSED.search(lines[0].strip()):
+        if lines and len(lines[0].split()) <= 6 and not _CLOSED.search(lines[0].strip()) and not _END.search(lines[0].strip()):
             lines = lines[1:]
         for sentence in _END.split(" ".join(lines)):
             w = [_UMLAUT.sub(r"\1", x) for x in _LETTERS.findall(fold(sentence)) if len(x) > 1]
@@ -149,8 +149,13 @@ class Matcher:
         return out
 
 
+def threshold_of(scores: list[float]) -> float:
+    """Half the score that all but one in a hundred of labelled sentences reach, and what the least terms weigh at least."""
+    return max(TERMS * LEAST, 0.5 * float(np.quantile(scores, 0.01))) if scores else TERMS * LEAST
+
+
 def fit(examples: list[tuple[str, str]]) -> tuple[Weights, float]:
-    """Weights from all examples, and the threshold: the lowest held-out score but for one in a hundred (five folds)."""
+    """Weights from all examples, and the threshold from the held-out scores of five folds."""
     rows = [(s, sentences(t)) for s, t in examples if s is not None and t]
     subjects = sorted({s for s, _ in rows})
     if not subjects:
@@ -165,7 +170,7 @@ def fit(examples: list[tuple[str, str]]) -> tuple[Weights, float]:
                     total = sum(v for t, v in found if t == s)
                     if sum(t == s for t, _ in found) >= TERMS:
                         held.append(total)
-    return _example_weights(rows, subjects), float(np.quantile(held, 0.01)) if held else TERMS * LEAST
+    return _example_weights(rows, subjects), threshold_of(held)
 
 
 def corpus_counts(documents: DataFrame, matcher: Matcher) -> DataFrame:
@@ -224,7 +229,10 @@ def trained(documents: DataFrame, examples: DataFrame) -> Matcher:
     weights, threshold = fit([(r["subject"], r["text"]) for r in rows])
     if not weights:
         return Matcher(weights, threshold)
-    return Matcher(weights | learn(documents, Matcher(weights, threshold), sorted({s for s, _ in weights.values()})), threshold)
+    weights = weights | learn(documents, Matcher(weights, threshold), sorted({s for s, _ in weights.values()}))
+    found = [(r["subject"], [weights[x] for x in set(w) if x in weights]) for r in rows for w in sentences(r["text"])]
+    scores = [sum(v for t, v in own if t == s) for s, own in found if sum(t == s for t, _ in own) >= TERMS]
+    return Matcher(weights, threshold_of(scores))
 
 
 def document_subjects(documents: DataFrame, examples: DataFrame) -> DataFrame:
