@@ -42,7 +42,7 @@ def read_object(body: str | None) -> dict | None:
     if body is None:
         return None
     try:
-        value = json.loads(body.lstrip("﻿"))
+        value = json.loads(body.lstrip("\ufeff"))
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None

@@ -39,12 +39,12 @@ COORDINATE_WORDS = ("coordinates?", "xyz", "numbers?", "axes", "axis", "units?",
 AGREE = 1e-6
 
 _UNIT = "|".join(sorted((w for ws in UNIT_WORDS.values() for w in ws), key=len, reverse=True))
-_NUMBER = r"[-+]?(?:[0-9]+(?:[   '][0-9]{3})+|[0-9]+)(?:[.,][0-9]+)?(?:[eE][-+]?[0-9]+)?"
+_NUMBER = r"[-+]?(?:[0-9]+(?:[ \u00a0\u202f'][0-9]{3})+|[0-9]+)(?:[.,][0-9]+)?(?:[eE][-+]?[0-9]+)?"
 
 
 def unit_factor(word: Column) -> Column:
     """Millimetres per unit that a word (in any spelling, with a point or not) names; null if none."""
-    w = F.regexp_replace(F.lower(F.regexp_replace(word, r"^[\s ]+|[\s .]+$", "")), "^\\[|\\]$", "")
+    w = F.regexp_replace(F.lower(F.regexp_replace(word, r"^[\s\u00a0]+|[\s\u00a0.]+$", "")), "^\\[|\\]$", "")
     pairs = [F.lit(x) for u, ws in UNIT_WORDS.items() for w_ in ws for x in (w_, MM_PER_UNIT[u])]
     return F.element_at(F.create_map(*pairs), w)
 
@@ -68,7 +68,7 @@ def remark_word(remark: Column) -> Column:
 def scale_number(scale_text: Column) -> Column:
     """The number in a text: a comma is a decimal mark, blanks group digits."""
     raw = _found(scale_text, f"({_NUMBER})")
-    return F.regexp_replace(F.regexp_replace(raw, r"[   ']", ""), ",", ".").try_cast("double")
+    return F.regexp_replace(F.regexp_replace(raw, r"[ \u00a0\u202f']", ""), ",", ".").try_cast("double")
 
 
 def scale_word(scale_text: Column) -> Column:
