@@ -42,7 +42,7 @@ _DOUBLE = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]+")
 _END = re.compile(r"(?<=[.?!])[\"'”“)\]]*\s+")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 _CLOSED = re.compile(r"[.?!,;][\"'”“)\]]*$")
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]{2,}")
 _UMLAUT = re.compile(r"([aou])e")
 
 
@@ -65,7 +65,10 @@ def sentences(text: str | None) -> list[list[str]]:
     if not text:
         return []
     out = []
-    for paragraph in _PARAGRAPH.split(plain(repair(text)).replace("\r\n", "\n").replace("\r", "\n")):
+    whole = plain(repair(text))
+    if "\r" in whole:
+        whole = whole.replace("\r\n", "\n").replace("\r", "\n")
+    for paragraph in _PARAGRAPH.split(_UMLAUT.sub(r"\1", fold(whole))):
         lines = paragraph.split("\n")
         for i, line in enumerate(lines):
             if line.strip() == "--" or line.startswith("-- "):
@@ -74,7 +77,7 @@ def sentences(text: str | None) -> list[list[str]]:
         if lines and len(lines[0].split()) <= 6 and not _CLOSED.search(lines[0].strip()) and not _END.search(lines[0].strip()):
             lines = lines[1:]
         for sentence in _END.split(" ".join(lines)):
-            w = [_UMLAUT.sub(r"\1", x) for x in _LETTERS.findall(fold(sentence)) if len(x) > 1]
+            w = _LETTERS.findall(sentence)
             if len(w) >= 2:
                 out.append(w)
     return out
@@ -130,22 +133,23 @@ class Matcher:
         if not parts or not self.weights:
             return out
         texts = [f" {' '.join(w)} " for w in parts]
-        ends = np.cumsum([len(t) for t in texts])
-        score = np.zeros((len(parts), len(self.subjects)))
-        terms = np.zeros((len(parts), len(self.subjects)), int)
-        seen = set()
-        at = 0
+        at, bound = 0, len(texts[0])
+        found: list[dict[int, tuple[int, float]]] = [{} for _ in parts]  # term: subject, weight; each term counts once
         for end, (k, s, weight) in self.automaton.iter("".join(texts)):
-            while end >= ends[at]:
+            while end >= bound:
                 at += 1
-            if (at, k) not in seen:
-                seen.add((at, k))
-                score[at, s] += weight
-                terms[at, s] += 1
-        best = score.argmax(axis=1)
-        for i, s in enumerate(best):
-            if terms[i, s] >= TERMS and score[i, s] >= self.threshold:
-                out[i] = self.subjects[s]
+                bound += len(texts[at])
+            found[at][k] = (s, weight)
+        for i, own in enumerate(found):
+            if len(own) >= TERMS:
+                score: dict[int, list] = {}
+                for s, weight in own.values():
+                    held = score.setdefault(s, [0.0, 0])
+                    held[0] += weight
+                    held[1] += 1
+                s, (total, terms) = min(score.items(), key=lambda x: (-x[1][0], x[0]))
+                if terms >= TERMS and total >= self.threshold:
+                    out[i] = self.subjects[s]
         return out
 
 
