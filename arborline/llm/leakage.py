@@ -28,7 +28,7 @@ RUN, ALTERED = 20, 1 / 7
 WINDOW, STRIDE = 16, 4
 
 #: Random walks, tables of each, and places sampled by a table.
-WALKS, TABLES, PLACES = 6, 4, 4
+WALKS, TABLES, PLACES = 6, 4, 5
 
 #: Steps of a walk: the pointer moves half a word a step.
 STEPS = 2 * WINDOW
@@ -37,6 +37,9 @@ STEPS = 2 * WINDOW
 #: of RUN words with its three edits has as many.
 NEAR = 13
 
+#: Words by which such a word may have moved.
+SHIFT = 3
+
 #: Bits of the filter in front of a table (small enough for a processor's cache), documents gone through at a time.
 SIEVE, PIECE = 18, 250
 
@@ -134,14 +137,17 @@ def _candidates(ix: Index, flat: np.ndarray, starts: np.ndarray) -> tuple[np.nda
 
 def _near(ix: Index, flat: np.ndarray, d: np.ndarray, i: np.ndarray) -> np.ndarray:
     """Whether at least NEAR words of the item's window stand within three words of their place in the document."""
-    n = np.zeros(len(d), np.int64)
-    for j in range(WINDOW):
-        w = ix.flat[i + j]
-        hit = np.zeros(len(d), bool)
-        for s in range(-3, 4):
-            hit |= flat[np.clip(d + j + s, 0, len(flat) - 1)] == w
-        n += hit
-    return n >= NEAR
+    padded = np.concatenate([np.zeros(SHIFT, flat.dtype), flat, np.zeros(SHIFT, flat.dtype)])
+    out = np.empty(len(d), bool)
+    for k in range(0, len(d), 100_000):
+        around = padded[d[k : k + 100_000, None] + np.arange(WINDOW + 2 * SHIFT)]
+        own = ix.flat[i[k : k + 100_000, None] + np.arange(WINDOW)]
+        hit = own == around[:, SHIFT : SHIFT + WINDOW]
+        for s in range(2 * SHIFT + 1):
+            if s != SHIFT:
+                hit |= own == around[:, s : s + WINDOW]
+        out[k : k + 100_000] = hit.sum(axis=1) >= NEAR
+    return out
 
 
 def runs_of(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
