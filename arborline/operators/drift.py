@@ -37,6 +37,24 @@ def kind_of(value: Any) -> str | None:
     return {str: "string", list: "array", dict: "object"}[type(value)]
 
 
+#: Bodies whose objects lie deeper than this count as unreadable.
+DEEPEST = 200
+
+
+def _too_deep(value: Any) -> bool:
+    level = [value]
+    for _ in range(DEEPEST):
+        level = [y for x in level if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x) if isinstance(y, (dict, list))]
+        if not level:
+            return False
+    return True
+
+
+def _clean(text: str) -> str:
+    """Text that can be stored as UTF-8 (half surrogates, which JSON can escape, become question marks)."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
+
+
 def read_object(body: str | None) -> dict | None:
     """The JSON object that a text holds, with or without a byte order mark; None if it is not readable as one."""
     if body is None:
@@ -45,7 +63,7 @@ def read_object(body: str | None) -> dict | None:
         value = json.loads(body.lstrip("\ufeff"))
     except (ValueError, RecursionError):
         return None
-    return value if isinstance(value, dict) else None
+    return value if isinstance(value, dict) and not _too_deep(value) else None
 
 
 def _words(name: str) -> list[str]:
@@ -153,7 +171,7 @@ def schema_changes(sessions: DataFrame, blocks: int | None = None) -> DataFrame:
         for row in rows:
             new = read_object(row["body"])
             for change, path, new_path in compare(old, new, kinds) if old is not None else ():
-                yield {"file_id": row["file_id"], "change": change, "field_path": path, "new_path": new_path}
+                yield {"file_id": row["file_id"], "change": change, "field_path": _clean(path), "new_path": _clean(new_path)}
             note_kinds(new, kinds)
             old = new
 
@@ -165,7 +183,7 @@ def path_values(files: DataFrame) -> DataFrame:
 
     def walk(value: dict, at: str = "") -> Iterator[tuple[str, str | None, str]]:
         for k, v in value.items():
-            yield at + k, kind_of(v), json.dumps(v, ensure_ascii=False, sort_keys=True)
+            yield _clean(at + k), kind_of(v), json.dumps(v, sort_keys=True)
             if isinstance(v, dict):
                 yield from walk(v, f"{at}{k}.")
 
@@ -211,9 +229,9 @@ def canonical_number(value: Any) -> float | None:
 
 def canonical_text(value: Any) -> str | None:
     """Text as it stands, other values as JSON; null stays null."""
-    if value is None or isinstance(value, str):
-        return value
-    return json.dumps(value, ensure_ascii=False, sort_keys=True)
+    if value is None:
+        return None
+    return _clean(value) if isinstance(value, str) else json.dumps(value, sort_keys=True)
 
 
 def stable_table(sessions: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
@@ -253,9 +271,9 @@ def stable_table(sessions: DataFrame, fields: dict[str, list[str]]) -> DataFrame
                     value = find(doc, path)[1] if path else None
                     own.add(path)
                     kind = kind_of(value)
-                    held = dict.fromkeys(KINDS) | ({kind: json.dumps(value, sort_keys=True) if kind in ("array", "object") else float(value) if kind == "number" else value} if kind else {})
+                    held = dict.fromkeys(KINDS) | ({kind: json.dumps(value, sort_keys=True) if kind in ("array", "object") else float(value) if kind == "number" else _clean(value) if kind == "string" else value} if kind else {})
                     row |= {c: {"kind": kind, "name": path, **held}, f"{c}_number": canonical_number(value), f"{c}_text": canonical_text(value)}
-                row["rest"] = {p: json.dumps(v, ensure_ascii=False, sort_keys=True) for p, v in leaves(doc) if p not in own}
+                row["rest"] = {_clean(p): json.dumps(v, sort_keys=True) for p, v in leaves(doc) if p not in own}
                 out.append(row)
             if out:
                 yield pd.DataFrame(out)

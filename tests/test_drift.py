@@ -64,3 +64,10 @@ def test_stable_table_and_union_schema(spark):
     assert rows[1]["rest"] == {"x": "1"}
     u = {(r["path"], r["kind"]): r for r in drift.union_schema(df).collect()}
     assert u["w", "array"]["alternatives"] == 4 and u["w.unit", "string"]["files"] == 1 and u["schema", None]["files"] == 1
+
+
+def test_strange_bodies(spark):
+    deep = '{"a":' * 1000 + "1" + "}" * 1000
+    df = files(spark, ['{"k\\ud800": "x\\udfff", "n": 1}', deep, '{"n": "1", "big": 1e999, "int": 123456789012345678901234567890}', '{"n": NaN}'])
+    assert [x[:3] for x in found(df)] == [(3, "added", "big"), (3, "added", "int"), (3, "removed", "k?"), (3, "retyped", "n"), (4, "removed", "big"), (4, "removed", "int"), (4, "retyped", "n")]
+    assert drift.stable_table(df, {"n": ["n"]}).count() == 3 and drift.union_schema(df).count() > 3

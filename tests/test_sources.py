@@ -76,3 +76,24 @@ def test_sinks(spark, tmp_path):
 def test_synthetic(spark):
     t = files.synthetic_taproot(spark)
     assert t.count() == 420 and t.filter("root = 0").count() == 180 and t.agg({"z": "max"}).first()[0] < 1.1
+
+
+def test_guides(spark):
+    from arborline.sources import guides
+
+    want = {"start": (0.0, 0.0, 1.0), "end": (0.0, 0.0, 0.0)}
+    for text in ('{"start": [0, 0, 1], "end": [0, 0, 0]}', "name,x,y,z\nstart,0,0,1\nend,0,0,0\n", "0 0 1, 0 0 0"):
+        assert guides.read_endpoints(text) == want
+    for text in ("1 2 3", "0 0 0 0 0 0", "name,x,y,z\nstart,0,0,1\n"):
+        with pytest.raises(ValueError):
+            guides.read_endpoints(text)
+    labels = spark.createDataFrame([(i, 0) for i in range(100)], "id long, label int")
+    reviewed = spark.createDataFrame([(i, 5) for i in range(99, 199)], "id long, label int")
+    assert guides.apply_reviewed_labels(labels, reviewed.filter("id = 99"), "f", "f").filter("label = 5").count() == 1
+    for a, b in (("f", "g"), ("f", "f")):
+        with pytest.raises(ValueError):
+            guides.apply_reviewed_labels(labels, reviewed, a, b)
+    objects = spark.createDataFrame([(1, "f"), (2, "g"), (3, "h")], "object_id int, fingerprint string")
+    reviews = spark.createDataFrame([(1, "f", False), (1, "f", True), (2, "old", False), (9, "x", True)], "object_id int, fingerprint string, accepted boolean")
+    kept, refused = guides.apply_reviews(objects, reviews)
+    assert {r["object_id"] for r in kept.collect()} == {2, 3} and {tuple(r) for r in refused.collect()} == {(2, "stale"), (9, "unknown")}
