@@ -181,19 +181,22 @@ def corpus_counts(documents: DataFrame, matcher: Matcher) -> DataFrame:
     """Numbers of sentences by word and label over the whole corpus (word '' counts the sentences; label '' is none)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
+        counts: dict[str, Counter] = defaultdict(Counter)
+
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame([(w, s, n) for s, by in counts.items() for w, n in by.items()], columns=["word", "label", "n"])
+
         for batch in batches:
             for text in batch["text"]:
                 parts = sentences(text)
                 for w, label in zip(parts, matcher.label(parts)):
-                    label = label or ""
-                    counts["", label] += 1
-                    for x in set(w):
-                        counts[x, label] += 1
-            if len(counts) > 500_000:
-                yield pd.DataFrame([(w, s, n) for (w, s), n in counts.items()], columns=["word", "label", "n"])
-                counts = Counter()
-        yield pd.DataFrame([(w, s, n) for (w, s), n in counts.items()], columns=["word", "label", "n"])
+                    own = counts[label or ""]
+                    own[""] += 1
+                    own.update(set(w))
+            if sum(map(len, counts.values())) > 500_000:
+                yield rows()
+                counts.clear()
+        yield rows()
 
     part = documents.select("text").filter("text is not null").mapInPandas(run, "word string, label string, n long")
     return part.groupBy("word", "label").agg(F.sum("n").alias("n"))
