@@ -43,7 +43,6 @@ _END = re.compile(r"(?<=[.?!])[\"'”“)\]]*\s+")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 _CLOSED = re.compile(r"[.?!,;][\"'”“)\]]*$")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
-_UMLAUT = re.compile(r"([aou])e")
 
 
 def repair(text: str) -> str:
@@ -68,7 +67,8 @@ def sentences(text: str | None) -> list[list[str]]:
     whole = plain(repair(text))
     if "\r" in whole:
         whole = whole.replace("\r\n", "\n").replace("\r", "\n")
-    for paragraph in _PARAGRAPH.split(_UMLAUT.sub(r"\1", fold(whole))):
+    whole = fold(whole).replace("ae", "a").replace("oe", "o").replace("ue", "u")  # written-out umlauts
+    for paragraph in _PARAGRAPH.split(whole):
         lines = paragraph.split("\n")
         for i, line in enumerate(lines):
             if line.strip() == "--" or line.startswith("-- "):

@@ -12,9 +12,10 @@ LOOKALIKES = str.maketrans("аеорсухіјѕһԁԛԝАВЕКМНОРСТХІ
 _UNSEEN = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->", re.S)
 _LINK = re.compile(r"\]\((?:https?:|/|#|\./)[^)\s]*\)")
-_BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑¬]\s*\n\s*(?=[^\W\d_])")
+_BROKEN = re.compile(r"[-‐‑¬](?<=[^\W\d_].)\s*\n\s*(?=[^\W\d_])")
 _DAMAGED = re.compile("â€[\u0080-¿™œ“”˜¦¢\"]?")
 _APART = re.compile(r"[^\w\s.,'’\-‐‑]|_")
+_MARKS = re.compile(r"[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 _INSIDE = re.compile(r"[^\w\s]+")
 
 
@@ -37,7 +38,7 @@ def fold(text: str) -> str:
     if text.isascii():
         return text.lower()
     text = unicodedata.normalize("NFKD", text.casefold().translate(LOOKALIKES))
-    return "".join(c for c in text if not unicodedata.combining(c))
+    return _MARKS.sub("", text)
 
 
 def words(text: str | None) -> list[str]:
