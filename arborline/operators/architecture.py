@@ -98,13 +98,19 @@ def branch_gaps(branches: DataFrame, by: list[str], distinct: bool = False) -> D
     """Steps between consecutive insertions on a parent: by, gaps, mean_gap, coincident.
 
     ``branches``: by, root_id, arc. Order is (arc, root_id); steps up to SAME_PLACE are coincident; with ``distinct`` they
-    are left out and the next step counts from the first at a place.
+    are left out and the next step counts from the first at a place. The mean of consecutive steps is the span over their
+    number, but the number of distinct places needs the steps: a window per parent, over its places only (repeats of an
+    arc are counted before it), so that a parent with very many branches at few places is small.
     """
-    w = W.partitionBy(*by).orderBy("arc", "root_id")
-    g_ = branches.filter(finite("arc").isNotNull()).withColumn("gap", F.col("arc") - F.lag("arc").over(w))
+    places = branches.filter(finite("arc").isNotNull()).groupBy(*by, "arc").agg(F.count("*").alias("n"))
+    w = W.partitionBy(*by).orderBy("arc")
+    g_ = places.withColumn("gap", F.col("arc") - F.lag("arc").over(w))
+    near = F.col("gap") <= SAME_PLACE
     if distinct:
-        g_ = g_.filter((F.col("gap") > SAME_PLACE) | F.col("gap").isNull()).withColumn("gap", F.col("arc") - F.lag("arc").over(w))
-    return g_.groupBy(*by).agg(F.count("gap").alias("gaps"), F.avg("gap").alias("mean_gap"), F.count_if(F.col("gap") <= SAME_PLACE).alias("coincident"))
+        kept = g_.filter(~near | F.col("gap").isNull()).withColumn("gap", F.col("arc") - F.lag("arc").over(w))
+        return kept.groupBy(*by).agg(F.count("gap").alias("gaps"), F.avg("gap").alias("mean_gap"), F.count_if(F.col("gap") <= SAME_PLACE).alias("coincident"))
+    s = g_.groupBy(*by).agg(F.sum("n").alias("n"), F.max("arc").alias("high"), F.min("arc").alias("low"), (F.sum(F.col("n") - 1) + F.count_if(near)).alias("coincident"))
+    return s.select(*by, (F.col("n") - 1).alias("gaps"), g.ratio(F.col("high") - F.col("low"), (F.col("n") - 1).cast("double")).alias("mean_gap"), "coincident")
 
 
 def distribution(traits: DataFrame, metric: str, by: list[str]) -> DataFrame:

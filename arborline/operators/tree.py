@@ -10,6 +10,7 @@ from arborline.common import normal_key
 from arborline.functions import geometry as g
 from arborline.functions.text import stable_id
 from arborline.operators.hierarchy import current_links, hierarchies
+from arborline.operators.scan import range_blocks, scan_blocks
 
 
 def orders(roots: DataFrame) -> DataFrame:
@@ -60,13 +61,29 @@ def violations(roots: DataFrame) -> DataFrame:
 def prune(roots: DataFrame, offending: DataFrame) -> DataFrame:
     """The roots that are neither in ``offending`` (sample_id, root_id) nor below one: sample_id, root_id.
 
-    The tree is gone through by entry order: a root goes if the latest exit of an offender that began before it lies behind
-    it, a running maximum over each tree.
+    A root goes if an offender is on its path; paths are taken apart, so that no task sees a whole sample. Roots on and below
+    circles are left out.
     """
-    h = hierarchies(roots).filter("kind = 'tree'").join(offending.select("sample_id", "root_id", F.lit(True).alias("off")), ["sample_id", "root_id"], "left")
-    w = W.partitionBy("sample_id", "top_root_id").orderBy("entry").rowsBetween(W.unboundedPreceding, 0)
-    reach = F.max(F.when(F.col("off"), F.col("exit"))).over(w)
-    return h.withColumn("reach", reach).filter("reach is null or reach < entry").select("sample_id", "root_id")
+    h = hierarchies(roots, paths=True).filter("kind = 'tree'").select("sample_id", "root_id", "path")
+    steps = h.select("sample_id", "root_id", F.explode("path").alias("step"))
+    gone = steps.join(offending.select("sample_id", F.col("root_id").alias("step")).distinct(), ["sample_id", "step"], "left_semi").select("sample_id", "root_id").distinct()
+    return h.select("sample_id", "root_id").join(gone, ["sample_id", "root_id"], "left_anti")
+
+
+def numbered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Adds ``number``, 1, 2, ... per key in an order, like row_number, but no key passes through one task.
+
+    Rows are range partitioned by key and order; the counts of the key that runs on across partitions are carried over.
+    """
+
+    def emit(_, rows, state):
+        n = int(state) if state else 0
+        for row in rows:
+            n += 1
+            yield row | {"number": n}
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+    return scan_blocks(range_blocks(df, key, order), key, lambda rows: str(sum(1 for _ in rows)).encode(), lambda a, b: str(int(a or 0) + int(b)).encode(), emit, f"{fields}, number long")
 
 
 def stable_ids(roots: DataFrame) -> DataFrame:
@@ -82,8 +99,7 @@ def stable_ids(roots: DataFrame) -> DataFrame:
     steps = paths.select("sample_id", "root_id", "depth", F.posexplode("path").alias("k", "step"))
     named = steps.join(keys.select("sample_id", F.col("root_id").alias("step"), "key"), ["sample_id", "step"])
     lines = named.groupBy("sample_id", "root_id", "depth").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "key"))), lambda s: s["key"]), "/").alias("line"))
-    number = F.row_number().over(W.partitionBy("sample_id", "depth").orderBy("line"))
-    return lines.withColumn("number", number).select("sample_id", "root_id", F.when(F.col("depth") == 0, F.col("root_id")).otherwise(stable_id(F.col("depth"), F.col("number"))).alias("stable_id"))
+    return numbered(lines.withColumn("group", F.concat_ws("/", "sample_id", "depth")), "group", ["line", "root_id"]).select("sample_id", "root_id", F.when(F.col("depth") == 0, F.col("root_id")).otherwise(stable_id(F.col("depth"), F.col("number"))).alias("stable_id"))
 
 
 def length_review(roots: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from arborline.functions import geometry as g
 from arborline.functions import text as tx
 from arborline.operators import architecture as arch
 from arborline.operators import changes, mesh, polyline, spatial, tree
-from arborline.plans.views import branches, children_and_parents, faces, nodes, traits, vertices, with_sql
+from arborline.plans.problems import HIERARCHY
+from arborline.plans.views import SQL, branches, children_and_parents, faces, nodes, traits, vertices, with_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -386,17 +387,29 @@ def prune_subtrees(s: SparkSession, d: str) -> DataFrame:
     return tree.prune(t, now.filter("n.confidence < 0.5").select("sample_id", "n.root_id"))
 
 
-@query()
+_checked = HIERARCHY.rstrip() + ", " + SQL["current"] + """
+, rep AS (SELECT sample_id, arg_max(root_id, recorded_at) AS root_id FROM (SELECT DISTINCT sample_id, root_id, lower(regexp_replace(root_id, '^\\s+|\\s+$', '', 'g')) AS k, lower(regexp_replace(parent_id, '^\\s+|\\s+$', '', 'g')) AS p, root_order, insertion_index, recorded_at FROM roots) GROUP BY sample_id, k HAVING count(*) > 1)
+"""
+
+
+@query(_checked + """SELECT sample_id, root_id, 'repeated_id' AS breach FROM rep
+UNION ALL SELECT c.sample_id, c.root_id, 'unknown_parent' FROM current c WHERE c.p IS NOT NULL AND NOT EXISTS (SELECT 1 FROM current m WHERE m.sample_id = c.sample_id AND m.k = c.p)
+UNION ALL SELECT c.sample_id, c.root_id, 'order' FROM current c JOIN current m ON m.sample_id = c.sample_id AND m.k = c.p WHERE c.root_order <> m.root_order + 1
+UNION ALL SELECT sample_id, root_id, 'no_insertion' FROM current WHERE p IS NOT NULL AND insertion_index IS NULL
+UNION ALL SELECT sample_id, root_id, CASE finding WHEN 'cycle' THEN 'cycle' ELSE 'unreachable' END FROM x WHERE finding IN ('cycle', 'detached')""")
 def tree_violations(s: SparkSession, d: str) -> DataFrame:
     return tree.violations(table(s, d, "roots"))
 
 
-@query()
+@query(with_sql("current", "walk", "up", recursive=True) + _good + """, kk AS (SELECT sample_id, k, root_id, lpad(coalesce(CAST(insertion_index AS VARCHAR), '9999999999'), 10, '0') || ':' || k AS key FROM current),
+l AS (SELECT u.sample_id, u.k, max(u.links) AS depth, arg_max(u.here, u.links) AS top, string_agg(kk.key, '/' ORDER BY u.links DESC) AS line FROM up u JOIN good USING (sample_id, k) JOIN kk ON kk.sample_id = u.sample_id AND kk.k = u.here GROUP BY u.sample_id, u.k)
+SELECT l.sample_id, kk.root_id, CASE WHEN depth = 0 THEN kk.root_id ELSE format('root-o{}-{:03d}', depth, row_number() OVER (PARTITION BY l.sample_id, depth ORDER BY line, kk.root_id)) END AS stable_id FROM l JOIN kk ON kk.sample_id = l.sample_id AND kk.k = l.k WHERE top = 'primary'""")
 def stable_ids(s: SparkSession, d: str) -> DataFrame:
     return tree.stable_ids(table(s, d, "roots"))
 
 
-@query()
+@query(_checked + """, q AS (SELECT x.sample_id, x.root_id, m.root_id AS old_parent_id, row_number() OVER (PARTITION BY x.sample_id, x.top_root_id ORDER BY c.confidence, c.root_id) AS rn FROM x JOIN current c ON c.sample_id = x.sample_id AND c.root_id = x.root_id JOIN current m ON m.sample_id = c.sample_id AND m.k = c.p WHERE x.finding = 'cycle')
+SELECT sample_id, root_id, old_parent_id, 'primary' AS new_parent_id FROM q WHERE rn = 1""")
 def cycle_repairs(s: SparkSession, d: str) -> DataFrame:
     return tree.repair_cycles(table(s, d, "roots"))
 

@@ -81,7 +81,8 @@ o AS (SELECT calibration_id, number, factor, CASE WHEN number IS NULL THEN 'no_n
     WHEN silent THEN 'no_evidence' WHEN low IS NULL THEN 'no_unit' ELSE 'contradiction' END AS outcome FROM h)
 """
 
-_hierarchy = r"""
+#: The findings of hierarchies in SQL, as the common table expression x.
+HIERARCHY = r"""
 WITH RECURSIVE n AS (
   SELECT sample_id, lower(trim(root_id)) AS k, arg_max(root_id, recorded_at) AS root_id, arg_max(coalesce(lower(regexp_replace(parent_id, '^\s+|\s+$', '', 'g')), ''), recorded_at) AS p, arg_max(coalesce(root_order, -1), recorded_at) AS root_order
   FROM roots GROUP BY ALL),
@@ -97,11 +98,30 @@ u AS (SELECT c.sample_id, c.origin, min(n.root_id) AS top FROM (SELECT sample_id
 x AS (SELECT c.sample_id, n.root_id, CASE WHEN c.looped THEN u.top ELSE t.root_id END AS top_root_id, CASE WHEN c.looped THEN c.first ELSE c.links END AS depth,
     CASE WHEN c.looped THEN CASE WHEN c.first = 0 THEN 'cycle' ELSE 'below_cycle' END WHEN c.here <> 'primary' THEN 'detached' WHEN n.root_order >= 0 AND n.root_order <> c.links THEN 'order' END AS finding
   FROM c JOIN n ON n.sample_id = c.sample_id AND n.k = c.origin JOIN n t ON t.sample_id = c.sample_id AND t.k = c.here LEFT JOIN u ON u.sample_id = c.sample_id AND u.origin = c.origin)
-SELECT sample_id, root_id, finding, top_root_id, CAST(depth AS BIGINT) AS depth FROM x WHERE finding IS NOT NULL
+"""
+
+_replay = r"""
+WITH RECURSIVE known AS (SELECT DISTINCT session_id, baseline_fingerprint FROM label_map),
+o AS (SELECT o.*, lower(trim(event)) AS e, CASE WHEN lower(trim(event)) = 'apply' THEN operation_id ELSE target_operation_id END AS oid FROM ops o SEMI JOIN known USING (session_id, baseline_fingerprint)),
+a AS (SELECT session_id, oid, min(sequence) FILTER (e = 'apply') AS t, arg_min(type, sequence) FILTER (e = 'apply') AS type, arg_min(arguments, sequence) FILTER (e = 'apply') AS args, max(sequence) FILTER (e <> 'apply') AS ut, arg_max(e, sequence) FILTER (e <> 'apply') AS ue FROM o WHERE oid IS NOT NULL GROUP BY ALL),
+f AS (SELECT session_id, oid, type, args['root_id'] AS r, coalesce(args['parent_id'], args['new_parent_id']) AS p, args['source_root_id'] AS src, row_number() OVER (PARTITION BY session_id ORDER BY t) AS k FROM a WHERE t IS NOT NULL AND (ut IS NULL OR ue = 'redo' OR ut < t)),
+st AS (
+  SELECT session_id, CAST(0 AS BIGINT) AS k, list({'r': root_id, 'p': parent_id, 'o': ''}) AS s FROM (SELECT DISTINCT session_id, root_id, parent_id FROM label_map WHERE numeric_label >= 0) GROUP BY session_id
+  UNION ALL
+  SELECT st.session_id, f.k, CASE f.type
+    WHEN 'create_root' THEN list_append(list_filter(s, lambda x: x.r <> f.r), {'r': f.r, 'p': f.p, 'o': f.oid})
+    WHEN 'reparent_root' THEN list_transform(s, lambda x: CASE WHEN x.r = f.r THEN {'r': x.r, 'p': f.p, 'o': f.oid} ELSE x END)
+    WHEN 'delete_root' THEN list_transform(list_filter(s, lambda x: x.r <> f.r), lambda x: CASE WHEN x.p = f.r THEN {'r': x.r, 'p': list_filter(s, lambda y: y.r = f.r)[1].p, 'o': x.o} ELSE x END)
+    WHEN 'merge_roots' THEN list_transform(list_filter(s, lambda x: x.r <> f.src), lambda x: {'r': x.r, 'p': CASE WHEN x.p = f.src THEN f.r ELSE x.p END, 'o': CASE WHEN x.r = f.r THEN f.oid ELSE x.o END})
+    ELSE list_transform(s, lambda x: CASE WHEN x.r = f.r THEN {'r': x.r, 'p': x.p, 'o': f.oid} ELSE x END) END
+  FROM st JOIN f ON f.session_id = st.session_id AND f.k = st.k + 1),
+z AS (SELECT session_id, arg_max(s, k) AS s FROM st GROUP BY session_id)
+SELECT session_id, x.r AS root_id, x.p AS parent_id, x.o AS last_operation_id FROM (SELECT session_id, unnest(s) AS x FROM z) WHERE x.r <> 'primary'
 """
 
 ORACLES: dict[str, str] = {
+    "p3_found": _replay,
     "p2_found": _evidence + "SELECT calibration_id, CASE WHEN outcome = 'converted' THEN CAST(round(number * factor * 1000) AS BIGINT) ELSE CAST(-1 AS BIGINT) END AS extent_um FROM o WHERE outcome NOT IN ('no_number', 'as_it_stands')",
     "p2_extents": _evidence + "SELECT calibration_id, round(number * factor, 6) AS extent_mm, outcome FROM o",
-    "p5_found": _hierarchy,
+    "p5_found": HIERARCHY + "SELECT sample_id, root_id, finding, top_root_id, CAST(depth AS BIGINT) AS depth FROM x WHERE finding IS NOT NULL",
 }
