@@ -156,18 +156,24 @@ SPREAD, PENALTY = 0.05, 4.0
 #: Cost of a record that fits no unit (its squared deviation is cut there).
 OUTLIER = 40.0
 
-_LEVELS = np.array([-math.log(f) for f in MM_PER_UNIT.values()])
 _FACTORS = list(MM_PER_UNIT.values())
+_LEVELS = [-math.log(f) for f in _FACTORS]
 
 
-def emission(log_value: float, base: float) -> np.ndarray:
+def emission(log_value: float, base: float) -> list[float]:
     """The cost of a record at each unit's level; ``base`` is the logarithm of the extent in mm."""
-    return np.minimum(((log_value - base - _LEVELS) / SPREAD) ** 2, OUTLIER)
+    x = log_value - base
+    return [min(((x - level) / SPREAD) ** 2, OUTLIER) for level in _LEVELS]
 
 
-def step(cost: np.ndarray, e: np.ndarray, penalty: float) -> np.ndarray:
-    """One step of the exact dynamic programme: stay, or change at the price of a penalty. Works on rows as well."""
-    return np.minimum(cost, cost.min(axis=-1, keepdims=True) + penalty) + e
+def step(cost: list[float], e: list[float], penalty: float) -> list[float]:
+    """One step of the exact dynamic programme: stay, or change at the price of a penalty."""
+    change = min(cost) + penalty
+    return [min(c, change) + x for c, x in zip(cost, e)]
+
+
+def _least(cost: list[float]) -> int:
+    return cost.index(min(cost))
 
 
 def unit_segments(calibrations: DataFrame, penalty: float = PENALTY, blocks: int | None = None) -> DataFrame:
@@ -187,15 +193,28 @@ def unit_segments(calibrations: DataFrame, penalty: float = PENALTY, blocks: int
     base = r.groupBy("sample_id").agg(F.coalesce(F.percentile_approx(F.col("x") + F.log("declared_factor"), 0.5, 1000), F.percentile_approx("x", 0.5, 1000)).alias("base"))
     rows = range_blocks(r.join(base, "sample_id"), "sample_id", ["recorded_at", "calibration_id"], blocks)
 
+    def matrix(own: list[tuple[float, float]]) -> list[float]:
+        """The least cost from each unit before a stretch to each unit at its end."""
+        lines = [[0.0 if j == k else math.inf for k in range(n)] for j in range(n)]
+        for x, base in own:
+            e = emission(x, base)
+            lines = [step(line, e, penalty) for line in lines]
+        return [v for line in lines for v in line]
+
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
+        """The matrices of the first and the last history of a partition; those between lie in it as a whole."""
+        out: list[tuple[Any, list[float]]] = []
+        last: tuple[Any, list] | None = None
         for k, own in rows_by_key(batches, "sample_id"):
-            m = np.where(np.eye(n, dtype=bool), 0.0, np.inf)
-            for row in own:
-                m = step(m, emission(row["x"], row["base"]), penalty)
-            out = [*out[:1], (k, m)]
+            held = [(row["x"], row["base"]) for row in own]
+            if out:
+                last = (k, held)
+            else:
+                out.append((k, matrix(held)))
+        if last is not None:
+            out.append((last[0], matrix(last[1])))
         if out:
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId()] * len(out), "k": [k for k, _ in out], "m": [m.ravel().tolist() for _, m in out]})
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()] * len(out), "k": [k for k, _ in out], "m": [m for _, m in out]})
 
     found = sorted(rows.mapInPandas(edges, "part int, k string, m array<double>").collect(), key=lambda e: (e["part"]))
     by_part: dict[int, list[tuple[Any, np.ndarray]]] = {}
@@ -222,29 +241,32 @@ def unit_segments(calibrations: DataFrame, penalty: float = PENALTY, blocks: int
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = TaskContext.get().partitionId()
         into_p, after_p = handed.value[0].get(p), handed.value[1].get(p)
+        names = ["calibration_id", "sample_id", "recorded_at", "number", "unit_factor", "shift", "declared_factor"]
+        out: list[tuple] = []
         for k, own in rows_by_key(batches, "sample_id"):
             held = list(own)  # the part of a history in one block
-            forward, cost = [], into_p[1] if into_p is not None and into_p[0] == k else None
+            forward, cost = [], into_p[1].tolist() if into_p is not None and into_p[0] == k else None
             for row in held:
                 e = emission(row["x"], row["base"])
                 cost = e if cost is None else step(cost, e, penalty)
                 forward.append(cost)
-            late = after_p[1] if after_p is not None and after_p[0] == k else np.zeros(n)
-            path = [int(np.argmin(forward[-1] + late))]
+            late = after_p[1].tolist() if after_p is not None and after_p[0] == k else [0.0] * n
+            path = [_least([a + b for a, b in zip(forward[-1], late)])]
             for i in range(len(held) - 2, -1, -1):
-                s = path[-1]
-                t = int(np.argmin(forward[i]))
+                s, t = path[-1], _least(forward[i])
                 path.append(s if forward[i][s] <= forward[i][t] + penalty else t)
             path.reverse()
             before = None
             if into_p is not None and into_p[0] == k:
                 t = int(np.argmin(into_p[1]))
                 before = path[0] if into_p[1][path[0]] <= into_p[1][t] + penalty else t
-            out = []
             for row, s in zip(held, path):
                 out.append((row["calibration_id"], k, row["recorded_at"], row["number"], _FACTORS[s], 1.0 if before is None else _FACTORS[s] / _FACTORS[before], row["declared_factor"]))
                 before = s
-            yield pd.DataFrame(out, columns=["calibration_id", "sample_id", "recorded_at", "number", "unit_factor", "shift", "declared_factor"])
+            if len(out) >= 20_000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        yield pd.DataFrame(out, columns=names)
 
     kind = rows.schema["recorded_at"].dataType.simpleString()
     return rows.mapInPandas(label, f"calibration_id long, sample_id string, recorded_at {kind}, number double, unit_factor double, shift double, declared_factor double")
