@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborline.common import finite
+from arborline.common import finite, stored
 from arborline.operators.scan import range_blocks, rows_by_key
 
 # The units of length in millimetres, and the words that name them (lower case, without a final point).
@@ -129,15 +129,15 @@ def convert_extents(calibrations: DataFrame) -> DataFrame:
 def convert_histories(calibrations: DataFrame) -> DataFrame:
     """``convert_extents`` beside the unit that the sample's history shows.
 
-    Adds ``history_factor`` and ``shift`` (from ``unit_segments``) and ``confirmed``: whether the evidence names the same
+    Adds ``history_factor`` and ``shift`` (see ``label_histories``) and ``confirmed``: whether the evidence names the same
     unit (null without either). What the record says of itself decides; the history can name the unit of a record that
-    says nothing, and shows where a record contradicts its neighbours.
+    says nothing, and shows where a record contradicts its neighbours. Records without a positive number have no history.
     """
-    found = unit_segments(calibrations).select("calibration_id", F.col("number").alias("n2"), F.col("recorded_at").alias("r2"), F.col("unit_factor").alias("history_factor"), "shift")
-    r = convert_extents(calibrations).alias("r")
-    on = (F.col("r.calibration_id") == found["calibration_id"]) & (F.col("r.number") == F.col("n2")) & F.col("r.recorded_at").eqNullSafe(F.col("r2"))
-    out = r.join(found, on, "left").select("r.*", "history_factor", "shift")
-    return out.withColumn("confirmed", F.abs(F.log(F.col("history_factor") / F.col("factor"))) < 0.2)
+    r = stored(convert_extents(calibrations))
+    measured = (F.col("number") > 0) & (F.col("number") < float("inf")) & F.col("sample_id").isNotNull()
+    found = label_histories(r.filter(measured)).withColumnRenamed("unit_factor", "history_factor")
+    rest = r.filter(~F.coalesce(measured, F.lit(False))).withColumn("history_factor", F.lit(None).cast("double")).withColumn("shift", F.lit(None).cast("double"))
+    return found.unionByName(rest).withColumn("confirmed", F.abs(F.log(F.col("history_factor") / F.col("factor"))) < 0.2)
 
 
 def unit_cases(calibrations: DataFrame) -> DataFrame:
@@ -177,20 +177,25 @@ def _least(cost: list[float]) -> int:
 
 
 def unit_segments(calibrations: DataFrame, penalty: float = PENALTY, blocks: int | None = None) -> DataFrame:
+    """``label_histories`` of all records with a positive number: calibration_id, sample_id, recorded_at, number, unit_factor, shift, declared_factor."""
+    r = stored(convert_extents(calibrations).filter((F.col("number") > 0) & (F.col("number") < float("inf")) & F.col("sample_id").isNotNull()).select("calibration_id", "sample_id", "recorded_at", "number", "factor"))
+    return label_histories(r, penalty, blocks).withColumnRenamed("factor", "declared_factor").select("calibration_id", "sample_id", "recorded_at", "number", "unit_factor", "shift", "declared_factor")
+
+
+def label_histories(records: DataFrame, penalty: float = PENALTY, blocks: int | None = None) -> DataFrame:
     """The unit of each record of a sample's history, found from the numbers alone.
 
     The cost of a labelling is the sum of squared deviations of log values from the level of their unit plus a penalty
     per change; the least one is exact (min-plus dynamic programme over all labellings). Each block of a history is a
     min-plus matrix, so a long history is cut over many tasks and its blocks composed: forward and backward costs that
     come into a block give the same labels as one pass. The base of a sample, the median log extent, comes from records
-    with agreed evidence; where a sample has none, the median of its log values stands for it. Returns ``calibration_id,
-    sample_id, recorded_at, number, unit_factor, shift`` (the factor against the record before; 1 for none) and
-    ``declared_factor``. Records without a positive number are left out.
+    with agreed evidence; where a sample has none, the median of its log values stands for it. ``records``: sample_id,
+    recorded_at, calibration_id, number (positive), factor (of the evidence or null) and further columns, which are kept;
+    it is read twice. Adds ``unit_factor`` and ``shift`` (the factor against the record before; 1 for none).
     """
     n = len(_LEVELS)
-    r = read_units(calibrations).filter(F.col("number") > 0).withColumn("x", F.log("number"))
-    r = r.filter(F.abs("number") != float("inf")).select("sample_id", "recorded_at", "calibration_id", "number", "x", F.col("factor").alias("declared_factor")).dropDuplicates(["calibration_id", "x", "recorded_at"])
-    base = r.groupBy("sample_id").agg(F.coalesce(F.percentile_approx(F.col("x") + F.log("declared_factor"), 0.5, 1000), F.percentile_approx("x", 0.5, 1000)).alias("base"))
+    r = records.withColumn("_x", F.log("number"))
+    base = r.groupBy("sample_id").agg(F.coalesce(F.percentile_approx(F.col("_x") + F.log("factor"), 0.5, 1000), F.percentile_approx("_x", 0.5, 1000)).alias("_base"))
     rows = range_blocks(r.join(base, "sample_id"), "sample_id", ["recorded_at", "calibration_id"], blocks)
 
     def matrix(own: list[tuple[float, float]]) -> list[float]:
@@ -206,7 +211,7 @@ def unit_segments(calibrations: DataFrame, penalty: float = PENALTY, blocks: int
         out: list[tuple[Any, list[float]]] = []
         last: tuple[Any, list] | None = None
         for k, own in rows_by_key(batches, "sample_id"):
-            held = [(row["x"], row["base"]) for row in own]
+            held = [(row["_x"], row["_base"]) for row in own]
             if out:
                 last = (k, held)
             else:
@@ -238,16 +243,18 @@ def unit_segments(calibrations: DataFrame, penalty: float = PENALTY, blocks: int
         state = (k, (m + later[None, :]).min(axis=1))
     handed = r.sparkSession.sparkContext.broadcast((into, after))
 
+    kept = records.columns
+    names = [*kept, "unit_factor", "shift"]
+
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = TaskContext.get().partitionId()
         into_p, after_p = handed.value[0].get(p), handed.value[1].get(p)
-        names = ["calibration_id", "sample_id", "recorded_at", "number", "unit_factor", "shift", "declared_factor"]
         out: list[tuple] = []
         for k, own in rows_by_key(batches, "sample_id"):
             held = list(own)  # the part of a history in one block
             forward, cost = [], into_p[1].tolist() if into_p is not None and into_p[0] == k else None
             for row in held:
-                e = emission(row["x"], row["base"])
+                e = emission(row["_x"], row["_base"])
                 cost = e if cost is None else step(cost, e, penalty)
                 forward.append(cost)
             late = after_p[1].tolist() if after_p is not None and after_p[0] == k else [0.0] * n
@@ -261,15 +268,14 @@ def unit_segments(calibrations: DataFrame, penalty: float = PENALTY, blocks: int
                 t = int(np.argmin(into_p[1]))
                 before = path[0] if into_p[1][path[0]] <= into_p[1][t] + penalty else t
             for row, s in zip(held, path):
-                out.append((row["calibration_id"], k, row["recorded_at"], row["number"], _FACTORS[s], 1.0 if before is None else _FACTORS[s] / _FACTORS[before], row["declared_factor"]))
+                out.append((*(row[c] for c in kept), _FACTORS[s], 1.0 if before is None else _FACTORS[s] / _FACTORS[before]))
                 before = s
             if len(out) >= 20_000:
                 yield pd.DataFrame(out, columns=names)
                 out = []
         yield pd.DataFrame(out, columns=names)
 
-    kind = rows.schema["recorded_at"].dataType.simpleString()
-    return rows.mapInPandas(label, f"calibration_id long, sample_id string, recorded_at {kind}, number double, unit_factor double, shift double, declared_factor double")
+    return rows.mapInPandas(label, ", ".join(f"`{c}` {kind}" for c, kind in records.dtypes) + ", unit_factor double, shift double")
 
 
 def segments(labelled: DataFrame) -> DataFrame:
