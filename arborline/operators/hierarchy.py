@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from arborline.common import newest, normal_key, partitions, stored
 
 #: Roots of a sample that one task may hold.
-LIMIT = 200_000
+LIMIT = 100_000
 
 #: Children of one root are chained over so many windows.
 FANS = 64

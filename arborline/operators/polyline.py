@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from arborline.functions import geometry as g
+from arborline.operators.spatial import segment_distances
 
 BY = ["root_id"]
 
@@ -88,13 +89,10 @@ def project(points: DataFrame, nodes: DataFrame, by: list[str] = BY) -> DataFram
     """
     s = segments(nodes, by)
     p = points.select(*by, "point_id", *(F.col(a).alias(f"p{a}") for a in "xyz"))
-    ab, ap = g.minus(g.xyz("b"), g.xyz("a")), g.minus(g.xyz("p"), g.xyz("a"))
-    d2 = g.dot(ab, ab)
-    t = F.when(d2 > 0, g.clamp(g.dot(ap, ab) / F.when(d2 > 0, d2), 0.0, 1.0)).otherwise(F.lit(0.0))
-    gap = g.minus(ap, g.times(ab, t))
-    pairs = p.join(s, by).select(*by, "point_id", (F.col("arc") + t * F.col("length")).alias("at"), g.norm(gap).alias("distance"), "seg_id")
-    best = pairs.groupBy(*by, "point_id").agg(F.min(F.struct("distance", "seg_id", "at")).alias("m"))
-    return best.select(*by, "point_id", F.col("m.at").alias("arc"), F.col("m.distance").alias("distance"))
+    s = s.select(*by, "seg_id", "arc", "length", *(F.col(f"a{a}").alias(f"s{a}") for a in "xyz"), *((F.col(f"b{a}") - F.col(f"a{a}")).alias(f"u{a}") for a in "xyz"))
+    pairs = segment_distances(p.join(s, by), [*by, "point_id", "seg_id", "arc", "length"])
+    best = pairs.groupBy(*by, "point_id").agg(F.min(F.struct("square", "seg_id", "t", "arc", "length")).alias("m"))
+    return best.select(*by, "point_id", (F.col("m.arc") + F.col("m.t") * F.col("m.length")).alias("arc"), F.sqrt("m.square").alias("distance"))
 
 
 def arc_window(nodes: DataFrame, window: float, anchor: str = "end", by: list[str] = BY) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from arborline.common import stored
+from arborline.common import partitions, stored
 from arborline.functions import geometry as g
 
 
@@ -27,12 +27,18 @@ def _cells(points: DataFrame, width: float, around: bool) -> DataFrame:
     return out
 
 
+def _spread(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash partitioned by cell into a fixed number of parts: pairs cost much more than their rows, so that small inputs must not be coalesced to one task."""
+    return cells.repartition(partitions(cells.sparkSession), *keys)
+
+
 def within(left: DataFrame, right: DataFrame, radius: float, by: list[str] | None = None) -> DataFrame:
     """Pairs of ``left`` (a_id, x, y, z) and ``right`` (b_id, x, y, z) at most ``radius`` apart: a_id, b_id, distance."""
     by = by or []
     a = _cells(left, radius, False).select(*by, "a_id", *(F.col(c).alias(f"a{c}") for c in "xyz"), "_cx", "_cy", "_cz")
     b = _cells(right, radius, True).select(*by, "b_id", *(F.col(c).alias(f"b{c}") for c in "xyz"), "_cx", "_cy", "_cz")
     d = g.norm(g.minus(g.xyz("a"), g.xyz("b")))
+    b = _spread(b, [*by, "_cx", "_cy", "_cz"])
     return a.join(b, [*by, "_cx", "_cy", "_cz"]).withColumn("distance", d).filter(F.col("distance") <= radius).select(*by, "a_id", "b_id", "distance")
 
 
@@ -114,6 +120,18 @@ def mutual_contacts(points: DataFrame, k: int, spread: float = 2.5) -> DataFrame
     return out.filter(keep).select(F.col("a_id").alias("u"), F.col("b_id").alias("v"), "distance", F.col("a_label").alias("u_label"), F.col("b_label").alias("v_label"))
 
 
+def segment_distances(pairs: DataFrame, keep: list[str]) -> DataFrame:
+    """Squared distance of points ``p`` from segments that start at ``s`` and run along ``u``, and the share ``t`` of u at the nearest place.
+
+    In steps whose columns are used more than once, so that the generated code stays small enough to be compiled.
+    """
+    ap, u = g.minus(g.xyz("p"), g.xyz("s")), g.xyz("u")
+    one = pairs.select(*keep, g.dot(ap, u).alias("_q"), g.dot(u, u).alias("_l"), g.dot(ap, ap).alias("_a"))
+    two = one.withColumn("t", F.when(F.col("_l") > 0, g.clamp(F.col("_q") / F.when(F.col("_l") > 0, F.col("_l")), 0.0, 1.0)).otherwise(F.lit(0.0)))
+    square = F.col("_a") - 2 * F.col("t") * F.col("_q") + F.col("t") * F.col("t") * F.col("_l")
+    return two.select(*keep, "t", F.greatest(F.lit(0.0), square).alias("square"))
+
+
 def nearest_two_owners(points: DataFrame, pieces: DataFrame, radius: float) -> DataFrame:
     """The nearest and the second nearest owner of each point by the distance to their segments, within the radius.
 
@@ -130,12 +148,11 @@ def nearest_two_owners(points: DataFrame, pieces: DataFrame, radius: float) -> D
     short = short.select("*", *(((F.col(f"s{a}") + F.col(f"e{a}")) / 2).alias(a) for a in "xyz"))
     reach = 1.5 * radius
     left = _cells(points, reach, False).select("id", *(F.col(a).alias(f"p{a}") for a in "xyz"), "_cx", "_cy", "_cz")
-    right = _cells(short, reach, True).drop("x", "y", "z")
-    ab, ap = g.minus(g.xyz("e"), g.xyz("s")), g.minus(g.xyz("p"), g.xyz("s"))
-    d2 = g.dot(ab, ab)
-    t = F.when(d2 > 0, g.clamp(g.dot(ap, ab) / F.when(d2 > 0, d2), 0.0, 1.0)).otherwise(F.lit(0.0))
-    pairs = left.join(right, ["_cx", "_cy", "_cz"]).select("id", "owner", g.norm(g.minus(ap, g.times(ab, t))).alias("distance")).filter(F.col("distance") <= radius)
-    best = pairs.groupBy("id", "owner").agg(F.min("distance").alias("distance"))
+    right = _spread(_cells(short, reach, True).drop("x", "y", "z"), ["_cx", "_cy", "_cz"])
+    right = right.withColumns({f"u{a}": F.col(f"e{a}") - F.col(f"s{a}") for a in "xyz"}).drop("ex", "ey", "ez")
+    pairs = segment_distances(left.join(right, ["_cx", "_cy", "_cz"]), ["id", "owner"])
+    # The limit comes after the minimum: put before it, the planner would move it into the join and compute it there again.
+    best = pairs.groupBy("id", "owner").agg(F.min("square").alias("square")).filter(F.col("square") <= radius * radius).select("id", "owner", F.sqrt("square").alias("distance"))
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("distance", "owner"))).filter("rank <= 2")
     return ranked.groupBy("id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("owner"))).alias("owner"), F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("distance"),
