@@ -43,8 +43,8 @@ SHIFT = 3
 #: Bits of the filter in front of a table (small enough for a processor's cache), documents gone through at a time.
 SIEVE, PIECE = 18, 250
 
-#: Greatest number of item words held by a task at a time; more items are looked for block by block.
-BLOCK_WORDS = 2_000_000
+#: Greatest number of item words held by a Python worker at a time (some 400 bytes of index a word); more are looked for block by block.
+BLOCK_WORDS = 200_000
 
 _SEED = 20240229
 
