@@ -189,6 +189,37 @@ def holds_run(matches: list[tuple[int, int]], run: int = RUN, altered: float = A
     return False
 
 
+def aligned_run(item: np.ndarray, doc: np.ndarray, run: int = RUN, altered: float = ALTERED) -> bool:
+    """Whether ``holds_run`` is true of any alignment of the two, not only of one with the most matches.
+
+    Row by row of the item, for each number of edits the most item words that a span may have that began with a match and
+    ends at this place. A span of twice ``half`` words can be halved, and the half with the lesser share of edits still
+    has ``run`` words when edits at its ends are left off, so that more edits than fit a shorter span need not be followed.
+    """
+    half = run
+    while half - int(altered * half + 0.25) < run:
+        half += 1
+    edits = int(altered * (2 * half - 1) + 0.5)
+    need = np.array([max(run, int(np.ceil((e - 0.5) / altered))) for e in range(edits + 1)])[:, None]
+    none = -len(item) - 1
+    last = np.full((edits + 1, len(doc) + 1), none, np.int32)
+    for w in item:
+        both, now = last[:, :-1] + 1, np.full_like(last, none)
+        same = np.flatnonzero(doc == w)
+        if len(same):
+            ends = both[:, same]
+            ends[0] = np.maximum(ends[0], 1)
+            if (ends >= need).any():
+                return True
+            now[:, same + 1] = ends
+        now[1:, 1:] = np.maximum(now[1:, 1:], both[:-1])
+        now[1:] = np.maximum(now[1:], last[:-1] + 1)
+        for e in range(1, edits + 1):
+            np.maximum(now[e, 1:], now[e - 1, :-1], out=now[e, 1:])
+        last = now
+    return False
+
+
 def _confirmed(ix: Index, doc: np.ndarray, item: int, starts: np.ndarray, at: np.ndarray) -> bool:
     """Aligns the item with the stretch of the document around each cluster of candidate windows."""
     own = ix.flat[ix.offset[item] : ix.offset[item + 1]]
@@ -202,7 +233,9 @@ def _confirmed(ix: Index, doc: np.ndarray, item: int, starts: np.ndarray, at: np
         stretch = doc[low:high]
         # Matches of this item stand on bands around the diagonals; a long stretch is gone through piece by piece.
         for k in range(0, max(1, len(stretch)), 400):
-            if holds_run(runs_of(own, stretch[k : k + 600])):
+            # The one alignment with the most matches is had cheaply; where it has no run, another one may.
+            piece = stretch[k : k + 600]
+            if holds_run(runs_of(own, piece)) or aligned_run(own, piece):
                 return True
     return False
 

@@ -103,3 +103,49 @@ def test_edges(spark):
 @pytest.mark.parametrize("matches,found", [([(i, i) for i in range(20)], True), ([(i, i) for i in range(19)], False), ([(i, i + (i > 9)) for i in range(20)], True), ([(i, i) for i in range(40) if i % 3], False), ([], False)])
 def test_runs(matches, found):
     assert k.holds_run(matches) is found
+
+
+def spans(item, doc, run, altered):
+    """Whether any span of the item, from match to match, is within its edits of any stretch of the document: edit distances from every start."""
+    for i0 in range(len(item) - run + 1):
+        for j0 in (j for j, w in enumerate(doc) if w == item[i0]):
+            row = list(range(len(doc) - j0 + 1))
+            for n, a in enumerate(item[i0:], 1):
+                old, row = row, [n]
+                for j, b in enumerate(doc[j0:], 1):
+                    row.append(min(old[j - 1] + (a != b), old[j] + 1, row[-1] + 1))
+                    if a == b and n >= run and row[-1] <= altered * n + 0.5:
+                        return True
+    return False
+
+
+def test_any_alignment():
+    import numpy as np
+
+    rng, seen = random.Random(3), [0, 0]
+    for _ in range(300):
+        item = [rng.randrange(6) for _ in range(16)]
+        doc = altered(item[2:13], 4, rng) if rng.random() < 0.7 else [rng.randrange(6) for _ in range(12)]
+        doc = [rng.randrange(6) for _ in range(3)] + [-1 if isinstance(w, str) else w for w in doc] + [rng.randrange(6) for _ in range(3)]
+        want = spans(item, doc, 7, 1 / 7)
+        seen[want] += 1
+        assert k.aligned_run(np.array(item), np.array(doc), 7) is want
+    assert min(seen) > 30
+
+
+@pytest.mark.parametrize("run", (20, 21))
+@pytest.mark.parametrize("edits", range(4))
+def test_least_runs_among_common_words(run, edits):
+    rng = random.Random(100 * run + edits)
+    common = ["the", "of", "a", "in", "is"]
+    mixed = lambda n: [rng.choice(common) if rng.random() < 0.4 else rng.choice(POOL) for _ in range(n)]
+    items = [(i, mixed(120)) for i in range(20)]
+    docs = []
+    for n in range(100):
+        a = rng.randrange(0, 120 - run)
+        body = items[n % 20][1][a : a + run]
+        for p in sorted(rng.sample(range(1, run - 1), edits), reverse=True):
+            body[p : p + 1] = rng.choice([["changed"], [], [body[p], "added"]])
+        docs.append(mixed(80) + body + mixed(80))
+    got = set(k.search_batch(k.build_index([(i, " ".join(w)) for i, w in items]), list(range(100)), [" ".join(w) for w in docs]))
+    assert sum((n, n % 20) in got for n in range(100)) >= 99
