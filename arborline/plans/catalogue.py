@@ -334,7 +334,7 @@ def _owner_pieces(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     w = W.partitionBy("label").orderBy("id")
-    v = vertices(s, d).filter("id % 5 = 0")
+    v = vertices(s, d)
     p = v.select(F.col("label").alias("owner"), F.col("id").alias("seg_id"), *(F.col(a).alias(f"a{a}") for a in "xyz"), *(F.lead(a).over(w).alias(f"b{a}") for a in "xyz"))
     return p.filter("bx is not null")
 

@@ -115,6 +115,32 @@ def test_two_owners(spark):
     assert spatial.assign(spatial.nearest_two_owners(points, pieces, 0.5), 0.06).first()["label"] == -2
 
 
+def test_owners_have_all_vertices(spark, tmp_path):
+    """Against all segments between all consecutive vertices of a label."""
+    from arborline.plans.catalogue import assignment_summary, nearest_two_owners
+
+    rng = np.random.default_rng(4)
+    p, label = rng.random((80, 3)) * 0.8, rng.integers(0, 5, 80)
+    spark.createDataFrame([(i, [float(x) for x in q], int(l)) for i, (q, l) in enumerate(zip(p, label))], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want, labels = {}, []
+    for i, q in enumerate(p):
+        best = {}
+        for o in range(5):
+            at = p[label == o]
+            for a, b in zip(at, at[1:]):
+                t = np.clip(np.dot(q - a, b - a) / np.dot(b - a, b - a), 0, 1)
+                best[o] = min(best.get(o, 9.0), float(np.linalg.norm(q - a - t * (b - a))))
+        near = sorted((d, o) for o, d in best.items() if d <= 0.15)[:2]
+        state = -1 if not near else -2 if len(near) == 2 and near[1][0] - near[0][0] <= 0.02 else near[0][1]
+        labels.append(state)
+        if near:
+            want[i] = (*near[0][::-1], *(near[1][::-1] if len(near) == 2 else (None, None)), state)
+    got = {r["id"]: (r["owner"], r["distance"], r["rival"], r["rival_distance"], r["label"]) for r in nearest_two_owners(spark, str(tmp_path)).collect()}
+    # A vertex on its own polyline is at 0 but for the squares' rounding.
+    assert got == {i: pytest.approx(w, abs=2e-6) for i, w in want.items()}
+    assert tuple(assignment_summary(spark, str(tmp_path)).first()) == (80, labels.count(0), sum(x > 0 for x in labels), labels.count(-1), labels.count(-2), 0)
+
+
 def test_unit_box(spark):
     v = spark.createDataFrame([(0, 2.0, 4.0, 10.0), (1, 4.0, 8.0, 14.0), (2, 6.0, 6.0, 18.0)], "id long, x double, y double, z double")
     assert spatial.unit_box(v).agg(F.max("z")).first()[0] == 1
