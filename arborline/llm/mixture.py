@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +26,13 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits a text before byte-pair encoding with this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Texts from this length on are encoded in pieces of at least PIECE characters.
+LONG, PIECE = 1_000_000, 100_000
+
+# A blank after another character: no match of PATTERN goes over this place or looks across it from before, so that a text
+# may be cut here. (What Python's \S matches is no blank to the tokenizer either.)
+_BREAK = re.compile(r"(?<=\S)[ \n]")
+
 SEED = 20240229
 
 
@@ -37,16 +45,24 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def pieces(text: str) -> Iterator[str]:
+    """The text in pieces that have together as many tokens as the whole."""
+    at = 0
+    if len(text) >= LONG:
+        while m := _BREAK.search(text, at + PIECE):
+            yield text[at : m.start()]
+            at = m.start()
+    yield text[at:]
+
+
 def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id, source, n_tokens`` of each document; a null text has none. Very long texts are encoded piece by piece at line ends."""
+    """``doc_id, source, n_tokens`` of each document; a null text has none. Very long texts are encoded piece by piece, with the count of the whole."""
 
     def tokens(text: str | None) -> int:
         if not text:
             return 0
         encode = _encoding(vocabulary).encode_ordinary
-        if len(text) < 1_000_000:
-            return len(encode(text))
-        return sum(len(encode(line)) for line in text.splitlines(keepends=True))
+        return sum(len(encode(piece)) for piece in pieces(text))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -62,3 +62,10 @@ def test_token_counts(spark):
     long = "line of text\n" * 100_000
     got = {r["doc_id"]: r["n_tokens"] for r in m.count_tokens(spark.createDataFrame([(1, "Hello <|endoftext|> world", "a"), (2, None, "a"), (3, long, None)], "doc_id long, text string, source string")).collect()}
     assert got[1] == len(tiktoken.encode_ordinary("Hello <|endoftext|> world")) and got[2] == 0 and got[3] == 100_000 * len(tiktoken.encode_ordinary("line of text\n"))
+
+
+def test_long_texts_count_as_a_whole(spark):
+    text = "def f(x):\n\n\n        return x  \n \t\n    if it's 12,5:\n\n\u00a0 y\r\n\r\n" * 20_000
+    assert len(text) > m.LONG and "".join(m.pieces(text)) == text and len(list(m.pieces(text))) > 5
+    rows = m.count_tokens(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).collect()
+    assert rows[0]["n_tokens"] == len(m._encoding(m.VOCABULARY).encode_ordinary(text))
