@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -17,22 +19,39 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; only where none is named (tests) a local one is set."""
+    """The shared checkpoint folder that the session names in ``spark.checkpoint.dir``.
+
+    Only a session whose executors are threads of the driver (tests, one machine) gets a folder of its own where none is
+    named; on a cluster a missing setting is an error, since a folder of one machine cannot be read by the others.
+    """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arborline-checkpoint-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="arborline-checkpoint-")
     spark.sparkContext.setCheckpointDir(path)
     return jsc.getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there (a lost executor loses nothing)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_stored: list[tuple[SparkSession, str]] = []
 
 
-_stored: list[tuple[SparkSession, str]] = []
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there (a lost executor loses nothing).
+
+    Partitions and their order are kept. The files are removed when the driver ends.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    try:
+        _stored.append((spark, out._jdf.queryExecution().logical().rdd().getCheckpointFile().get()))
+    except Exception:  # another plan node: the session's own cleaner has to remove the files
+        pass
+    return out
 
 
 def _drop_stored() -> None:
@@ -66,6 +85,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def running_sum(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Adds ``name``, the sum of ``value`` over the rows of the same ``by`` up to a row (rows in ``order``, which must be unique).
+
+    Rows are range partitioned by (by, order) and written, so that a key with very many rows lies in many parts; what the
+    parts before hold of a key comes from their sums, of which there is one per key and part. No window goes over a key.
+    """
+    n = partitions(df.sparkSession)
+    parts = stored(df.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id()))
+    sums = parts.groupBy(*by, "_part").agg(F.sum(value).alias("_own"))
+    before = sums.withColumn("_past", F.sum("_own").over(W.partitionBy(*by).orderBy("_part")) - F.col("_own")).drop("_own")
+    within = parts.withColumn("_within", F.sum(value).over(W.partitionBy(*by, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "_part")]
+    out = within.alias("a").join(before.alias("b"), same)
+    return out.select("a.*", "b._past").withColumn(name, F.col("_past") + F.col("_within")).drop("_part", "_past", "_within")
+
+
 def finite(value: Column | str) -> Column:
     """``value`` as a double, with NaN and the infinities turned to null."""
     c = F.col(value) if isinstance(value, str) else value

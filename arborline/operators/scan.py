@@ -61,19 +61,24 @@ def scan_blocks(
 ) -> DataFrame:
     """A left-to-right scan per key.
 
-    ``summarise`` gives the summary of the rows of one key in one partition, ``combine`` joins the state before with a
+    ``summarise`` gives the summary of consecutive rows of one key, ``combine`` joins the state before with a
     summary, ``emit`` makes output rows from a key's rows in a partition and the state that comes into it (None at the
     first row of a key). The driver gets one summary per partition, of its last key.
     """
 
     def tail(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
-        first = None
-        for k, rows in rows_by_key(batches, key):
-            first = k if first is None else first
-            last = (k, summarise(rows))
+        """The summary of the partition's last key; only the last key of a batch can be that, so other rows are passed over."""
+        first, last, state = None, None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = batch[key]
+            first = keys.iloc[0] if last is None else first
+            if keys.iloc[-1] != last:
+                last, state = keys.iloc[-1], None
+            state = combine(state, summarise(iter(batch[keys == last].to_dict("records"))))
         if last is not None:
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "one": [first == last[0]], "k": [last[0]], "s": [last[1]]})
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "one": [first == last], "k": [last], "s": [state]})
 
     kind = blocks.schema[key].dataType.simpleString()
     tails = sorted(blocks.mapInPandas(tail, f"part int, one boolean, k {kind}, s binary").collect(), key=lambda r: r["part"])

@@ -10,30 +10,9 @@ from pyspark.sql import functions as F
 from arborline.common import table
 from arborline.operators import changes, drift, hierarchy, quantiles, units
 
-#: Names over time of the fields of a session file, as far as they mean the same.
-SESSION_FIELDS = {
-    "schema": ["schema", "$schema", "schema_id"],
-    "created_at": ["created_at", "createdAt", "created"],
-    "source_output_dir": ["source_output_dir", "sourceOutputDir", "output_dir"],
-    "baseline_fingerprint": ["baseline_fingerprint", "fingerprint"],
-    "automatic_files_are_immutable": ["automatic_files_are_immutable", "automatic_files_immutable"],
-    "tip_vector_window_mesh_units": [f"trait_configuration.{x}" for x in ("tip_vector_window_mesh_units", "tip_vector_window", "tip_vector_window_mm", "tip_window")],
-    "gravity": ["trait_configuration.gravity", "trait_configuration.gravity_vector"],
-    "smoothing": ["trait_configuration.smoothing"],
-    "station_spacing": ["trait_configuration.station_spacing", "trait_configuration.stationSpacing"],
-    "minimum_root_length": ["trait_configuration.minimum_root_length", "trait_configuration.min_root_length"],
-    "random_state": ["trait_configuration.random_state"],
-    "tags": ["tags"],
-    "label_revision": ["label_revision", "labelRevision"],
-    "operator": ["operator"],
-    "editor_version": ["editor_version", "editor_build"],
-    "mesh": ["mesh"],
-}
-
-
 def p1_sessions(spark: SparkSession, d: str) -> DataFrame:
     """All readable session files in one table of stable columns."""
-    return drift.stable_table(table(spark, d, "sessions"), SESSION_FIELDS)
+    return drift.stable_table(table(spark, d, "sessions"))
 
 
 def p2_segments(spark: SparkSession, d: str) -> DataFrame:

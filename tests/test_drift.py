@@ -69,5 +69,62 @@ def test_stable_table_and_union_schema(spark):
 def test_strange_bodies(spark):
     deep = '{"a":' * 1000 + "1" + "}" * 1000
     df = files(spark, ['{"k\\ud800": "x\\udfff", "n": 1}', deep, '{"n": "1", "big": 1e999, "int": 123456789012345678901234567890}', '{"n": NaN}'])
-    assert [x[:3] for x in found(df)] == [(3, "added", "big"), (3, "added", "int"), (3, "removed", "k?"), (3, "retyped", "n"), (4, "removed", "big"), (4, "removed", "int"), (4, "retyped", "n")]
-    assert drift.stable_table(df, {"n": ["n"]}).count() == 3 and drift.union_schema(df).count() > 3
+    assert [x[:3] for x in found(df)] == [(2, "added", "a"), (2, "removed", "k?"), (2, "removed", "n"), (3, "added", "big"), (3, "added", "int"), (3, "added", "n"), (3, "removed", "a"), (4, "removed", "big"), (4, "removed", "int"), (4, "retyped", "n")]
+    assert drift.stable_table(df, {"n": ["n"]}).count() == 4 and drift.union_schema(df).count() > 1000
+
+
+def test_any_depth(spark):
+    nest = lambda n, x: '{"a":' * n + x + "}" * n
+    n = 1200
+    path = ".".join(["a"] * n)
+    assert found(files(spark, [nest(n, "1"), nest(n, '"x"'), nest(n, "[" * 4000 + "]" * 4000)])) == [(2, "retyped", path, ""), (3, "retyped", path, "")]
+    deep = nest(20_000, '{"k\\u00e4":[true, null, -1.5e3, NaN, {}], "s":"\\"x"}')
+    assert drift.canonical(drift.parse_deep(deep)) == deep.replace('":', '": ').replace("-1.5e3", "-1500")
+    assert drift.read_object(deep[:-1]) is None
+    for bad in ('{"a" 1}', '{"a": 1,}', "[1 2]", "{} {}", '{"a": ]}', "", "[,]", '{1: 2}'):
+        try:
+            drift.parse_deep(bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+
+
+def test_columns_come_from_the_union_and_its_renamings(spark):
+    df = files(spark, [
+        {"schema": "v1", "t": {"window": 1, "gravity": [0, 1]}, "flag": "on", "m": {"n": 5}},
+        {"$schema": "v1", "t": {"window_mm": 1, "gravity": {"x": 0}}, "flag": True, "m": {"n": 6}},
+        {"$schema": "v2", "t": {"window_mm": [2.5], "gravity": {"x": 0}}, "flag": 0},
+    ])
+    fields = drift.inferred_fields(drift.readable_files(df))
+    assert fields == {"schema": ["$schema", "schema"], "flag": ["flag"], "m_n": ["m.n"], "t_gravity": ["t.gravity"], "t_window_mm": ["t.window_mm", "t.window"]}
+    rows = sorted(drift.stable_table(df).collect(), key=lambda r: r["file_id"])
+    assert [r["schema_text"] for r in rows] == ["v1", "v1", "v2"] and [r["t_window_mm_number"] for r in rows] == [1.0, 1.0, 2.5]
+    assert [r["flag_boolean"] for r in rows] == [True, True, False] and [r["t_gravity"]["kind"] for r in rows] == ["array", "object", "object"]
+    assert all(r["rest"] == {} for r in rows)
+
+
+def test_names_in_one_file_are_never_one_column(spark):
+    df = files(spark, [{"rate": 1}, {"rate_x": 1}, {"rate": 1, "rate_x": 1}])
+    assert found(df)[0] == (2, "renamed", "rate", "rate_x")
+    assert sorted(drift.inferred_fields(drift.readable_files(df)).values()) == [["rate"], ["rate_x"]]
+
+
+def test_unions_fuse_in_any_grouping():
+    import random
+
+    rng = random.Random(3)
+    value = lambda d: rng.choice([1, "x", True, None, [1]] + ([{k: value(d - 1) for k in rng.sample("abcd", 2)}] * 3 if d else []))
+    docs = [{k: value(2) for k in rng.sample("abcde", 3)} for _ in range(60)]
+    one = drift.Union()
+    whole = [one.fuse(x) for x in docs]
+    for size in (1, 7, 20):
+        state, got = None, []
+        for k in range(0, len(docs), size):
+            own, seen = drift.Union(), drift.Union.unpack(state)
+            got += [seen.fuse(x) for x in docs[k : k + size]]
+            for x in docs[k : k + size]:
+                own.fuse(x)
+            state = own.pack() if state is None else drift.Union.unpack(state).then(drift.Union.unpack(own.pack())).pack()
+        assert [sorted(x) for x in got] == [sorted(x) for x in whole]
+    alone = [len([e for e in drift.Union().fuse(x) if e]) for x in docs]
+    assert not any(alone) and any(e[0] == "retyped" for x in whole for e in x)
