@@ -1,8 +1,9 @@
-"""Lengths recorded in different units: reading the evidence, converting, and finding unit changes in histories.
+"""Lengths recorded in different units: unit changes found in histories, evidence read, values converted.
 
-``convert_extents`` reads what a record says of its own unit. ``unit_segments`` works without it: it cuts the history of
-a sample into segments of equal unit by an exact penalised changepoint search on the logarithms, where the levels are
-those of the known units, and gives the factor that reverses each shift.
+``label_histories`` cuts the history of a sample into segments of equal unit by an exact penalised changepoint search on the
+logarithms; the levels are those of the known factors, which are the units of length and the factor with which a record
+says that it was calibrated. Each segment has the factor that reverses its shift. ``read_units`` reads what a record says
+of its own unit, which fixes the base of the levels and then confirms or overrules the segment record by record.
 """
 
 from __future__ import annotations
@@ -114,7 +115,10 @@ def convert_extents(calibrations: DataFrame) -> DataFrame:
     ``outcome``: as_it_stands, converted, no_evidence, no_unit (a word that names no unit of length), contradiction,
     no_number. Lengths of records that cannot be converted are null. Exact repeats count once.
     """
-    r = read_units(calibrations)
+    return _outcomes(read_units(calibrations)).drop("calibrated")
+
+
+def _outcomes(r: DataFrame) -> DataFrame:
     outcome = (
         F.when(F.col("number").isNull(), "no_number")
         .when(F.col("factor").isNotNull(), F.when(F.abs(F.col("factor") - 1) <= AGREE, "as_it_stands").otherwise("converted"))
@@ -123,31 +127,41 @@ def convert_extents(calibrations: DataFrame) -> DataFrame:
         .otherwise("contradiction")
     )
     mm = {c: (finite(c) * F.col("factor")).alias(c + "_mm") for c in ("minimum_x", "minimum_y", "minimum_z")}
-    return r.select("calibration_id", "sample_id", "recorded_at", "source", "number", "factor", (finite("number") * F.col("factor")).alias("extent_mm"), *mm.values(), outcome.alias("outcome"))
+    mesh = finite("mm_per_mesh_unit")
+    return r.select("calibration_id", "sample_id", "recorded_at", "source", "number", "factor", F.when(mesh > 0, mesh).alias("calibrated"), (finite("number") * F.col("factor")).alias("extent_mm"), *mm.values(), outcome.alias("outcome"))
 
 
 def convert_histories(calibrations: DataFrame) -> DataFrame:
-    """``convert_extents`` beside the unit that the sample's history shows.
+    """All records in millimetres by the segments of their histories, each checked against the record's own evidence.
 
-    Adds ``history_factor`` and ``shift`` (see ``label_histories``) and ``confirmed``: whether the evidence names the same
-    unit (null without either). What the record says of itself decides; the history can name the unit of a record that
-    says nothing, and shows where a record contradicts its neighbours. Records without a positive number have no history.
+    The columns of ``convert_extents`` with ``history_factor`` and ``shift`` of the record's segment (``label_histories``).
+    ``decided_by``: ``segment`` where the evidence names the factor of the segment, ``evidence`` where it names another
+    (``overruled``) or the record has no positive number and so no history; null where it names none, contradicts itself or
+    is not there, so that the record cannot be converted. ``extent_mm`` and the corner use the factor that decides.
     """
-    r = stored(convert_extents(calibrations))
+    r = stored(_outcomes(read_units(calibrations)))
     measured = (F.col("number") > 0) & (F.col("number") < float("inf")) & F.col("sample_id").isNotNull()
     found = label_histories(r.filter(measured)).withColumnRenamed("unit_factor", "history_factor")
-    rest = r.filter(~F.coalesce(measured, F.lit(False))).withColumn("history_factor", F.lit(None).cast("double")).withColumn("shift", F.lit(None).cast("double"))
-    return found.unionByName(rest).withColumn("confirmed", F.abs(F.log(F.col("history_factor") / F.col("factor"))) < 0.2)
+    none = F.lit(None).cast("double")
+    rest = r.filter(~F.coalesce(measured, F.lit(False))).withColumn("history_factor", none).withColumn("shift", none)
+    agrees = F.abs(F.col("history_factor") - F.col("factor")) <= AGREE * F.col("factor")
+    decided = F.when(F.col("factor").isNotNull(), F.when(F.coalesce(agrees, F.lit(False)), "segment").otherwise("evidence"))
+    out = found.unionByName(rest).withColumn("decided_by", decided).withColumn("overruled", F.col("history_factor").isNotNull() & (F.col("decided_by") == "evidence"))
+    use = F.when(F.col("decided_by") == "segment", F.col("history_factor")).otherwise(F.col("factor"))
+    corner = {f"minimum_{x}_mm": F.col(f"minimum_{x}_mm") / F.col("factor") * use for x in "xyz"}
+    return out.withColumns({"extent_mm": finite("number") * use, **corner}).drop("calibrated")
 
 
 def unit_cases(calibrations: DataFrame) -> DataFrame:
     """``calibration_id, extent_um`` of the records whose number is not in mm as it stands; -1 if it cannot be told.
 
-    The segmentation of the histories comes first, the reading of the evidence decides each record exactly.
+    Records come from the segments of their histories. Where the record's evidence confirms the segment its factor gives
+    the extent; a record that the evidence overrules, and one that has none, is what the evidence says.
     """
-    r = convert_histories(calibrations).filter(~F.col("outcome").isin("no_number", "as_it_stands"))
-    um = F.when(F.col("outcome") == "converted", F.round(F.col("extent_mm") * 1000).cast("long")).otherwise(F.lit(-1).cast("long"))
-    return r.select("calibration_id", F.coalesce(um, F.lit(-1).cast("long")).alias("extent_um"))
+    r = convert_histories(calibrations).filter("outcome <> 'no_number'")
+    um = F.when(F.col("decided_by").isNotNull(), F.round(F.col("extent_mm") * 1000).cast("long"))
+    shifted = F.when(F.col("decided_by") == "segment", F.abs(F.col("history_factor") - 1) > AGREE).otherwise(F.col("outcome") != "as_it_stands")
+    return r.filter(shifted).select("calibration_id", F.coalesce(um, F.lit(-1).cast("long")).alias("extent_um"))
 
 
 #: Spread of the logarithms (base e) within a unit, and the cost of a change of unit, for the changepoint search.
@@ -160,10 +174,11 @@ _FACTORS = list(MM_PER_UNIT.values())
 _LEVELS = [-math.log(f) for f in _FACTORS]
 
 
-def emission(log_value: float, base: float) -> list[float]:
-    """The cost of a record at each unit's level; ``base`` is the logarithm of the extent in mm."""
+def emission(log_value: float, base: float, log_calibrated: float) -> list[float]:
+    """The cost of a record at each unit's level, and last at that of its own calibration (NaN: none); ``base`` is the logarithm of the extent in mm."""
     x = log_value - base
-    return [min(((x - level) / SPREAD) ** 2, OUTLIER) for level in _LEVELS]
+    own = (x + log_calibrated) / SPREAD
+    return [min(((x - level) / SPREAD) ** 2, OUTLIER) for level in _LEVELS] + [min(own * own, OUTLIER) if own == own else 3 * OUTLIER]
 
 
 def step(cost: list[float], e: list[float], penalty: float) -> list[float]:
@@ -178,67 +193,76 @@ def _least(cost: list[float]) -> int:
 
 def unit_segments(calibrations: DataFrame, penalty: float = PENALTY, blocks: int | None = None) -> DataFrame:
     """``label_histories`` of all records with a positive number: calibration_id, sample_id, recorded_at, number, unit_factor, shift, declared_factor."""
-    r = stored(convert_extents(calibrations).filter((F.col("number") > 0) & (F.col("number") < float("inf")) & F.col("sample_id").isNotNull()).select("calibration_id", "sample_id", "recorded_at", "number", "factor"))
+    kept = (F.col("number") > 0) & (F.col("number") < float("inf")) & F.col("sample_id").isNotNull()
+    r = stored(_outcomes(read_units(calibrations)).filter(kept).select("calibration_id", "sample_id", "recorded_at", "number", "factor", "calibrated"))
     return label_histories(r, penalty, blocks).withColumnRenamed("factor", "declared_factor").select("calibration_id", "sample_id", "recorded_at", "number", "unit_factor", "shift", "declared_factor")
 
 
 def label_histories(records: DataFrame, penalty: float = PENALTY, blocks: int | None = None) -> DataFrame:
-    """The unit of each record of a sample's history, found from the numbers alone.
+    """The unit of each record of a sample's history, found from the levels of the numbers.
 
     The cost of a labelling is the sum of squared deviations of log values from the level of their unit plus a penalty
-    per change; the least one is exact (min-plus dynamic programme over all labellings). Each block of a history is a
-    min-plus matrix, so a long history is cut over many tasks and its blocks composed: forward and backward costs that
+    per change; the least one is exact (min-plus dynamic programme over all labellings). Levels are those of the known
+    units, and one at which a number times its record's own ``calibrated`` factor is the base. Each block of a history is
+    a min-plus matrix, so a long history is cut over many tasks and its blocks composed: forward and backward costs that
     come into a block give the same labels as one pass. The base of a sample, the median log extent, comes from records
     with agreed evidence; where a sample has none, the median of its log values stands for it. ``records``: sample_id,
-    recorded_at, calibration_id, number (positive), factor (of the evidence or null) and further columns, which are kept;
-    it is read twice. Adds ``unit_factor`` and ``shift`` (the factor against the record before; 1 for none).
+    recorded_at, calibration_id, number (positive), factor (of the evidence or null), calibrated (mm per unit or null) and
+    further columns, which are kept; it is read twice. Adds ``unit_factor`` and ``shift`` (the factor against the record
+    before; 1 for none).
     """
-    n = len(_LEVELS)
+    n = len(_LEVELS) + 1
     r = records.withColumn("_x", F.log("number"))
     base = r.groupBy("sample_id").agg(F.coalesce(F.percentile_approx(F.col("_x") + F.log("factor"), 0.5, 1000), F.percentile_approx("_x", 0.5, 1000)).alias("_base"))
-    rows = range_blocks(r.join(base, "sample_id"), "sample_id", ["recorded_at", "calibration_id"], blocks)
+    rows = range_blocks(r.withColumn("_c", F.log("calibrated")).join(base, "sample_id"), "sample_id", ["recorded_at", "calibration_id"], blocks)
+
+    def cost_of(row: dict) -> list[float]:
+        own = row["_c"]
+        return emission(row["_x"], row["_base"], math.nan if own is None else own)
 
-    def matrix(own: list[tuple[float, float]]) -> list[float]:
+    def matrix(own: list[list[float]]) -> list[float]:
         """The least cost from each unit before a stretch to each unit at its end."""
         lines = [[0.0 if j == k else math.inf for k in range(n)] for j in range(n)]
-        for x, base in own:
-            e = emission(x, base)
+        for e in own:
             lines = [step(line, e, penalty) for line in lines]
         return [v for line in lines for v in line]
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The matrices of the first and the last history of a partition; those between lie in it as a whole."""
-        out: list[tuple[Any, list[float]]] = []
-        last: tuple[Any, list] | None = None
+        out: list[tuple[Any, list[float], float]] = []
+        last: tuple[Any, list, float] | None = None
         for k, own in rows_by_key(batches, "sample_id"):
-            held = [(row["_x"], row["_base"]) for row in own]
+            held, calibrated = [], math.nan
+            for row in own:
+                held.append(cost_of(row))
+                calibrated = row["calibrated"]
             if out:
-                last = (k, held)
+                last = (k, held, calibrated)
             else:
-                out.append((k, matrix(held)))
+                out.append((k, matrix(held), calibrated))
         if last is not None:
-            out.append((last[0], matrix(last[1])))
+            out.append((last[0], matrix(last[1]), last[2]))
         if out:
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId()] * len(out), "k": [k for k, _ in out], "m": [m for _, m in out]})
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()] * len(out), "k": [x[0] for x in out], "m": [x[1] for x in out], "c": [x[2] for x in out]})
 
-    found = sorted(rows.mapInPandas(edges, "part int, k string, m array<double>").collect(), key=lambda e: (e["part"]))
-    by_part: dict[int, list[tuple[Any, np.ndarray]]] = {}
+    found = sorted(rows.mapInPandas(edges, "part int, k string, m array<double>, c double").collect(), key=lambda e: (e["part"]))
+    by_part: dict[int, list[tuple[Any, np.ndarray, float | None]]] = {}
     for e in found:
-        by_part.setdefault(e["part"], []).append((e["k"], np.array(e["m"]).reshape(n, n)))
-    into: dict[int, tuple[Any, np.ndarray]] = {}
-    state: tuple[Any, np.ndarray] | None = None
+        by_part.setdefault(e["part"], []).append((e["k"], np.array(e["m"]).reshape(n, n), e["c"]))
+    into: dict[int, tuple[Any, np.ndarray, float | None]] = {}
+    state: tuple | None = None
     for p in sorted(by_part):
         if state is not None:
             into[p] = state
-        k, m = by_part[p][-1]
+        k, m, c = by_part[p][-1]
         before = state[1] if state is not None and state[0] == k and len(by_part[p]) == 1 else None
-        state = (k, m.min(axis=0) if before is None else (before[:, None] + m).min(axis=0))
+        state = (k, m.min(axis=0) if before is None else (before[:, None] + m).min(axis=0), c)
     after: dict[int, tuple[Any, np.ndarray]] = {}
     state = None
     for p in sorted(by_part, reverse=True):
         if state is not None:
             after[p] = state
-        k, m = by_part[p][0]
+        k, m, _ = by_part[p][0]
         later = state[1] if state is not None and state[0] == k and len(by_part[p]) == 1 else np.zeros(n)
         state = (k, (m + later[None, :]).min(axis=1))
     handed = r.sparkSession.sparkContext.broadcast((into, after))
@@ -254,7 +278,7 @@ def label_histories(records: DataFrame, penalty: float = PENALTY, blocks: int |
             held = list(own)  # the part of a history in one block
             forward, cost = [], into_p[1].tolist() if into_p is not None and into_p[0] == k else None
             for row in held:
-                e = emission(row["_x"], row["_base"])
+                e = cost_of(row)
                 cost = e if cost is None else step(cost, e, penalty)
                 forward.append(cost)
             late = after_p[1].tolist() if after_p is not None and after_p[0] == k else [0.0] * n
@@ -264,12 +288,14 @@ def label_histories(records: DataFrame, penalty: float = PENALTY, blocks: int |
                 path.append(s if forward[i][s] <= forward[i][t] + penalty else t)
             path.reverse()
             before = None
-            if into_p is not None and into_p[0] == k:
+            if into_p is not None and into_p[0] == k:  # the unit of the record before this block
                 t = int(np.argmin(into_p[1]))
-                before = path[0] if into_p[1][path[0]] <= into_p[1][t] + penalty else t
+                t = path[0] if into_p[1][path[0]] <= into_p[1][t] + penalty else t
+                before = _FACTORS[t] if t < len(_FACTORS) else into_p[2]
             for row, s in zip(held, path):
-                out.append((*(row[c] for c in kept), _FACTORS[s], 1.0 if before is None else _FACTORS[s] / _FACTORS[before]))
-                before = s
+                own = _FACTORS[s] if s < len(_FACTORS) else row["calibrated"]
+                out.append((*(row[c] for c in kept), own, 1.0 if before is None else own / before))
+                before = own
             if len(out) >= 20_000:
                 yield pd.DataFrame(out, columns=names)
                 out = []

@@ -38,9 +38,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_hierarchy": p5_hierarchy,
 }
 
-_words = "|".join(sorted((w for ws in units.UNIT_WORDS.values() for w in ws), key=len, reverse=True))
-_factor = "CASE lower(regexp_replace({0}, '^\\s+|[\\s.]+$', '', 'g')) " + " ".join(f"WHEN '{w}' THEN CAST({units.MM_PER_UNIT[u]} AS DOUBLE)" for u, ws in units.UNIT_WORDS.items() for w in ws) + " END"
-_about = "|".join(units.COORDINATE_WORDS)
+# The SQL has word tables of its own, so that a wrong word in the operator shows.
+_words = "millimetres?|millimeters?|centimetres?|centimeters?|micrometres?|micrometers?|nanometres?|nanometers?|microns?|metres?|meters?|inches|inch|in|mm|cm|um|µm|μm|nm|m"
+_factor = r"""CASE WHEN regexp_full_match(trim({0}, ' .' || chr(9) || chr(10) || chr(13)), '(?i)mm|millimet(re|er)s?') THEN 1.0::DOUBLE WHEN regexp_full_match(trim({0}, ' .' || chr(9) || chr(10) || chr(13)), '(?i)cm|centimet(re|er)s?') THEN 10.0::DOUBLE
+ WHEN regexp_full_match(trim({0}, ' .' || chr(9) || chr(10) || chr(13)), '(?i)m|met(re|er)s?') THEN 1000.0::DOUBLE WHEN regexp_full_match(trim({0}, ' .' || chr(9) || chr(10) || chr(13)), '(?i)um|µm|μm|microns?|micromet(re|er)s?') THEN 0.001::DOUBLE
+ WHEN regexp_full_match(trim({0}, ' .' || chr(9) || chr(10) || chr(13)), '(?i)nm|nanomet(re|er)s?') THEN 0.000001::DOUBLE WHEN regexp_full_match(trim({0}, ' .' || chr(9) || chr(10) || chr(13)), '(?i)in|inch|inches') THEN 25.4::DOUBLE END"""
+_about = "coordinates|coordinate|xyz|numbers|number|axes|axis|units|unit|mesh|model|vertices|points|values|geometry"
 _evidence = rf"""
 WITH r AS (SELECT DISTINCT calibration_id, mm_per_mesh_unit, declared_unit, raw_declaration, coordinate_unit, scale, scale_text, remark FROM calibrations),
 w AS (SELECT *,

@@ -62,3 +62,20 @@ def test_segments_are_exact_and_blocks_agree(spark, blocks):
     assert [i for i in range(len(units_)) if got[i]["shift"] != 1.0] == [6, 11, 15, 18]
     assert got[6]["shift"] == pytest.approx(1e-3)
     assert units.segments(units.unit_segments(records(spark, *given), blocks=blocks)).filter("sample_id = 'a'").count() == 5
+
+
+def test_segments_decide_and_evidence_overrules(spark):
+    given = [{"scale": 150.0, "declared_unit": "mm"}] * 4 + [{"scale": 15.0, "declared_unit": "cm"}] * 3 + [{"scale": 15.01}, {"scale": 15.02, "declared_unit": "inch"}, {"scale": 150.0 / 32.08, "mm_per_mesh_unit": 32.08}, {"scale": 150.0 / 0.47, "mm_per_mesh_unit": 0.47}]
+    rows = {r["calibration_id"]: r for r in units.convert_histories(records(spark, *given)).collect()}
+    assert [rows[i]["history_factor"] for i in range(11)] == [1.0] * 4 + [10.0] * 5 + [32.08, 0.47]
+    assert [rows[i]["decided_by"] for i in range(11)] == ["segment"] * 7 + [None, "evidence", "segment", "segment"] and rows[8]["overruled"]
+    assert rows[4]["shift"] == 10.0 and rows[9]["shift"] == pytest.approx(3.208) and rows[8]["extent_mm"] == pytest.approx(15.02 * 25.4)
+    assert rows[9]["extent_mm"] == pytest.approx(150.0) and rows[7]["extent_mm"] is None
+
+
+@pytest.mark.parametrize("blocks", [1, 5, 11])
+def test_calibrations_of_their_own_agree_over_blocks(spark, blocks):
+    given = [{"scale": 90.0 / f * (1 + 0.01 * (i % 3 - 1)), "mm_per_mesh_unit": f, "sample_id": "ab"[i > 30]} for i, f in enumerate([1.0, 32.08, 32.08, 0.47, 10.0, 10.0, 6.7, 6.7, 6.9, 1.0] * 4)]
+    got = {r["calibration_id"]: r for r in units.unit_segments(records(spark, *given), blocks=blocks).collect()}
+    assert [got[i]["unit_factor"] for i in range(40)] == [g["mm_per_mesh_unit"] for g in given]
+    assert got[2]["shift"] == 1.0 and got[3]["shift"] == pytest.approx(0.47 / 32.08) and got[31]["shift"] == 1.0
