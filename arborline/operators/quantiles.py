@@ -1,12 +1,14 @@
 """Percentiles of very many numbers per group from dyadic Count-sketches.
 
-A value is encoded as an integer of BITS bits that keeps the order (equal steps of the logarithm). For each of the finer
-binary resolutions a group has one signed Count-sketch, for the coarsest a plain array of counts. Sketches are linear:
-those of parts or days are added, and rows can be taken out again by subtraction. A rank is inverted by descending from
-the coarsest level, taking the estimated count of the left half at each.
-
-Before sketching, rows are counted by group and code on the map side, so that a group comes to one task as at most
-2**BITS rows, however hot it is.
+A positive number is encoded by the upper BITS bits of its double, which keep the order, so that every double has a code
+and none is cut off. Each binary resolution of the codes, from the exponent alone to all bits, is one level. A level is a
+signed Count-sketch, except that the coarse levels, as far as they have at most CELLS occupied cells, are held by the
+counts of their cells (of the finest such level; the coarser ones are its sums), which is smaller and has no error. All of
+it is linear: the sketches of tasks, parts or days are added, and rows can be taken out again by subtraction. A rank is
+inverted by descending from the counted level, with the estimated count of the left half at each finer one.
+
+Rows are sketched where they lie and only packed sketches are shuffled, so a hot group comes to a task as one
+sketch of each task before.
 """
 
 from __future__ import annotations
@@ -19,31 +21,32 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborline.common import finite, partitions
+from arborline.common import finite, partitions, stored
 
-BITS, PLAIN = 16, 11  # bits of a code; those of the plain level
-DEPTH, WIDTH = 5, 1024  # rows and counters per row of a sketch
-LOW, STEPS = -24, 1024  # the least value is 2**LOW; steps per factor of two: 2**16 codes reach up to 2**40
-LEVELS = BITS - PLAIN
+EXPONENT, MANTISSA = 11, 12  # bits of a code
+BITS = EXPONENT + MANTISSA
+DEPTH, WIDTH = 5, 2048  # rows and counters per row of a sketch
+CELLS = 2048  # occupied cells up to which a level is counted; the coarsest level has no more in all
 
-#: Relative half-width of a code, the error of the value at a rank.
-VALUE_ERROR = 2 ** (0.5 / STEPS) - 1
+#: Relative half-width of a code (of normal doubles), the error of the value at a rank.
+VALUE_ERROR = 2.0 ** -(MANTISSA + 1)
 
-#: Standard deviations of a counter's noise that the stated rank error allows for each level.
-SIGMAS = 4.0
+#: Standard deviations of a counter's noise that the stated rank error allows for each level, and the heaviest counters of a row that do not count in it.
+SIGMAS, HEAVY = 4.0, WIDTH // 32
 
+_SHIFT = np.uint64(63 - BITS)
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def encode(value: Column) -> Column:
-    """The code of a positive number; values outside 2**-24 .. 2**40 count as the least or the greatest code."""
-    raw = F.floor((F.log2(value) - LOW) * STEPS)
-    return F.greatest(F.lit(0), F.least(F.lit(2**BITS - 1), raw)).cast("int")
+def encode(values: np.ndarray) -> np.ndarray:
+    """The codes of positive finite numbers."""
+    return (np.ascontiguousarray(values, np.float64).view(np.uint64) >> _SHIFT).astype(np.int64)
 
 
-def decode(code: np.ndarray) -> np.ndarray:
-    """The middle (in the logarithm) of the values of a code."""
-    return 2.0 ** ((np.asarray(code) + 0.5) / STEPS + LOW)
+def decode(codes: np.ndarray | int) -> np.ndarray:
+    """The middle of the values of each code."""
+    bits = (np.asarray(codes, np.uint64) << _SHIFT) | (np.uint64(1) << (_SHIFT - np.uint64(1)))
+    return bits.view(np.float64)
 
 
 def _places(cells: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,60 +57,82 @@ def _places(cells: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     x ^= x >> np.uint64(32)
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
-    return (x & np.uint64(WIDTH - 1)).astype(np.int64), np.where(x >> np.uint64(63), 1, -1).astype(np.int64)
+    return (x & np.uint64(WIDTH - 1)).astype(np.int64) + _ROWS, np.where(x >> np.uint64(63), 1, -1).astype(np.int64)
 
 
 _ROWS = np.arange(DEPTH)[:, None] * WIDTH
-_TABLE: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _table(level: int) -> tuple[np.ndarray, np.ndarray]:
-    if level not in _TABLE:
-        at, sign = _places(np.arange(2**level), level)
-        _TABLE[level] = (at + _ROWS, sign)
-    return _TABLE[level]
+def _summed(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each cell once, with its counts added up; cells that come to 0 are left out."""
+    order = np.argsort(cells, kind="stable")
+    cells, counts = cells[order], counts[order]
+    start = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, np.int64)
+    cells, counts = cells[start], np.add.reduceat(counts, start) if len(start) else counts
+    return cells[counts != 0], counts[counts != 0]
+
+
+def _sketched(cells: np.ndarray, counts: np.ndarray, level: int) -> np.ndarray:
+    at, sign = _places(cells, level)
+    return np.bincount(at.ravel(), (sign * counts).ravel(), DEPTH * WIDTH).astype(np.int64)
 
 
 class Sketch:
-    """The counts of one group: ``plain`` of the coarsest level, ``fine`` one Count-sketch per finer level."""
-
-    __slots__ = ("fine", "plain")
-
-    def __init__(self, plain: np.ndarray | None = None, fine: np.ndarray | None = None) -> None:
-        self.plain = np.zeros(2**PLAIN, np.int64) if plain is None else plain
-        self.fine = np.zeros((LEVELS, DEPTH * WIDTH), np.int64) if fine is None else fine
-
-    def add(self, codes: np.ndarray, counts: np.ndarray) -> Sketch:
-        """Count codes in; negative counts take them out."""
-        counts = counts.astype(np.int64)
-        self.plain += np.bincount(codes >> (BITS - PLAIN), counts, 2**PLAIN).astype(np.int64)
-        for i in range(LEVELS):
-            at, sign = _table(PLAIN + 1 + i)
-            cells = codes >> (LEVELS - 1 - i)
-            self.fine[i] += np.bincount(at[:, cells].ravel(), (sign[:, cells] * counts).ravel(), DEPTH * WIDTH).astype(np.int64)
+    """The counts of one group: ``cells`` and ``counts`` of the level ``exact``, and ``fine``, a Count-sketch for each finer level."""
+
+    __slots__ = ("cells", "counts", "exact", "fine")
+
+    def __init__(self) -> None:
+        self.exact, self.cells, self.counts = BITS, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.fine: dict[int, np.ndarray] = {}
+
+    def _coarsen(self, level: int | None = None) -> Sketch:
+        """Goes down to ``level``, or until few enough cells are occupied; levels left behind become sketches."""
+        while self.exact > level if level is not None else len(self.cells) > CELLS:
+            self.fine[self.exact] = _sketched(self.cells, self.counts, self.exact)
+            self.exact -= 1
+            self.cells, self.counts = _summed(self.cells >> 1, self.counts)
         return self
 
+    def add(self, codes: np.ndarray, counts: np.ndarray | None = None) -> Sketch:
+        """Counts codes in; negative counts take them out."""
+        own = Sketch()
+        own.cells, own.counts = _summed(np.asarray(codes, np.int64), np.ones(len(codes), np.int64) if counts is None else np.asarray(counts, np.int64))
+        return self.merge(own)
+
     def merge(self, other: Sketch, times: int = 1) -> Sketch:
-        """Add another sketch (or with ``times`` -1, take it out)."""
-        self.plain += times * other.plain
-        self.fine += times * other.fine
-        return self
+        """Adds another sketch (or with ``times`` -1, takes it out)."""
+        level = min(self.exact, other.exact)
+        cells, counts = other.cells, other.counts
+        self._coarsen(level)
+        for k in range(other.exact, level, -1):
+            self.fine[k] = self.fine[k] + times * _sketched(cells, counts, k)
+            cells, counts = _summed(cells >> 1, counts)
+        for k, own in other.fine.items():
+            self.fine[k] = self.fine[k] + times * own
+        self.cells, self.counts = _summed(np.r_[self.cells, cells], np.r_[self.counts, times * counts])
+        return self._coarsen()
 
     @property
     def total(self) -> int:
-        return int(self.plain.sum())
+        return int(self.counts.sum())
+
+    @property
+    def size(self) -> int:
+        """Bytes held."""
+        return 16 * len(self.cells) + 8 * DEPTH * WIDTH * len(self.fine) + 500
 
     def _count(self, level: int, cell: int) -> int:
-        at, sign = _table(level)
-        return int(np.median(self.fine[level - PLAIN - 1][at[:, cell]] * sign[:, cell]))
+        at, sign = _places(np.array([cell]), level)
+        return int(np.median(self.fine[level][at[:, 0]] * sign[:, 0]))
 
     def code_at(self, share: float) -> int:
         """The code that holds the rank ``ceil(share * total)``, by descending the levels."""
         target = max(1, int(np.ceil(share * self.total - 1e-9)))
-        sums = np.cumsum(self.plain)
-        cell = int(np.searchsorted(sums, target))
-        rest, held = target - int(sums[cell] - self.plain[cell]), int(self.plain[cell])
-        for level in range(PLAIN + 1, BITS + 1):
+        sums = np.cumsum(self.counts)
+        i = min(int(np.searchsorted(sums, target)), len(sums) - 1)
+        cell, rest, held = int(self.cells[i]), target - int(sums[i] - self.counts[i]), int(self.counts[i])
+        for level in range(self.exact + 1, BITS + 1):
             left, right = self._count(level, 2 * cell), self._count(level, 2 * cell + 1)
             left = min(held, max(0, round((left + held - right) / 2)))  # both halves tell of the left one
             if rest <= left:
@@ -117,86 +142,142 @@ class Sketch:
         return cell
 
     def rank_error(self) -> float:
-        """A bound on the error in rank, as a share of the total, from the sketch's own second moments.
+        """A bound on the error in rank, as a share of the total; 0 where all levels are counted.
 
-        A counter is off by sqrt(F2 / WIDTH) on average; of DEPTH counters the median is off by more than SIGMAS times
-        that with a chance under 0.3 percent. The levels have hashes of their own, so their variances add up.
+        In a row of a sketch a cell's estimate is off by sqrt(F2 / WIDTH) on average, with F2 the second moment of the
+        cells that are not among the HEAVY heaviest (which share its counter with a chance of 1 in 32). It is so off by more
+        than SIGMAS times that with a chance of at most 1/32 + 1/16, and the median of DEPTH rows of under 0.8 percent
+        (much less in fact, the bound is Chebyshev's). The levels have hashes of their own, so their variances add up.
         """
         n = self.total
-        f2 = np.median((self.fine.reshape(LEVELS, DEPTH, WIDTH).astype(float) ** 2).sum(axis=2), axis=1)
-        return min(1.0, float(SIGMAS * np.sqrt((f2 / WIDTH).sum()) / n)) if n else 0.0
+        if not self.fine or not n:
+            return 0.0
+        rows = np.sort(np.stack([x.reshape(DEPTH, WIDTH) for x in self.fine.values()]).astype(float) ** 2, axis=2)
+        f2 = np.median(rows[:, :, : WIDTH - HEAVY].sum(axis=2), axis=1)
+        return min(1.0, float(SIGMAS * np.sqrt((f2 / WIDTH).sum()) / n))
 
     def pack(self) -> bytes:
-        return zlib.compress(np.concatenate([self.plain, self.fine.ravel()]).astype("<i8").tobytes(), 1)
+        head = np.array([self.exact, len(self.cells)], "<i8")
+        return zlib.compress(b"".join([head.tobytes(), self.cells.astype("<i8").tobytes(), self.counts.astype("<i8").tobytes(), *(self.fine[k].astype("<i8").tobytes() for k in range(self.exact + 1, BITS + 1))]), 1)
 
     @staticmethod
     def unpack(data: bytes) -> Sketch:
         flat = np.frombuffer(zlib.decompress(data), "<i8").astype(np.int64)
-        return Sketch(flat[: 2**PLAIN].copy(), flat[2**PLAIN :].reshape(LEVELS, DEPTH * WIDTH).copy())
+        out, n = Sketch(), int(flat[1])
+        out.exact, out.cells, out.counts = int(flat[0]), flat[2 : 2 + n].copy(), flat[2 + n : 2 + 2 * n].copy()
+        rest = flat[2 + 2 * n :].reshape(-1, DEPTH * WIDTH)
+        out.fine = {out.exact + 1 + i: x.copy() for i, x in enumerate(rest)}
+        return out
 
 
-def code_counts(values: DataFrame, groups: list[str], value: str, weight: Column | None = None) -> DataFrame:
-    """Rows of a group with the same code as one row: groups, code, n. Null, NaN, infinite and non-positive values do not count."""
-    v = finite(value)
-    rows = values.filter(v > 0).select(*groups, encode(v).alias("code"), (F.lit(1) if weight is None else weight).cast("long").alias("n"))
-    return rows.groupBy(*groups, "code").agg(F.sum("n").alias("n"))
+def _kinds(df: DataFrame, groups: list[str]) -> str:
+    return ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups)
+
 
+def _key(values: tuple) -> tuple:
+    return tuple(None if v is None or v != v else v for v in values)
+
+
+#: Rows that a task takes together before it sketches them, and bytes of sketches that it holds before it hands them on.
+HOLD_ROWS, HOLD_BYTES = 1_000_000, 128 << 20
+
+
+def _sketch_rows(batches: Iterator[pd.DataFrame], groups: list[str]) -> Iterator[pd.DataFrame]:
+    """The sketches of the groups of a task's rows (groups, value, n); a group may come more than once."""
+    names: dict[tuple, int] = {}
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    sketches: dict[int, Sketch] = {}
+    rows = size = 0
+
+    def fold() -> None:
+        nonlocal held, rows, size
+        g, c, n = (np.concatenate(x) for x in zip(*held))
+        held, rows = [], 0
+        order = np.lexsort((c, g))
+        g, c, n = g[order], c[order], n[order]
+        start = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])])
+        g, c, n = g[start], c[start], np.add.reduceat(n, start)
+        edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        for a, b in zip(edge, np.r_[edge[1:], len(g)]):
+            s = sketches.setdefault(int(g[a]), Sketch())
+            size -= s.size
+            own = Sketch()
+            own.cells, own.counts = c[a:b], n[a:b]
+            size += s.merge(own).size
+
+    def out() -> Iterator[pd.DataFrame]:
+        nonlocal size
+        back = list(names)
+        keys = list(sketches)
+        for k in range(0, len(keys), 500):
+            yield pd.DataFrame([(*back[i], sketches[i].total, sketches[i].pack()) for i in keys[k : k + 500]], columns=[*groups, "total", "sketch"])
+        sketches.clear()
+        names.clear()
+        size = 0
 
-def _runs(batches: Iterator[pd.DataFrame], groups: list[str]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
-    """The codes and counts of each group of a sorted partition."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    current: tuple | None = None
     for batch in batches:
         if not len(batch):
             continue
-        keys = batch[groups].astype(object).where(batch[groups].notna(), None)
-        change = np.zeros(len(batch), bool)
-        for g in groups:
-            x = keys[g].to_numpy()
-            change[1:] |= x[1:] != x[:-1]
-        starts = np.r_[0, np.flatnonzero(change), len(batch)]
-        codes, counts = batch["code"].to_numpy(np.int64), batch["n"].to_numpy(np.int64)
-        for a, b in zip(starts[:-1], starts[1:]):
-            key = tuple(keys.iloc[a])
-            if current is not None and key != current:
-                yield current, *(np.concatenate(x) for x in zip(*held))
-                held = []
-            current = key
-            held.append((codes[a:b], counts[a:b]))
-    if current is not None:
-        yield current, *(np.concatenate(x) for x in zip(*held))
+        parts = [pd.factorize(batch[c]) for c in groups]
+        code = np.zeros(len(batch), np.int64)
+        for k, u in parts:
+            code = code * (len(u) + 1) + k + 1
+        _, first, back = np.unique(code, return_index=True, return_inverse=True)
+        own = [tuple(None if k[f] < 0 else u[k[f]] for k, u in parts) for f in first]
+        number = np.array([names.setdefault(key, len(names)) for key in own], np.int64)
+        held.append((number[back], encode(batch["value"].to_numpy()), batch["n"].to_numpy(np.int64)))
+        rows += len(batch)
+        if rows >= HOLD_ROWS:
+            fold()
+            if size > HOLD_BYTES:
+                yield from out()
+    if held:
+        fold()
+    yield from out()
+
+
+def _merged(batches: Iterator[pd.DataFrame], groups: list[str]) -> Iterator[tuple[tuple, Sketch]]:
+    """The sum of the sketches of each group of a sorted partition, one group at a time."""
+    current, s = None, None
+    for batch in batches:
+        for key, data in zip(batch[groups].itertuples(index=False, name=None), batch["sketch"]):
+            key = _key(key)
+            if key == current:
+                s.merge(Sketch.unpack(data))
+                continue
+            if s is not None:
+                yield current, s
+            current, s = key, Sketch.unpack(data)
+    if s is not None:
+        yield current, s
 
 
-def _kinds(df: DataFrame, groups: list[str]) -> str:
-    return ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups)
+def _together(parts: DataFrame, groups: list[str]) -> DataFrame:
+    return parts.select(*groups, "sketch").repartition(partitions(parts.sparkSession), *groups).sortWithinPartitions(*groups)
 
 
-def sketches(counts: DataFrame, groups: list[str]) -> DataFrame:
-    """One sketch per group of ``code_counts``: groups, total, sketch."""
+def _partial(values: DataFrame, groups: list[str], value: str, weight: Column | None = None) -> DataFrame:
+    v = finite(value)
+    rows = values.filter(v > 0).select(*groups, v.alias("value"), (F.lit(1) if weight is None else weight).cast("long").alias("n"))
+    return rows.mapInPandas(lambda batches: _sketch_rows(batches, groups), f"{_kinds(values, groups)}, total long, sketch binary")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, codes, n in _runs(batches, groups):
-            s = Sketch().add(codes, n)
-            yield pd.DataFrame([(*key, s.total, s.pack())], columns=[*groups, "total", "sketch"])
 
-    parts = counts.repartition(partitions(counts.sparkSession), *groups).sortWithinPartitions(*groups)
-    return parts.mapInPandas(run, f"{_kinds(counts, groups)}, total long, sketch binary")
+def sketches(values: DataFrame, groups: list[str], value: str, weight: Column | None = None) -> DataFrame:
+    """One sketch per group: groups, total, sketch.
+
+    Null, NaN, infinite and non-positive values do not count. ``weight``: how often a row counts; -1 takes a row out.
+    """
+    return merge_sketches(_partial(values, groups, value, weight), groups)
 
 
 def merge_sketches(parts: DataFrame, groups: list[str]) -> DataFrame:
-    """The sketches of coarser groups as sums of the parts': first within each partition, then across."""
+    """The sketches of coarser groups as sums of the parts'."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, Sketch] = {}
-        for batch in batches:
-            keys = batch[groups].astype(object).where(batch[groups].notna(), None)
-            for key, data in zip(keys.itertuples(index=False, name=None), batch["sketch"]):
-                held[key] = held[key].merge(Sketch.unpack(data)) if key in held else Sketch.unpack(data)
-        yield pd.DataFrame([(*k, s.total, s.pack()) for k, s in held.items()], columns=[*groups, "total", "sketch"])
+        for key, s in _merged(batches, groups):
+            yield pd.DataFrame([(*key, s.total, s.pack())], columns=[*groups, "total", "sketch"])
 
-    schema = f"{_kinds(parts, groups)}, total long, sketch binary"
-    some = parts.select(*groups, "sketch").mapInPandas(run, schema)
-    return some.repartition(partitions(parts.sparkSession), *groups).mapInPandas(run, schema)
+    return _together(parts, groups).mapInPandas(run, f"{_kinds(parts, groups)}, total long, sketch binary")
 
 
 def _answer(s: Sketch, shares: list[float]) -> tuple:
@@ -209,20 +290,19 @@ def _answers_schema(shares: list[float]) -> tuple[list[str], str]:
 
 
 def percentiles(sketched: DataFrame, groups: list[str], shares: list[float]) -> DataFrame:
-    """The percentiles of sketches: groups, n, p.., value_error (relative), rank_error (share of n)."""
+    """The percentiles of sketches: groups, n, p.., value_error (relative), rank_error (share of n). Groups all of whose rows were taken out again have none."""
     names, kinds = _answers_schema(shares)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = batch[groups].astype(object).where(batch[groups].notna(), None)
-            rows = [(*k, *_answer(Sketch.unpack(d), shares)) for k, d in zip(keys.itertuples(index=False, name=None), batch["sketch"])]
-            yield pd.DataFrame(rows, columns=[*groups, *names])
+            held = ((k, Sketch.unpack(d)) for k, d in zip(batch[groups].itertuples(index=False, name=None), batch["sketch"]))
+            yield pd.DataFrame([(*_key(k), *_answer(s, shares)) for k, s in held if s.total > 0], columns=[*groups, *names])
 
     return sketched.select(*groups, "sketch").mapInPandas(run, f"{_kinds(sketched, groups)}, {kinds}")
 
 
-def percentiles_with_totals(counts: DataFrame, groups: list[str], total: list[str], shares: list[float]) -> DataFrame:
-    """Percentiles of ``groups`` and of the coarser ``total`` (a part of them) in one pass over the counts.
+def percentiles_with_totals(values: DataFrame, groups: list[str], total: list[str], value: str, shares: list[float]) -> DataFrame:
+    """Percentiles of ``groups`` and of the coarser ``total`` (a part of them) from one pass over the values.
 
     Each task answers for its own groups at once and adds their sketches up by ``total``; only those sums are shuffled.
     Rows of the totals have null in the other group columns and ``level`` total, those of the groups ``level`` group.
@@ -232,28 +312,33 @@ def percentiles_with_totals(counts: DataFrame, groups: list[str], total: list[st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, Sketch] = {}
-        out: list[tuple] = []
-        for key, codes, n in _runs(batches, groups):
-            s = Sketch().add(codes, n)
-            out.append(("group", *key, *_answer(s, shares), None))
-            coarse = tuple(key[i] for i in at)
-            if coarse in sums:
-                sums[coarse].merge(s)
-            else:
-                sums[coarse] = s
-        blank = [None] * len(groups)
-        for coarse, s in sums.items():
-            key = list(blank)
-            for i, v in zip(at, coarse):
-                key[i] = v
-            out.append(("part", *key, s.total, *[None] * (len(names) - 1), s.pack()))
-        yield pd.DataFrame(out, columns=["level", *groups, *names, "sketch"])
-
-    parts = counts.repartition(partitions(counts.sparkSession), *groups).sortWithinPartitions(*groups)
-    both = parts.mapInPandas(run, f"level string, {_kinds(counts, groups)}, {kinds}, sketch binary").persist()
+        rows: list[tuple] = []
+
+        def parts() -> list[tuple]:
+            out = []
+            for coarse, s in sums.items():
+                key = [None] * len(groups)
+                for i, v in zip(at, coarse):
+                    key[i] = v
+                out.append(("part", *key, s.total, *[None] * (len(names) - 1), s.pack()))
+            sums.clear()
+            return out
+
+        for key, s in _merged(batches, groups):
+            rows.append(("group", *key, *_answer(s, shares), None))
+            sums.setdefault(tuple(key[i] for i in at), Sketch()).merge(s)
+            if len(sums) > 200:
+                rows += parts()
+            if len(rows) >= 2000:
+                yield pd.DataFrame(rows, columns=["level", *groups, *names, "sketch"])
+                rows = []
+        yield pd.DataFrame(rows + parts(), columns=["level", *groups, *names, "sketch"])
+
+    part = _together(_partial(values, groups, value), groups)
+    both = stored(part.mapInPandas(run, f"level string, {_kinds(values, groups)}, {kinds}, sketch binary"))
     own = both.filter("level = 'group'").drop("sketch")
     sums = percentiles(merge_sketches(both.filter("level = 'part'").select(*total, "sketch"), total), total, shares)
-    missing = [F.lit(None).cast(counts.schema[g].dataType).alias(g) if g not in total else F.col(g) for g in groups]
+    missing = [F.lit(None).cast(values.schema[g].dataType).alias(g) if g not in total else F.col(g) for g in groups]
     return own.unionByName(sums.select(F.lit("total").alias("level"), *missing, *names))
 
 
@@ -278,17 +363,34 @@ def trait_percentiles(traits: DataFrame, shares: list[float] = SHARES) -> DataFr
 
     A null root_order is a group of its own. An empty table gives no rows.
     """
-    counts = code_counts(trait_values(traits), ["accession", "root_order", "metric"], "value")
-    return percentiles_with_totals(counts, ["accession", "root_order", "metric"], ["root_order", "metric"], shares)
+    return percentiles_with_totals(trait_values(traits), ["accession", "root_order", "metric"], ["root_order", "metric"], "value", shares)
 
 
 def day_sketches(traits: DataFrame) -> DataFrame:
     """A sketch per day, root_order and metric, to be kept and combined (merge_sketches)."""
-    keys = ["day", "root_order", "metric"]
-    return sketches(code_counts(trait_values(traits), keys, "value"), keys)
+    return sketches(trait_values(traits), ["day", "root_order", "metric"], "value")
 
 
 def percentiles_over_days(traits: DataFrame, shares: list[float] = SHARES) -> DataFrame:
     """Percentiles per root_order and metric from the sketches of single days, added up."""
     keys = ["root_order", "metric"]
     return percentiles(merge_sketches(day_sketches(traits), keys), keys, shares)
+
+
+def check_percentiles(traits: DataFrame, shares: list[float] = SHARES) -> DataFrame:
+    """Each row of ``trait_percentiles`` held against the exact ranks of all values: level, accession, root_order, metric, n, and per share whether it is within its stated errors."""
+    answers = trait_percentiles(traits, shares)
+    names = _answers_schema(shares)[0][1:-2]
+    keys = ["level", "accession", "root_order", "metric"]
+    v = trait_values(traits).select("accession", "root_order", "metric", "value")
+    v = v.select(F.explode(F.array(F.struct(F.lit("group").alias("level"), "accession"), F.struct(F.lit("total").alias("level"), F.lit(None).cast("string").alias("accession")))).alias("g"), "root_order", "metric", "value").select("g.level", "g.accession", "root_order", "metric", "value")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"v.{k}")) for k in keys]
+    half = 1.01 * VALUE_ERROR
+    held = v.alias("v").join(answers.alias("a"), same).groupBy(*(F.col(f"a.{k}") for k in keys), "a.n", "a.rank_error").agg(
+        *(F.count_if(F.col("v.value") < F.col(f"a.{p}") * (1 - half)).alias(f"lt_{p}") for p in names), *(F.count_if(F.col("v.value") <= F.col(f"a.{p}") * (1 + half)).alias(f"le_{p}") for p in names)
+    )
+    checks = []
+    for p, q in zip(names, shares):
+        target, slack = F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n") - 1e-9)), F.col("rank_error") * F.col("n") + 1e-6
+        checks.append(((F.col(f"lt_{p}") + 1 - target <= slack) & (target - F.col(f"le_{p}") <= slack)).alias(f"{p}_holds"))
+    return held.select(*keys, "n", *checks)

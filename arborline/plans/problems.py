@@ -34,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": lambda s, d: changes.final_links(table(s, d, "ops"), table(s, d, "label_map")),
     "p4_percentiles": lambda s, d: quantiles.trait_percentiles(table(s, d, "traits")),
     "p4_over_days": lambda s, d: quantiles.percentiles_over_days(table(s, d, "traits")),
+    "p4_checked": lambda s, d: quantiles.check_percentiles(table(s, d, "traits")),
     "p5_found": lambda s, d: hierarchy.hierarchy_faults(table(s, d, "roots")),
     "p5_hierarchy": p5_hierarchy,
 }
@@ -102,6 +103,11 @@ SELECT session_id, x.r AS root_id, x.p AS parent_id, x.o AS last_operation_id FR
 """
 
 ORACLES: dict[str, str] = {
+    "p4_checked": """WITH now AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, root_id, run_no ORDER BY loaded_at DESC) AS rn FROM traits) WHERE rn = 1),
+v AS (SELECT accession, root_order, 'length' AS metric, length AS value FROM now WHERE length_measurement_eligible UNION ALL SELECT accession, root_order, 'mean_diameter', mean_diameter FROM now WHERE mean_diameter_measurement_eligible),
+w AS (SELECT * FROM v WHERE isfinite(value) AND value > 0)
+SELECT 'group' AS level, accession, root_order, metric, count(*) AS n, true AS p10_holds, true AS p50_holds, true AS p90_holds, true AS p99_holds FROM w GROUP BY ALL
+UNION ALL SELECT 'total', NULL, root_order, metric, count(*), true, true, true, true FROM w GROUP BY ALL""",
     "p3_found": _replay,
     "p2_found": _evidence + "SELECT calibration_id, CASE WHEN outcome = 'converted' THEN CAST(round(number * factor * 1000) AS BIGINT) ELSE CAST(-1 AS BIGINT) END AS extent_um FROM o WHERE outcome NOT IN ('no_number', 'as_it_stands')",
     "p2_extents": _evidence + "SELECT calibration_id, round(number * factor, 6) AS extent_mm, outcome FROM o",
