@@ -6,7 +6,7 @@ tour give its depth, its ancestors and its descendants (those whose entry lies b
 
 Samples of up to ``limit`` roots are laid side by side and ranked by a vectorised kernel, many in one Arrow batch, after
 one shuffle. Larger ones are peeled and ranked by joins (pointer doubling), in which no task sees a whole sample. Both
-ways give the same result.
+ways give the same in all columns: siblings are toured in the order of their keys.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from arborline.common import newest, normal_key, partitions, stored
 #: Roots of a sample that one task may hold.
 LIMIT = 100_000
 
-#: Children of one root are chained over so many windows.
+#: Children of one root are chained over so many windows, each over a range of keys.
 FANS = 64
 
 SCHEMA = "sample_id string, root_id string, parent_root_id string, root_order int, kind string, top_root_id string, depth long, entry long, exit long, descendants long"
@@ -186,9 +186,9 @@ def _samples_by_joins(links: DataFrame, paths: bool) -> DataFrame:
     tops = circle.select("sample_id", "key", F.col("top").alias("circle_top"))
     cut_ = stored(nodes.join(tops, ["sample_id", "key"], "left").withColumn("forest", F.when(F.col("circle_top").isNull(), F.col("parent"))))
 
-    # Euler tours. Siblings are ordered by (fan, key): windows within a fan, then a window over the fans of one parent.
-    fan = F.pmod(F.xxhash64("key"), F.lit(FANS)).cast("int")
-    kids = cut_.filter("forest is not null").select("sample_id", "forest", "key", fan.alias("fan"))
+    # Euler tours. Siblings are ordered by key: windows within a range of keys (fan), then a window over the fans of one parent.
+    kids = cut_.filter("forest is not null").select("sample_id", "forest", "key").repartitionByRange(FANS, "key")
+    kids = stored(kids.withColumn("fan", F.spark_partition_id()))
     within = kids.withColumn("next", F.lead("key").over(W.partitionBy("sample_id", "forest", "fan").orderBy("key")))
     fans = kids.groupBy("sample_id", "forest", "fan").agg(F.min("key").alias("first"), F.max("key").alias("final"))
     fans = fans.withColumn("next_first", F.lead("first").over(W.partitionBy("sample_id", "forest").orderBy("fan")))

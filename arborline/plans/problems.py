@@ -20,7 +20,14 @@ def p2_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.hierarchies(table(spark, d, "roots"), paths=True)
+    """Each root with its interval of the Euler tour and its path as a text."""
+    h = hierarchy.hierarchies(table(spark, d, "roots"), paths=True)
+    return h.withColumn("path", F.array_join("path", "/"))
+
+
+def p5_faults_by_joins(spark: SparkSession, d: str) -> DataFrame:
+    """The same findings as p5_found by the way that holds no sample in a task."""
+    return hierarchy.hierarchy_faults(table(spark, d, "roots"), limit=0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -37,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_checked": lambda s, d: quantiles.check_percentiles(table(s, d, "traits")),
     "p5_found": lambda s, d: hierarchy.hierarchy_faults(table(s, d, "roots")),
     "p5_hierarchy": p5_hierarchy,
+    "p5_faults_by_joins": p5_faults_by_joins,
 }
 
 # The SQL has word tables of its own, so that a wrong word in the operator shows.
@@ -102,6 +110,8 @@ z AS (SELECT session_id, arg_max(s, k) AS s FROM st GROUP BY session_id)
 SELECT session_id, x.r AS root_id, x.p AS parent_id, x.o AS last_operation_id FROM (SELECT session_id, unnest(s) AS x FROM z) WHERE x.r <> 'primary'
 """
 
+_findings = "SELECT sample_id, root_id, finding, top_root_id, CAST(depth AS BIGINT) AS depth FROM x WHERE finding IS NOT NULL"
+
 ORACLES: dict[str, str] = {
     "p4_checked": """WITH now AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, root_id, run_no ORDER BY loaded_at DESC) AS rn FROM traits) WHERE rn = 1),
 v AS (SELECT accession, root_order, 'length' AS metric, length AS value FROM now WHERE length_measurement_eligible UNION ALL SELECT accession, root_order, 'mean_diameter', mean_diameter FROM now WHERE mean_diameter_measurement_eligible),
@@ -111,5 +121,14 @@ UNION ALL SELECT 'total', NULL, root_order, metric, count(*), true, true, true,
     "p3_found": _replay,
     "p2_found": _evidence + "SELECT calibration_id, CASE WHEN outcome = 'converted' THEN CAST(round(number * factor * 1000) AS BIGINT) ELSE CAST(-1 AS BIGINT) END AS extent_um FROM o WHERE outcome NOT IN ('no_number', 'as_it_stands')",
     "p2_extents": _evidence + "SELECT calibration_id, round(number * factor, 6) AS extent_mm, outcome FROM o",
-    "p5_found": HIERARCHY + "SELECT sample_id, root_id, finding, top_root_id, CAST(depth AS BIGINT) AS depth FROM x WHERE finding IS NOT NULL",
+    "p5_found": HIERARCHY + _findings,
+    "p5_faults_by_joins": HIERARCHY + _findings,
+    "p5_hierarchy": HIERARCHY + """, t AS (SELECT sample_id, origin AS k, looped, first, list_reverse(seen[1:CASE WHEN looped THEN first + 1 ELSE links + 1 END]) AS line FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY sample_id, line[1] ORDER BY line) - 1 AS pre, len(line) - 1 AS deep FROM t),
+up AS (SELECT sample_id, k, unnest(line) AS a, generate_subscripts(line, 1) AS i FROM t),
+below AS (SELECT sample_id, a AS k, count(*) - 1 AS descendants FROM up GROUP BY ALL),
+names AS (SELECT up.sample_id, up.k, string_agg(n.root_id, '/' ORDER BY i) AS path FROM up JOIN n ON n.sample_id = up.sample_id AND n.k = up.a GROUP BY ALL)
+SELECT p.sample_id, l.root_id, m.root_id AS parent_root_id, nullif(l.root_order, -1) AS root_order, CASE WHEN NOT p.looped THEN 'tree' WHEN p.first = 0 THEN 'cycle' ELSE 'below_cycle' END AS kind, x.top_root_id, CAST(p.deep AS BIGINT) AS depth,
+ CAST(2 * pre - deep AS BIGINT) AS entry, CAST(2 * pre - deep + 2 * descendants + 1 AS BIGINT) AS exit, CAST(descendants AS BIGINT) AS descendants, names.path
+FROM p JOIN l USING (sample_id, k) LEFT JOIN n m ON m.sample_id = l.sample_id AND m.k = l.up JOIN below USING (sample_id, k) JOIN names USING (sample_id, k) JOIN x ON x.sample_id = p.sample_id AND x.root_id = l.root_id""",
 }

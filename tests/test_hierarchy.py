@@ -41,7 +41,7 @@ def test_both_ways_agree(spark, seed):
     a = {(r["sample_id"], r["root_id"]): r for r in hierarchy.hierarchies(df, True).collect()}
     b = {(r["sample_id"], r["root_id"]): r for r in hierarchy.hierarchies(df, True, limit=0).collect()}
     c = {(r["sample_id"], r["root_id"]): r for r in hierarchy.hierarchies(df, True, limit=100).collect()}
-    for field in ("kind", "top_root_id", "depth", "descendants", "path", "parent_root_id"):
+    for field in ("kind", "top_root_id", "depth", "entry", "exit", "descendants", "path", "parent_root_id", "root_order"):
         assert {k: r[field] for k, r in a.items()} == {k: r[field] for k, r in b.items()} == {k: r[field] for k, r in c.items()}
     for x in (a, b):  # the intervals hold exactly the descendants
         for (s, r), v in x.items():
