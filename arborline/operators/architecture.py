@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from arborline.common import finite
+from arborline.common import finite, running_sum
 from arborline.functions import geometry as g
 
 METRICS = ("length", "mean_diameter")
@@ -22,9 +22,13 @@ STATES = ("complete", "partial", "unavailable", "excluded")
 SAME_PLACE = 1e-9
 
 
-def latest_traits(traits: DataFrame) -> DataFrame:
-    """The newest measurement of each root: greatest run, then latest load; one row per (sample_id, root_id)."""
-    keep = [c for c in traits.columns if c not in ("sample_id", "root_id", "run_no", "loaded_at")]
+def latest_traits(traits: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The newest measurement of each root: greatest run, then latest load; one row per (sample_id, root_id).
+
+    ``columns``: those that are wanted (default: all), so that others are not read; rows that agree in run and load are
+    told apart by them.
+    """
+    keep = [c for c in (traits.columns if columns is None else columns) if c not in ("sample_id", "root_id", "run_no", "loaded_at")]
     return traits.groupBy("sample_id", "root_id").agg(F.max(F.struct("run_no", "loaded_at", *keep)).alias("r")).select("sample_id", "root_id", "r.*")
 
 
@@ -114,17 +118,18 @@ def branch_gaps(branches: DataFrame, by: list[str], distinct: bool = False) -> D
 
 
 def distribution(traits: DataFrame, metric: str, by: list[str]) -> DataFrame:
-    """The empirical distribution function: by, value, n, cumulative (share up to the value)."""
+    """The empirical distribution function: by, value, n, cumulative (share up to the value). A group with very many values is summed in ranges."""
     t = traits.select(*by, eligible(metric).alias("value")).filter("value is not null")
-    n = t.groupBy(*by, "value").agg(F.count("*").alias("n"))
-    w = W.partitionBy(*by)
-    return n.withColumn("cumulative", F.sum("n").over(w.orderBy("value").rowsBetween(W.unboundedPreceding, 0)) / F.sum("n").over(w))
+    n = running_sum(t.groupBy(*by, "value").agg(F.count("*").alias("n")), by, ["value"], "n", "_up_to")
+    every = n.groupBy(*by).agg(F.sum("n").alias("_every"))
+    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by]
+    return n.alias("n").join(every.alias("e"), same).select(*(f"n.{c}" for c in by), "value", "n", (F.col("_up_to") / F.col("_every")).alias("cumulative"))
 
 
 def inventory(roots: DataFrame, traits: DataFrame) -> DataFrame:
     """All current roots, with the newest traits where there are any: one row per root, both sides reduced to one row per key first."""
     now = roots.groupBy("sample_id", "root_id").agg(F.max(F.struct("recorded_at", "parent_id", "root_order", "confidence")).alias("r")).select("sample_id", "root_id", "r.parent_id", "r.root_order", "r.confidence")
-    t = latest_traits(traits).select("sample_id", "root_id", eligible("length").alias("length"), "length_measurement_status", eligible("mean_diameter").alias("mean_diameter"))
+    t = latest_traits(traits, ["length", "length_measurement_status", "length_measurement_eligible", "mean_diameter", "mean_diameter_measurement_eligible"]).select("sample_id", "root_id", eligible("length").alias("length"), "length_measurement_status", eligible("mean_diameter").alias("mean_diameter"))
     return now.join(t, ["sample_id", "root_id"], "left")
 
 

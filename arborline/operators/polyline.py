@@ -15,6 +15,9 @@ from arborline.operators.spatial import segment_distances
 
 BY = ["root_id"]
 
+#: Consecutive segments that share a box in a search for the nearest one.
+BOXED = 32
+
 
 def usable(nodes: DataFrame) -> DataFrame:
     """Nodes with three finite coordinates."""
@@ -85,13 +88,23 @@ def resample(nodes: DataFrame, spacing: float, by: list[str] = BY) -> DataFrame:
 def project(points: DataFrame, nodes: DataFrame, by: list[str] = BY) -> DataFrame:
     """The nearest place on the own polyline of each point: point_id, arc, distance; ties go to the first segment.
 
-    ``points``: by, point_id, x, y, z. The join is on the polyline, each pair is reduced at once by a minimum.
+    ``points``: by, point_id, x, y, z. A polyline's segments stand in boxes of BOXED consecutive ones. Points meet the
+    boxes of their polyline, keep those that may hold the nearest segment (none whose nearest corner is farther than the
+    farthest corner of another), and meet only the segments in these. Minima are taken of plain numbers, in hash aggregates.
     """
-    s = segments(nodes, by)
+    w = W.partitionBy(*by).orderBy("seg_id")
+    s = segments(nodes, by).withColumn("_box", F.floor((F.row_number().over(w) - 1) / BOXED).cast("long"))
     p = points.select(*by, "point_id", *(F.col(a).alias(f"p{a}") for a in "xyz"))
-    s = s.select(*by, "seg_id", "arc", "length", *(F.col(f"a{a}").alias(f"s{a}") for a in "xyz"), *((F.col(f"b{a}") - F.col(f"a{a}")).alias(f"u{a}") for a in "xyz"))
-    pairs = segment_distances(p.join(s, by), [*by, "point_id", "seg_id", "arc", "length"])
-    best = pairs.groupBy(*by, "point_id").agg(F.min(F.struct("square", "seg_id", "t", "arc", "length")).alias("m"))
+    boxes = s.groupBy(*by, "_box").agg(*(F.min(F.least(f"a{a}", f"b{a}")).alias(f"lo{a}") for a in "xyz"), *(F.max(F.greatest(f"a{a}", f"b{a}")).alias(f"hi{a}") for a in "xyz"))
+    near = [F.greatest(F.lit(0.0), F.col(f"lo{a}") - F.col(f"p{a}"), F.col(f"p{a}") - F.col(f"hi{a}")) for a in "xyz"]
+    far = [F.greatest(F.abs(F.col(f"p{a}") - F.col(f"lo{a}")), F.abs(F.col(f"p{a}") - F.col(f"hi{a}"))) for a in "xyz"]
+    met = p.join(boxes, by).select(*by, "point_id", "px", "py", "pz", "_box", g.dot(near, near).alias("_near"), g.dot(far, far).alias("_far"))
+    bound = met.groupBy(*by, "point_id").agg(F.min("_far").alias("_bound"))
+    kept = met.join(bound, [*by, "point_id"]).filter(F.col("_near") <= F.col("_bound") * (1 + 1e-9)).drop("_near", "_far", "_bound")
+    s = s.select(*by, "_box", "seg_id", "arc", "length", *(F.col(f"a{a}").alias(f"s{a}") for a in "xyz"), *((F.col(f"b{a}") - F.col(f"a{a}")).alias(f"u{a}") for a in "xyz"))
+    pairs = segment_distances(kept.join(s, [*by, "_box"]), [*by, "point_id", "seg_id", "arc", "length"])
+    least = pairs.groupBy(*by, "point_id").agg(F.min("square").alias("_least"))
+    best = pairs.join(least, [*by, "point_id"]).filter(F.col("square") <= F.col("_least")).groupBy(*by, "point_id").agg(F.min(F.struct("seg_id", "square", "t", "arc", "length")).alias("m"))
     return best.select(*by, "point_id", (F.col("m.arc") + F.col("m.t") * F.col("m.length")).alias("arc"), F.sqrt("m.square").alias("distance"))
 
 

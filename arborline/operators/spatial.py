@@ -1,8 +1,9 @@
 """Neighbourhood joins on points by a grid: equal-join on cells, then the exact distance.
 
 Points are ``{id}, x, y, z`` with optional ``by`` columns (a sample). A cell is as wide as the search radius, so that all
-partners stand in the 27 cells around; only the smaller side is copied into them. Crowded cells are split by AQE's skew
-handling, since both sides of the join are hash partitioned by cell; points without coordinates have no neighbours.
+partners stand in the 27 cells around; only the smaller side is copied into them. Both sides of the join are hash
+partitioned by cell by the join itself, so that AQE splits the parts with crowded cells; a search for the nearest starts
+with a radius at which no cell is crowded. Points without coordinates have no neighbours.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from arborline.common import partitions, stored
+from arborline.common import stored
 from arborline.functions import geometry as g
 
 
@@ -27,18 +28,12 @@ def _cells(points: DataFrame, width: float, around: bool) -> DataFrame:
     return out
 
 
-def _spread(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash partitioned by cell into a fixed number of parts: pairs cost much more than their rows, so that small inputs must not be coalesced to one task."""
-    return cells.repartition(partitions(cells.sparkSession), *keys)
-
-
 def within(left: DataFrame, right: DataFrame, radius: float, by: list[str] | None = None) -> DataFrame:
     """Pairs of ``left`` (a_id, x, y, z) and ``right`` (b_id, x, y, z) at most ``radius`` apart: a_id, b_id, distance."""
     by = by or []
     a = _cells(left, radius, False).select(*by, "a_id", *(F.col(c).alias(f"a{c}") for c in "xyz"), "_cx", "_cy", "_cz")
     b = _cells(right, radius, True).select(*by, "b_id", *(F.col(c).alias(f"b{c}") for c in "xyz"), "_cx", "_cy", "_cz")
     d = g.norm(g.minus(g.xyz("a"), g.xyz("b")))
-    b = _spread(b, [*by, "_cx", "_cy", "_cz"])
     return a.join(b, [*by, "_cx", "_cy", "_cz"]).withColumn("distance", d).filter(F.col("distance") <= radius).select(*by, "a_id", "b_id", "distance")
 
 
@@ -49,25 +44,39 @@ def radius_counts(points: DataFrame, radius: float) -> DataFrame:
     return points.select("id").join(n, "id", "left").select("id", F.coalesce("neighbours", F.lit(0)).cast("long").alias("neighbours"))
 
 
+#: Different places in one cell, as a multiple of k, from which on a search starts with a smaller radius.
+CROWD = 50
+
+
 def start_radius(points: DataFrame, k: int) -> tuple[float, float]:
-    """A radius that holds some 2k points if they were spread evenly, and the diagonal of all points."""
+    """A radius that holds some 2k points if they were spread evenly, less if cells of its width were crowded, and the diagonal of all points."""
     r = points.agg(F.count("*").alias("n"), *(f(a).alias(f"{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max)))).first()
     if not r["n"] or r["lox"] is None:
         return 1.0, 1.0
     sides = [r[f"hi{a}"] - r[f"lo{a}"] for a in "xyz"]
     diagonal = max(sum(s * s for s in sides) ** 0.5, 1e-9)
     volume = max(1e-300, sides[0] * sides[1] * sides[2])
-    return min(diagonal, max((2 * k * volume / (4.19 * r["n"])) ** (1 / 3), diagonal * 1e-4)), diagonal
+    radius = min(diagonal, max((2 * k * volume / (4.19 * r["n"])) ** (1 / 3), diagonal * 1e-4))
+    places = points.select("x", "y", "z").distinct() if r["n"] > CROWD * k else None
+    while places is not None and radius > diagonal * 1e-9:
+        most = places.groupBy(*(_cell(F.col(a), radius) for a in "xyz")).count().agg(F.max("count")).first()[0] or 0
+        if most <= CROWD * k:
+            break
+        radius /= 2
+    return radius, diagonal
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, radius: float | None = None, same: bool = False) -> DataFrame:
     """The ``k`` nearest of ``right`` for each of ``left``, exact: a_id, b_id, distance, rank (ties by b_id).
 
     A point that has k partners within the radius is done, since none nearer can lie outside; the radius is doubled for
-    the rest until it spans everything. ``same``: the two are one table and a point is not its own partner.
+    the rest until it spans everything. ``same``: the two are one table and a point is not its own partner. Of points
+    of ``right`` at one place only the k (and one) of least id can be partners, so that others are left out at first.
     """
     start, diagonal = start_radius(left.select("x", "y", "z").unionByName(right.select("x", "y", "z")), k)
     radius = radius or start
+    at = W.partitionBy("x", "y", "z").orderBy("b_id")
+    right = stored(right.select("b_id", "x", "y", "z").withColumn("_n", F.row_number().over(at)).filter(F.col("_n") <= k + int(same)).drop("_n"))
     todo, done = left, None
     while True:
         whole = radius > diagonal
@@ -148,7 +157,7 @@ def nearest_two_owners(points: DataFrame, pieces: DataFrame, radius: float) -> D
     short = short.select("*", *(((F.col(f"s{a}") + F.col(f"e{a}")) / 2).alias(a) for a in "xyz"))
     reach = 1.5 * radius
     left = _cells(points, reach, False).select("id", *(F.col(a).alias(f"p{a}") for a in "xyz"), "_cx", "_cy", "_cz")
-    right = _spread(_cells(short, reach, True).drop("x", "y", "z"), ["_cx", "_cy", "_cz"])
+    right = _cells(short, reach, True).drop("x", "y", "z")
     right = right.withColumns({f"u{a}": F.col(f"e{a}") - F.col(f"s{a}") for a in "xyz"}).drop("ex", "ey", "ez")
     pairs = segment_distances(left.join(right, ["_cx", "_cy", "_cz"]), ["id", "owner"])
     # The limit comes after the minimum: put before it, the planner would move it into the join and compute it there again.

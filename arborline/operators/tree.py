@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from arborline.common import normal_key
+from arborline.common import normal_key, running_sum
 from arborline.functions import geometry as g
 from arborline.functions.text import stable_id
 from arborline.operators.hierarchy import current_links, hierarchies
-from arborline.operators.scan import range_blocks, scan_blocks
 
 
 def orders(roots: DataFrame) -> DataFrame:
@@ -73,17 +72,9 @@ def prune(roots: DataFrame, offending: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Adds ``number``, 1, 2, ... per key in an order, like row_number, but no key passes through one task.
 
-    Rows are range partitioned by key and order; the counts of the key that runs on across partitions are carried over.
+    The order must be unique within a key. Rows are numbered within ranges of (key, order), after the counts of the ranges before.
     """
-
-    def emit(_, rows, state):
-        n = int(state) if state else 0
-        for row in rows:
-            n += 1
-            yield row | {"number": n}
-
-    fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return scan_blocks(range_blocks(df, key, order), key, lambda rows: str(sum(1 for _ in rows)).encode(), lambda a, b: str(int(a or 0) + int(b)).encode(), emit, f"{fields}, number long")
+    return running_sum(df.withColumn("_one", F.lit(1).cast("long")), [key], order, "_one", "number").drop("_one")
 
 
 def stable_ids(roots: DataFrame) -> DataFrame:

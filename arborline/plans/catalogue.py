@@ -53,24 +53,24 @@ _scopes = """, scoped AS (SELECT sample_id, el, ed, unnest(list_filter(['system'
  round(quantile_cont(ed, 0.1), 9) AS diameter_p10, round(quantile_cont(ed, 0.5), 9) AS diameter_p50, round(quantile_cont(ed, 0.9), 9) AS diameter_p90, round(quantile_cont(ed, 0.75) - quantile_cont(ed, 0.25), 9) AS diameter_iqr,
  round(sum(el) / nullif(count(el), 0), 9) AS length_per_root FROM scoped GROUP BY sample_id, scope""")
 def architecture_summary(s: SparkSession, d: str) -> DataFrame:
-    return rounded(arch.scope_summary(traits(s, d), ["sample_id"]), 9)
+    return rounded(arch.scope_summary(traits(s, d, "root_order", "length", "mean_diameter"), ["sample_id"]), 9)
 
 
 @query(with_sql("latest") + """SELECT accession, 'length' AS metric, count(*) FILTER (length_measurement_status = 'complete') AS complete, count(*) FILTER (length_measurement_status = 'partial') AS partial, count(*) FILTER (length_measurement_status = 'unavailable') AS unavailable, count(*) FILTER (length_measurement_status = 'excluded') AS excluded, count(*) FILTER (length_measurement_status NOT IN ('complete','partial','unavailable','excluded') OR length_measurement_status IS NULL) AS other FROM latest GROUP BY accession
 UNION ALL SELECT accession, 'mean_diameter', count(*) FILTER (mean_diameter_measurement_status = 'complete'), count(*) FILTER (mean_diameter_measurement_status = 'partial'), count(*) FILTER (mean_diameter_measurement_status = 'unavailable'), count(*) FILTER (mean_diameter_measurement_status = 'excluded'), count(*) FILTER (mean_diameter_measurement_status NOT IN ('complete','partial','unavailable','excluded') OR mean_diameter_measurement_status IS NULL) FROM latest GROUP BY accession""")
 def metric_status_partition(s: SparkSession, d: str) -> DataFrame:
-    return arch.status_counts(traits(s, d), ["accession"])
+    return arch.status_counts(traits(s, d, "accession", "length_measurement_status", "mean_diameter_measurement_status"), ["accession"])
 
 
 @query(with_sql("latest") + "SELECT sample_id, root_order, count(*) AS laterals FROM latest WHERE root_order > 0 AND el IS NOT NULL GROUP BY ALL")
 def lateral_counts_by_order(s: SparkSession, d: str) -> DataFrame:
-    return arch.laterals_by_order(traits(s, d), ["sample_id"])
+    return arch.laterals_by_order(traits(s, d, "root_order", "length"), ["sample_id"])
 
 
 @query(with_sql("latest") + """, one AS (SELECT sample_id, CAST(count(*) AS DOUBLE) AS root_count, CAST(count(*) FILTER (root_order > 0) AS DOUBLE) AS lateral_count, CAST(max(root_order) AS DOUBLE) AS max_order, sum(el) AS total_length, sum(CASE WHEN root_order > 0 THEN el END) AS lateral_length, avg(ed) AS mean_diameter, sum(CASE WHEN isfinite(volume) THEN volume END) AS total_volume, CAST(count(*) FILTER (length_measurement_status = 'complete') AS DOUBLE) AS complete_lengths FROM latest GROUP BY sample_id)
 SELECT sample_id, trait, round(value, 9) AS value FROM one UNPIVOT INCLUDE NULLS (value FOR trait IN (root_count, lateral_count, max_order, total_length, lateral_length, mean_diameter, total_volume, complete_lengths))""")
 def system_summary_kv(s: SparkSession, d: str) -> DataFrame:
-    return rounded(arch.system_summary(traits(s, d), ["sample_id"]), 9)
+    return rounded(arch.system_summary(traits(s, d, "root_order", "length", "length_measurement_status", "mean_diameter", "volume"), ["sample_id"]), 9)
 
 
 _gap = with_sql("current") + """, g AS (SELECT sample_id, p AS parent_key, root_id, CAST(insertion_index AS DOUBLE) AS arc FROM current WHERE p IS NOT NULL AND insertion_index IS NOT NULL),
@@ -98,14 +98,14 @@ def branch_density(s: SparkSession, d: str) -> DataFrame:
 
 @query(with_sql("latest") + ", n AS (SELECT accession, ed AS value, count(*) AS n FROM latest WHERE ed IS NOT NULL GROUP BY ALL) SELECT accession, value, n, round(sum(n) OVER (PARTITION BY accession ORDER BY value ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY accession), 6) AS cumulative FROM n")
 def diameter_distribution(s: SparkSession, d: str) -> DataFrame:
-    return arch.distribution(traits(s, d), "mean_diameter", ["accession"]).withColumn("cumulative", F.round("cumulative", 6))
+    return arch.distribution(traits(s, d, "accession", "mean_diameter"), "mean_diameter", ["accession"]).withColumn("cumulative", F.round("cumulative", 6))
 
 
 @query(with_sql("latest", "current") + """, own AS (SELECT c.sample_id, c.root_id, c.k, c.p, l.el FROM current c JOIN latest l ON l.sample_id = c.sample_id AND l.root_id = c.root_id)
 SELECT a.sample_id, a.root_id, round(a.el / b.el, 6) AS ratio, a.el > b.el + greatest(1e-12, 1e-9 * greatest(a.el, b.el)) AS exceeds,
  CASE WHEN a.el > b.el + greatest(1e-12, 1e-9 * greatest(a.el, b.el)) THEN round(0.05 * greatest(0.0, least(1.0, (a.el - b.el) / a.el)), 6) ELSE 0.0 END AS penalty FROM own a JOIN own b ON b.sample_id = a.sample_id AND b.k = a.p WHERE a.el IS NOT NULL AND b.el IS NOT NULL""")
 def child_parent_length_review(s: SparkSession, d: str) -> DataFrame:
-    return rounded(tree.length_review(table(s, d, "roots"), traits(s, d).select("sample_id", "root_id", arch.eligible("length").alias("length"))))
+    return rounded(tree.length_review(table(s, d, "roots"), traits(s, d, "length").select("sample_id", "root_id", arch.eligible("length").alias("length"))))
 
 
 @query(with_sql("latest", "current") + "SELECT c.sample_id, c.root_id, c.parent_id, c.root_order, c.confidence, l.el AS length, l.length_measurement_status, l.ed AS mean_diameter FROM current c LEFT JOIN latest l ON l.sample_id = c.sample_id AND l.root_id = c.root_id")
@@ -123,7 +123,7 @@ def trait_dictionary(s: SparkSession, d: str) -> DataFrame:
 
 @query(with_sql("latest") + ", b AS (SELECT sample_id, root_id, ed FROM latest WHERE ed IS NOT NULL) SELECT sample_id, root_id, CAST(row_number() OVER w AS INTEGER) AS rank, round(ed - lead(ed) OVER w, 6) AS margin FROM b WINDOW w AS (PARTITION BY sample_id ORDER BY ed DESC, root_id)")
 def ranked_diameters(s: SparkSession, d: str) -> DataFrame:
-    t = traits(s, d).select("sample_id", "root_id", arch.eligible("mean_diameter").alias("ed")).filter("ed is not null")
+    t = traits(s, d, "mean_diameter").select("sample_id", "root_id", arch.eligible("mean_diameter").alias("ed")).filter("ed is not null")
     return rounded(arch.ranked(t, ["sample_id"], "ed", "root_id").select("sample_id", "root_id", "rank", "margin"))
 
 
@@ -181,14 +181,14 @@ _project = with_sql("nodes", "arcs", "segs") + """, pts AS (SELECT root_id, node
 j AS (SELECT p.root_id, p.point_id, s.seg_id, s.arc, s.length, px, py, pz, ax, ay, az, bx-ax AS ux, by_-ay AS uy, bz-az AS uz FROM pts p JOIN segs s USING (root_id)),
 t AS (SELECT *, CASE WHEN ux*ux+uy*uy+uz*uz > 0 THEN greatest(0.0, least(1.0, ((px-ax)*ux+(py-ay)*uy+(pz-az)*uz) / (ux*ux+uy*uy+uz*uz))) ELSE 0.0 END AS t FROM j),
 q AS (SELECT root_id, point_id, arc + t * length AS arc, sqrt(pow(px-ax-ux*t,2) + pow(py-ay-uy*t,2) + pow(pz-az-uz*t,2)) AS distance, row_number() OVER (PARTITION BY root_id, point_id ORDER BY sqrt(pow(px-ax-ux*t,2) + pow(py-ay-uy*t,2) + pow(pz-az-uz*t,2)), seg_id) AS rn FROM t)
-SELECT root_id, point_id, round(distance, 4) AS distance FROM q WHERE rn = 1"""
+SELECT root_id, point_id, round(arc, 4) AS arc, round(distance, 4) AS distance FROM q WHERE rn = 1"""
 
 
 @query(_project)
 def polyline_project(s: SparkSession, d: str) -> DataFrame:
     n = nodes(s, d)
     pts = n.select("root_id", F.col("node_id").alias("point_id"), (F.col("x") + 3).alias("x"), (F.col("y") - 2).alias("y"), (F.col("z") + 0.5).alias("z"))
-    return rounded(polyline.project(pts, n).select("root_id", "point_id", "distance"), 4)
+    return rounded(polyline.project(pts, n).select("root_id", "point_id", "arc", "distance"), 4)
 
 
 @query(with_sql("nodes") + """, s AS (SELECT root_id, 0.5 + y / 20 AS r0, 0.5 + lead(y) OVER w / 20 AS r1, sqrt(pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w - y, 2) + pow(lead(z) OVER w - z, 2)) AS h FROM nodes WINDOW w AS (PARTITION BY root_id ORDER BY node_id))
@@ -322,7 +322,7 @@ def mutual_knn_contacts(s: SparkSession, d: str) -> DataFrame:
     return rounded(spatial.mutual_contacts(vertices(s, d), NEIGHBOURS))
 
 
-_pieces = """, pc AS (SELECT * FROM (SELECT label AS owner, x AS ax, y AS ay, z AS az, lead(x) OVER w AS bx, lead(y) OVER w AS by_, lead(z) OVER w AS bz FROM vertices WHERE id % 5 = 0 WINDOW w AS (PARTITION BY label ORDER BY id)) WHERE bx IS NOT NULL),
+_pieces = """, pc AS (SELECT * FROM (SELECT label AS owner, x AS ax, y AS ay, z AS az, lead(x) OVER w AS bx, lead(y) OVER w AS by_, lead(z) OVER w AS bz FROM vertices WINDOW w AS (PARTITION BY label ORDER BY id)) WHERE bx IS NOT NULL),
 pt AS (SELECT v.id, p.owner, v.x-ax AS px, v.y-ay AS py, v.z-az AS pz, bx-ax AS ux, by_-ay AS uy, bz-az AS uz FROM vertices v, pc p),
 pd AS (SELECT id, owner, sqrt(pow(px-ux*t,2)+pow(py-uy*t,2)+pow(pz-uz*t,2)) AS dist FROM (SELECT *, greatest(0.0, least(1.0, (px*ux+py*uy+pz*uz) / (ux*ux+uy*uy+uz*uz))) AS t FROM pt)),
 po AS (SELECT id, owner, min(dist) AS dist FROM pd WHERE dist <= 0.15 GROUP BY ALL), pk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, owner) AS rank FROM po),

@@ -32,8 +32,10 @@ def nodes(s: SparkSession, d: str) -> DataFrame:
     return e.select("*", (-F.col("node_id")).cast("double").alias("z"))
 
 
-def traits(s: SparkSession, d: str) -> DataFrame:
-    return latest_traits(table(s, d, "traits"))
+def traits(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The newest traits of each root, with these columns only; a metric stands for its value and whether it is eligible."""
+    wide = [x for c in columns for x in ((c, f"{c}_measurement_eligible") if c in ("length", "mean_diameter") else (c,))]
+    return latest_traits(table(s, d, "traits"), wide)
 
 
 def branches(s: SparkSession, d: str) -> DataFrame:
@@ -43,7 +45,7 @@ def branches(s: SparkSession, d: str) -> DataFrame:
 
 
 def children_and_parents(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = traits(s, d).select("sample_id", "root_id", eligible("length").alias("length"))
+    t = traits(s, d, "length").select("sample_id", "root_id", eligible("length").alias("length"))
     links = current_links(table(s, d, "roots"))
     own = links.join(t, ["sample_id", "root_id"], "left").select("sample_id", "key", "parent_key", "length")
     return own.filter("parent_key is not null").select("sample_id", F.col("parent_key").alias("parent_id"), F.col("length").isNotNull().alias("ok")), own.select("sample_id", F.col("key").alias("root_id"), "length")
