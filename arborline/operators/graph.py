@@ -60,8 +60,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     e = edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     ends = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id")))
     every = (ends if nodes is None else ends.union(nodes.select("id"))).filter("id is not null").distinct()
-    e = _observed(_contracted(e))[0]
-    last = None
+    e, last = _observed(_contracted(e))
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

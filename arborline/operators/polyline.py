@@ -104,7 +104,8 @@ def project(points: DataFrame, nodes: DataFrame, by: list[str] = BY) -> DataFram
     s = s.select(*by, "_box", "seg_id", "arc", "length", *(F.col(f"a{a}").alias(f"s{a}") for a in "xyz"), *((F.col(f"b{a}") - F.col(f"a{a}")).alias(f"u{a}") for a in "xyz"))
     pairs = segment_distances(kept.join(s, [*by, "_box"]), [*by, "point_id", "seg_id", "arc", "length"])
     least = pairs.groupBy(*by, "point_id").agg(F.min("square").alias("_least"))
-    best = pairs.join(least, [*by, "point_id"]).filter(F.col("square") <= F.col("_least")).groupBy(*by, "point_id").agg(F.min(F.struct("seg_id", "square", "t", "arc", "length")).alias("m"))
+    again = segment_distances(kept.join(least, [*by, "point_id"]).join(s, [*by, "_box"]), [*by, "point_id", "seg_id", "arc", "length", "_least"])
+    best = again.filter(F.col("square") <= F.col("_least")).groupBy(*by, "point_id").agg(F.min(F.struct("seg_id", "square", "t", "arc", "length")).alias("m"))
     return best.select(*by, "point_id", (F.col("m.arc") + F.col("m.t") * F.col("m.length")).alias("arc"), F.sqrt("m.square").alias("distance"))
 
 
