@@ -11,6 +11,7 @@ Test items are held in blocks of bounded size, to which all documents are stream
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -46,6 +47,9 @@ SIEVE, PIECE = 18, 250
 #: Greatest number of item words held by a Python worker at a time (some 400 bytes of index a word); more are looked for block by block.
 BLOCK_WORDS = 200_000
 
+#: Words of documents that a task takes together through the blocks of items.
+HOLD = 1_000_000
+
 _SEED = 20240229
 
 
@@ -53,6 +57,7 @@ class Index(NamedTuple):
     """The windows of a block of items: words as numbers, and per table the sorted keys with their windows."""
 
     vocabulary: dict[str, int]
+    figure: np.ndarray
     flat: np.ndarray
     offset: np.ndarray
     item: list[int]
@@ -65,6 +70,13 @@ class Index(NamedTuple):
     sieve: np.ndarray
 
 
+_DIGIT = re.compile(r"\d")
+
+
+def has_figure(word: str) -> bool:
+    return _DIGIT.search(word) is not None
+
+
 def _codes(flat: np.ndarray, starts: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """The code of the window at each start: STEPS words, those beyond the window as -1."""
     out = np.empty((STEPS, len(starts)), np.int32)
@@ -93,8 +105,8 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     flat = np.array([w for t in texts for w in t] + [0] * WINDOW, np.int32)
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     rng = np.random.default_rng(_SEED)
-    size = len(vocabulary) + 2
-    # Step and word give a bit; unknown words (0) and the end (-1, the last) have bits of their own.
+    size = len(vocabulary) + 3
+    # Step and word give a bit; unknown words (0), unknown figures (after the vocabulary) and the end (-1, the last) have bits of their own.
     bits = rng.integers(0, 2**63, (WALKS, size), np.uint64)
     places = np.stack([np.sort(rng.choice(STEPS - 4, PLACES, replace=False)) for _ in range(WALKS * TABLES)])
     factors = rng.integers(0, 2**63, (WALKS * TABLES, PLACES), np.uint64) | np.uint64(1)
@@ -109,7 +121,8 @@ def build_index(items: list[tuple[int, str]]) -> Index:
             keys.append(k[order])
             windows.append(starts[order])
             sieve[t, (k >> np.uint64(64 - SIEVE)).astype(np.int64)] = True
-    return Index(vocabulary, flat, offset, [i for i, _ in items], owner, bits, places, factors, keys, windows, sieve)
+    figure = np.array([False, *map(has_figure, vocabulary), True, False])
+    return Index(vocabulary, figure, flat, offset, [i for i, _ in items], owner, bits, places, factors, keys, windows, sieve)
 
 
 def _candidates(ix: Index, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,40 +183,48 @@ def runs_of(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def holds_run(matches: list[tuple[int, int]], run: int = RUN, altered: float = ALTERED) -> bool:
+def holds_run(matches: list[tuple[int, int]], item_figures: np.ndarray | None = None, doc_figures: np.ndarray | None = None, run: int = RUN, altered: float = ALTERED) -> bool:
     """Whether some span from match to match has ``run`` item words or more with at most that share of edits.
 
-    Edits between two matches are the larger of the words missing on either side; half an edit is let off for rounding.
+    Edits between two matches are the larger of the words missing on either side, and one more for each figure on one side
+    that must stand against a figure on the other.
     """
+    gap = (lambda f, a, b: int(f[a:b].sum())) if item_figures is not None else (lambda f, a, b: 0)
     for x in range(len(matches)):
         errors = 0
         i0 = matches[x][0]
         for y in range(x + 1, len(matches)):
             (i, j), (p, q) = matches[y], matches[y - 1]
             errors += max(i - p, j - q) - 1
+            if i - p > 1 and j - q > 1:
+                errors += min(gap(item_figures, p + 1, i), gap(doc_figures, q + 1, j))
             length = i - i0 + 1
-            if length >= run and errors <= altered * length + 0.5:
+            if length >= run and errors <= altered * length + 1e-9:
                 return True
-            if errors > altered * (matches[-1][0] - i0 + 1) + 0.5:
+            if errors > altered * (matches[-1][0] - i0 + 1) + 1e-9:
                 break
     return False
 
 
-def aligned_run(item: np.ndarray, doc: np.ndarray, run: int = RUN, altered: float = ALTERED) -> bool:
+def aligned_run(item: np.ndarray, doc: np.ndarray, item_figures: np.ndarray | None = None, doc_figures: np.ndarray | None = None, run: int = RUN, altered: float = ALTERED) -> bool:
     """Whether ``holds_run`` is true of any alignment of the two, not only of one with the most matches.
 
+    A word may be altered into another at the cost of one edit, but not a figure into another figure: that is two edits, a
+    word left out and one put in, since a text built like the item with other figures is no passage of it.
+
     Row by row of the item, for each number of edits the most item words that a span may have that began with a match and
-    ends at this place. A span of twice ``half`` words can be halved, and the half with the lesser share of edits still
-    has ``run`` words when edits at its ends are left off, so that more edits than fit a shorter span need not be followed.
+    ends at this place: the least edits of every span, over all alignments. A span of twice ``half`` words can be halved,
+    and the half with the lesser share of edits still has ``run`` words when edits at its ends are left off, so that more
+    edits than fit a shorter span need not be followed.
     """
     half = run
-    while half - int(altered * half + 0.25) < run:
+    while half - int(altered * half + 1e-9) < run:
         half += 1
-    edits = int(altered * (2 * half - 1) + 0.5)
-    need = np.array([max(run, int(np.ceil((e - 0.5) / altered))) for e in range(edits + 1)])[:, None]
+    edits = int(altered * (2 * half - 1) + 1e-9)
+    need = np.array([max(run, int(np.ceil(e / altered - 1e-9))) for e in range(edits + 1)])[:, None]
     none = -len(item) - 1
     last = np.full((edits + 1, len(doc) + 1), none, np.int32)
-    for w in item:
+    for x, w in enumerate(item):
         both, now = last[:, :-1] + 1, np.full_like(last, none)
         same = np.flatnonzero(doc == w)
         if len(same):
@@ -212,7 +233,10 @@ def aligned_run(item: np.ndarray, doc: np.ndarray, run: int = RUN, altered: floa
             if (ends >= need).any():
                 return True
             now[:, same + 1] = ends
-        now[1:, 1:] = np.maximum(now[1:, 1:], both[:-1])
+        other = both[:-1]
+        if item_figures is not None and item_figures[x]:
+            other = np.where(doc_figures[None, :], none, other)
+        now[1:, 1:] = np.maximum(now[1:, 1:], other)
         now[1:] = np.maximum(now[1:], last[:-1] + 1)
         for e in range(1, edits + 1):
             np.maximum(now[e, 1:], now[e - 1, :-1], out=now[e, 1:])
@@ -235,24 +259,25 @@ def _confirmed(ix: Index, doc: np.ndarray, item: int, starts: np.ndarray, at: np
         for k in range(0, max(1, len(stretch)), 400):
             # The one alignment with the most matches is had cheaply; where it has no run, another one may.
             piece = stretch[k : k + 600]
-            if holds_run(runs_of(own, piece)) or aligned_run(own, piece):
+            figures = ix.figure[own], ix.figure[piece]
+            if holds_run(runs_of(own, piece), *figures) or aligned_run(own, piece, *figures):
                 return True
     return False
 
 
-def search_batch(ix: Index, ids: list[int], texts: list[str | None]) -> list[tuple[int, int]]:
-    """(document, item) of a batch of whole documents."""
+def search_batch(ix: Index, ids: list[int], texts: list[list[str]]) -> list[tuple[int, int]]:
+    """(document, item) of a batch of whole documents, given as their words."""
     pieces, spans, n = [], [], 0
-    get = ix.vocabulary.get
+    get, strange = ix.vocabulary.get, len(ix.vocabulary) + 1
     for text in texts:
-        w = np.array([get(x, 0) for x in words(text)], np.int32)
+        w = np.array([get(x) or (strange if has_figure(x) else 0) for x in text], np.int32)
         spans.append((n, n + len(w)))
         pieces += [w, np.zeros(WINDOW, np.int32)]
         n += len(w) + WINDOW
     if not pieces:
         return []
     flat = np.concatenate(pieces)
-    known = np.r_[0, np.cumsum(flat > 0)]
+    known = np.r_[0, np.cumsum((flat > 0) & (flat < strange))]
     starts = np.concatenate([np.arange(a, b - WINDOW + 1, STRIDE) if b - a >= WINDOW else np.zeros(0, np.int64) for a, b in spans])
     starts = starts[known[starts + WINDOW] - known[starts] >= NEAR] if len(starts) else starts
     if not len(starts):
@@ -281,8 +306,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, block_words: int = BLOC
 
     ``documents``: doc_id, text. ``items``: item_id, question, answer; an item's words are those of the question, then
     of the answer. A passage is RUN or more running words of the item of which up to ALTERED may be altered, left out or
-    put in. Items are gone through in blocks of at most about ``block_words`` words (the size of what a task holds), each
-    block against all documents. Null and empty texts hold nothing; items shorter than RUN words are never found; an item
+    put in. The corpus is read and split into words once; a task takes documents of about HOLD words together and goes with
+    them through the items block by block, each of at most about ``block_words`` words (the size of what a task holds). Null and empty texts hold nothing; items shorter than RUN words are never found; an item
     with two rows counts with each. Repeated documents are found each.
     """
     text = F.concat_ws(" ", F.col("question"), F.col("answer"))
@@ -291,17 +316,31 @@ def leaked_items(documents: DataFrame, items: DataFrame, block_words: int = BLOC
     blocks = max(1, -(-int(total) // (5 * block_words)))
     rows = documents.filter("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long"
-    out = None
+    indexes = []
     for b in range(blocks):
         part = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        index = documents.sparkSession.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in part]))
-
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for k in range(0, len(batch), PIECE):
-                    piece = batch.iloc[k : k + PIECE]
-                    yield pd.DataFrame(search_batch(index.value, piece["doc_id"].tolist(), piece["text"].tolist()), columns=["doc_id", "item_id"])
-
-        found = rows.mapInPandas(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
+        indexes.append(documents.sparkSession.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in part])))
+
+    def search(held: list[tuple[int, list[str]]]) -> Iterator[pd.DataFrame]:
+        for index in indexes:
+            ix = index.value
+            for k in range(0, len(held), PIECE):
+                piece = held[k : k + PIECE]
+                yield pd.DataFrame(search_batch(ix, [i for i, _ in piece], [w for _, w in piece]), columns=["doc_id", "item_id"])
+            if len(indexes) > 1:
+                del ix
+                index.__dict__.pop("_value", None)  # one block at a time in a worker
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for batch in batches:
+            for i, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+                held.append((i, words(text)))
+                size += len(held[-1][1])
+                if (len(held) >= PIECE and len(indexes) == 1) or size >= HOLD:
+                    yield from search(held)
+                    held, size = [], 0
+        yield from search(held)
+
+    return rows.mapInPandas(run, schema).distinct()

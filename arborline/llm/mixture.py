@@ -26,8 +26,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits a text before byte-pair encoding with this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Texts from this length on are encoded in pieces of at least PIECE characters.
-LONG, PIECE = 1_000_000, 100_000
+#: Texts are encoded in pieces of at least so many characters.
+PIECE = 100_000
 
 # A blank after another character: no match of PATTERN goes over this place or looks across it from before, so that a text
 # may be cut here. (What Python's \S matches is no blank to the tokenizer either.)
@@ -48,15 +48,14 @@ def _encoding(path: str):
 def pieces(text: str) -> Iterator[str]:
     """The text in pieces that have together as many tokens as the whole."""
     at = 0
-    if len(text) >= LONG:
-        while m := _BREAK.search(text, at + PIECE):
-            yield text[at : m.start()]
-            at = m.start()
+    while m := _BREAK.search(text, at + PIECE):
+        yield text[at : m.start()]
+        at = m.start()
     yield text[at:]
 
 
 def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id, source, n_tokens`` of each document; a null text has none. Very long texts are encoded piece by piece, with the count of the whole."""
+    """``doc_id, source, n_tokens`` of each document; a null text has none. Texts are encoded piece by piece, with the count of the whole."""
 
     def tokens(text: str | None) -> int:
         if not text:
@@ -153,7 +152,7 @@ def calibrate(drawn: DataFrame, rows: list[dict], passes: int = 2) -> list[dict]
         for s, (a, b) in open_.items():
             w = (b - a) / TRIALS
             open_[s] = (max(a, best[s][1] - w), min(b, best[s][1] + w))
-    return [r | {"table": cut_poisson(best[r["source"]][1], r["max_repeats"])} if r["source"] in best else r for r in rows]
+    return [r | {"drawn": best[r["source"]][1], "table": cut_poisson(best[r["source"]][1], r["max_repeats"])} if r["source"] in best else r | {"drawn": r["rate"]} for r in rows]
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = SEED, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -161,7 +160,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
 
     The mixture: ``position_key, doc_id, copy, source, n_tokens, text``, a row per copy (1 ..), globally shuffled: range
     partitioned and sorted by a hash of document and copy. The report: ``source, target_share, max_repeats, available_tokens,
-    rate, documents, copies, tokens, reached_share`` for every source of the targets. ``documents``: doc_id (unique),
+    planned_rate, rate`` (the one drawn with), ``documents, copies, tokens, reached_share, share_error`` (reached less target)
+    for every source of the targets. ``documents``: doc_id (unique),
     text, source. Source names count alike despite case, outer blanks and blanks for underscores; documents of other
     sources, without a source or without tokens stay out. Of repeated targets of a source the greatest share counts. The
     list of targets (one row per source) is collected, the documents never are. Empty tables give an empty mixture.
@@ -173,7 +173,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
     spark = documents.sparkSession
     counted = counted.filter("n_tokens > 0").withColumn("u", uniform(seed, "doc_id"))
     rows = calibrate(counted.select("source", "n_tokens", "u"), plan(available, wanted, total_tokens))
-    rates = spark.createDataFrame([(r["source"], r["table"], r["rate"]) for r in rows], "source string, below array<double>, rate double")
+    rates = spark.createDataFrame([(r["source"], r["table"], r["rate"], r["drawn"]) for r in rows], "source string, below array<double>, planned_rate double, rate double")
     repeats = counted.join(F.broadcast(rates), "source").withColumn("copies", F.size(F.filter("below", lambda c: c <= F.col("u")))).filter("copies > 0")
     chosen = repeats.select("doc_id", "source", "n_tokens", "copies")
     copies = chosen.join(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
@@ -184,6 +184,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
     every = per.agg(F.sum("tokens").alias("every"))
     have = spark.createDataFrame(list(available.items()), "source string, available_tokens long")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    report = t.join(F.broadcast(have), "source", "left").join(F.broadcast(rates.select("source", "rate")), "source", "left").join(per, "source", "left").crossJoin(F.broadcast(every))
-    report = report.select("source", "target_share", "max_repeats", zero("available_tokens"), F.coalesce("rate", F.lit(0.0)).alias("rate"), zero("documents"), zero("copies"), zero("tokens"), F.coalesce(F.col("tokens") / F.col("every"), F.lit(0.0)).alias("reached_share"))
+    report = t.join(F.broadcast(have), "source", "left").join(F.broadcast(rates.select("source", "planned_rate", "rate")), "source", "left").join(per, "source", "left").crossJoin(F.broadcast(every))
+    report = report.select("source", "target_share", "max_repeats", zero("available_tokens"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("planned_rate", "rate")), zero("documents"), zero("copies"), zero("tokens"), F.coalesce(F.col("tokens") / F.col("every"), F.lit(0.0)).alias("reached_share"))
+    report = report.withColumn("share_error", F.col("reached_share") - F.col("target_share"))
     return mixed, report

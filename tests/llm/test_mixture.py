@@ -66,6 +66,6 @@ def test_token_counts(spark):
 
 def test_long_texts_count_as_a_whole(spark):
     text = "def f(x):\n\n\n        return x  \n \t\n    if it's 12,5:\n\n\u00a0 y\r\n\r\n" * 20_000
-    assert len(text) > m.LONG and "".join(m.pieces(text)) == text and len(list(m.pieces(text))) > 5
+    assert len(text) > 10 * m.PIECE and "".join(m.pieces(text)) == text and len(list(m.pieces(text))) > 5
     rows = m.count_tokens(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).collect()
     assert rows[0]["n_tokens"] == len(m._encoding(m.VOCABULARY).encode_ordinary(text))
