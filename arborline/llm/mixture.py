@@ -116,7 +116,8 @@ def plan(available: dict[str, int], targets: list[tuple[str, float, float]], tot
         total_tokens = min(available[s] * cap / (share / whole) for s, share, cap in usable)
     out = []
     for s, share, cap in usable:
-        rate = min(float(cap), total_tokens * share / whole / available[s])
+        rate = total_tokens * share / whole / available[s]
+        rate = float(cap) if rate > cap * (1 - 1e-9) else rate
         out.append({"source": s, "target_share": share, "max_repeats": cap, "available": available[s], "rate": rate, "table": cut_poisson(rate, cap)})
     return out
 

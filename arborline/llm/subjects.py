@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborline.llm.text import fold, plain
@@ -242,20 +242,33 @@ def trained(documents: DataFrame, examples: DataFrame) -> Matcher:
     return Matcher(weights, threshold_of(scores))
 
 
-def document_subjects(documents: DataFrame, examples: DataFrame) -> DataFrame:
+def save_model(spark: SparkSession, matcher: Matcher, path: str) -> None:
+    """Writes a trained matcher as a table of terms, so that later documents are labelled as earlier ones were."""
+    rows = [(w, s, float(x), float(matcher.threshold)) for w, (s, x) in sorted(matcher.weights.items())]
+    spark.createDataFrame(rows or [(None, None, None, float(matcher.threshold))], "term string, subject string, weight double, threshold double").write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> Matcher:
+    """The matcher of ``save_model``; its terms (bounded by the examples' words and by 1 / FLOOR) are collected."""
+    rows = spark.read.parquet(path).collect()
+    return Matcher({r["term"]: (r["subject"], r["weight"]) for r in rows if r["term"] is not None}, rows[0]["threshold"] if rows else 0.0)
+
+
+def document_subjects(documents: DataFrame, examples: DataFrame | None = None, model: Matcher | None = None) -> DataFrame:
     """``doc_id, subject``: each subject with which a quarter or more of a document's sentences deal.
 
     ``documents``: doc_id, text; ``examples``: example_id, subject, text. Null and empty texts and texts without
-    sentences have no subject, and without examples no document has one. Sentences of two subjects in a tie go to the
+    sentences have no subject, and without examples no document has one. With a ``model`` (``trained``, ``load_model``) the
+    examples are not read and nothing is learnt from these documents, so that a document keeps its subjects as the corpus grows. Sentences of two subjects in a tie go to the
     alphabetically first. Equal documents get equal subjects.
     """
-    labels = sentence_labels(documents, trained(documents, examples))
+    labels = sentence_labels(documents, model or trained(documents, examples))
     return labels.filter("subject is not null and sentences >= total * cast(" + str(SHARE) + " as double)").select("doc_id", "subject")
 
 
-def corpus_subjects(documents: DataFrame, examples: DataFrame) -> DataFrame:
+def corpus_subjects(documents: DataFrame, examples: DataFrame | None = None, model: Matcher | None = None) -> DataFrame:
     """The make-up of the corpus: per subject (null: none) its documents, sentences, and their shares of all."""
-    labels = sentence_labels(documents, trained(documents, examples))
+    labels = sentence_labels(documents, model or trained(documents, examples))
     has = F.col("subject").isNotNull() & (F.col("sentences") >= F.col("total") * SHARE)
     by = labels.groupBy("subject").agg(F.sum("sentences").alias("sentences"), F.count(F.when(has, 1)).alias("documents"))
     every = by.agg(F.sum("sentences").alias("every"))

@@ -82,3 +82,14 @@ def test_held_out_accuracy(spark):
                 every += len(labels)
                 good += sum(x == subject for x in labels)
     assert good / every >= 0.97
+
+
+def test_a_kept_model_labels_alike(spark, tmp_path):
+    d = spark.createDataFrame([(i, sentence("sea", i) + " " + FILLER[i % 3], "x", 1) for i in range(20)], DOCS)
+    model = s.trained(d, examples(spark))
+    s.save_model(spark, model, str(tmp_path / "model"))
+    kept = s.load_model(spark, str(tmp_path / "model"))
+    assert kept.weights == model.weights and kept.threshold == model.threshold
+    assert sorted(s.document_subjects(d, model=kept).collect()) == sorted(s.document_subjects(d, examples(spark)).collect())
+    s.save_model(spark, s.Matcher({}, 0.0), str(tmp_path / "none"))
+    assert s.document_subjects(d, model=s.load_model(spark, str(tmp_path / "none"))).count() == 0
