@@ -163,6 +163,12 @@ def seam_index(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     return p.join(unsafe, "representative", "left").select("id", F.when(F.col("unsafe"), F.col("id")).otherwise(F.col("representative")).alias("representative"))
 
 
+def corner_weights(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """A third of the area of its faces at each vertex that has any: id, weight."""
+    thirds = face_measures(faces, vertices).select(F.explode(F.array("a", "b", "c")).alias("id"), (F.col("area") / 3).alias("w"))
+    return thirds.groupBy("id").agg(F.sum("w").alias("weight"))
+
+
 def drop_hidden(faces: DataFrame, vertices: DataFrame, hidden: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices and whole faces without the ``hidden`` ids."""
     v = vertices.join(hidden.select("id"), "id", "left_anti")

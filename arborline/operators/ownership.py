@@ -114,6 +114,32 @@ def arc_weighted_radius(profile: DataFrame, by: list[str]) -> DataFrame:
     return profile.select(*by, step.alias("h"), (step * mean).alias("hr")).filter("hr is not null").groupBy(*by).agg(g.ratio(F.sum("hr"), F.sum("h")).alias("radius"))
 
 
+def arc_median_radius(profile: DataFrame, by: list[str]) -> DataFrame:
+    """The radius that half of the length does not exceed, with the radius linear between nodes: by, radius.
+
+    ``profile``: by, node_id, arc, radius. The distribution function is piecewise linear between the radii of the nodes, so
+    its inverse at one half is exact.
+    """
+    w = W.partitionBy(*by).orderBy("node_id")
+    r1 = F.lead("radius").over(w)
+    s = profile.select(*by, (F.lead("arc").over(w) - F.col("arc")).alias("h"), F.least("radius", r1).alias("lo"), F.greatest("radius", r1).alias("hi")).filter("h > 0 and lo is not null and hi is not null")
+    # At a place r the function rises by the flat pieces there; between places its slope is that of the pieces that span them.
+    slope = F.col("h") / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo"))
+    marks = s.filter("hi > lo").select(*by, F.explode(F.array(F.struct(F.col("lo").alias("r"), slope.alias("rise"), F.lit(0.0).alias("flat")), F.struct(F.col("hi").alias("r"), (-slope).alias("rise"), F.lit(0.0).alias("flat")))).alias("m")).select(*by, "m.*")
+    marks = marks.unionByName(s.filter("hi = lo").select(*by, F.col("lo").alias("r"), F.lit(0.0).alias("rise"), F.col("h").alias("flat")))
+    at = marks.groupBy(*by, "r").agg(F.sum("rise").alias("rise"), F.sum("flat").alias("flat"))
+    o = W.partitionBy(*by).orderBy("r")
+    past = o.rowsBetween(W.unboundedPreceding, -1)
+    steep = at.withColumn("r0", F.lag("r").over(o)).withColumn("slope", F.coalesce(F.sum("rise").over(past), F.lit(0.0)))
+    grown = F.coalesce((F.col("r") - F.col("r0")) * F.col("slope"), F.lit(0.0))
+    up_to = steep.withColumn("grown", grown).withColumn("before", F.sum(grown).over(o.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce(F.sum("flat").over(past), F.lit(0.0)))
+    total = s.groupBy(*by).agg(F.sum("h").alias("total"))
+    f = up_to.join(total, by).withColumn("half", F.col("total") / 2).filter(F.col("before") + F.col("flat") >= F.col("half") * (1 - 2e-12))
+    first = f.groupBy(*by).agg(F.min(F.struct("r", "r0", "slope", "grown", "before", "half")).alias("m")).select(*by, "m.*")
+    inside = F.col("r") - (F.col("before") - F.col("half")) / F.when(F.col("slope") > 0, F.col("slope"))
+    return first.select(*by, F.when((F.col("before") <= F.col("half")) | (F.col("grown") <= 0) | F.col("r0").isNull(), F.col("r")).otherwise(inside).alias("radius"))
+
+
 # Attachments and conflicts
 
 

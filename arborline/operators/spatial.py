@@ -8,6 +8,10 @@ with a radius at which no cell is crowded. Points without coordinates have no ne
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -196,3 +200,73 @@ def depth_histogram(points: DataFrame, bins: int = 10) -> DataFrame:
     held = points.crossJoin(F.broadcast(span)).select(F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
     every = points.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(held, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("points"))
+
+
+def _kinds(df: DataFrame, by: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+
+
+def principal_variances(points: DataFrame, by: list[str]) -> DataFrame:
+    """The variances along the principal axes of each group, from great to small: first, second, third.
+
+    Covariances are aggregated with a map-side combine, so that a group of any size comes as six numbers.
+    """
+    pairs = ("xx", "yy", "zz", "xy", "yz", "xz")
+    c = points.groupBy(*by).agg(*(F.covar_pop(p[0], p[1]).alias(f"_{p}") for p in pairs)).na.drop(subset=[f"_{p}" for p in pairs])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            m = np.empty((len(batch), 3, 3))
+            for p in pairs:
+                i, j = "xyz".index(p[0]), "xyz".index(p[1])
+                m[:, i, j] = m[:, j, i] = batch[f"_{p}"]
+            w = np.linalg.eigvalsh(m)[:, ::-1]
+            yield batch[by].assign(first=w[:, 0], second=w[:, 1], third=w[:, 2])
+
+    return c.mapInPandas(run, f"{_kinds(points, by)}, first double, second double, third double")
+
+
+def envelope(points: DataFrame, by: list[str]) -> DataFrame:
+    """Depth (along z), the greatest horizontal width, and depth to width of each group.
+
+    The width is that of the convex hull: each task reduces its points of a group to the corners of their hull, the
+    corners of all tasks are put together.
+    """
+    from arborline.operators.kernels import hull_2d, hull_width
+
+    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for key, own in batch.groupby(by, dropna=False):
+                p = own[["x", "y"]].to_numpy()
+                held[key] = hull_2d(np.concatenate([held[key], p]) if key in held else p)
+        rows = [(*k, float(x), float(y)) for k, h in held.items() for x, y in h]
+        yield pd.DataFrame(rows, columns=[*by, "x", "y"])
+
+    def width(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, hull_width(pdf[["x", "y"]].to_numpy()))], columns=[*by, "width"])
+
+    p = points.filter("x is not null and y is not null and z is not null")
+    flat = p.select(*by, "x", "y").mapInPandas(corners, f"{_kinds(points, by)}, x double, y double")
+    wide = flat.groupBy(*by).applyInPandas(width, f"{_kinds(points, by)}, width double")
+    depth = p.groupBy(*by).agg((F.max("z") - F.min("z")).alias("depth"))
+    return depth.join(wide, by).select(*by, "depth", "width", g.ratio(F.col("depth"), F.col("width")).alias("depth_to_width"))
+
+
+def landmarks(points: DataFrame, by: list[str], count: int) -> DataFrame:
+    """``count`` spread-out points of each group: the lowest, then always the one farthest from those chosen (ties: the smallest id): by, place, id.
+
+    One aggregation over all points for each place, so that a group of any size is spread over all tasks; points at places
+    already chosen are no more chosen.
+    """
+    left = stored(points.filter("x is not null and y is not null and z is not null").select(*by, "id", "x", "y", "z", F.lit(float("inf")).alias("_gap")))
+    at = F.struct("id", "x", "y", "z")
+    new = stored(left.groupBy(*by).agg(F.min_by(at, F.struct("z", "id")).alias("m")).select(*by, F.lit(0).cast("long").alias("place"), "m.*"))
+    out = new.select(*by, "place", "id")
+    for place in range(1, count):
+        last = new.select(*by, *(F.col(a).alias(f"c{a}") for a in "xyz"))
+        square = g.minus(g.xyz(), g.xyz("c"))
+        left = stored(left.join(last, by).withColumn("_gap", F.least("_gap", F.sqrt(g.dot(square, square)))).filter("_gap > 0").drop("cx", "cy", "cz"))
+        new = stored(left.groupBy(*by).agg(F.max_by(at, F.struct("_gap", -F.col("id"))).alias("m")).select(*by, F.lit(place).cast("long").alias("place"), "m.*"))
+        out = out.unionByName(new.select(*by, "place", "id"))
+    return out

@@ -455,15 +455,6 @@ def assignment_summary(s: SparkSession, d: str) -> DataFrame:
     return ownership.assignment_summary(v.select("id").join(two.select("id", "label"), "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label")))
 
 
-@query()
-def label_patches(s: SparkSession, d: str) -> DataFrame:
-    """Patches of one label over the edges of near vertices."""
-    from arborline.operators import ownership
-
-    v = vertices(s, d)
-    return ownership.patch_table(spatial.knn_graph(v, NEIGHBOURS).select("u", "v"), v.select("id", "label"))
-
-
 @query()
 def component_volumes(s: SparkSession, d: str) -> DataFrame:
     return rounded(mesh.component_volumes(faces(s, d), vertices(s, d)), 4)
@@ -522,20 +513,11 @@ def convex_hull(s: SparkSession, d: str) -> DataFrame:
     return rounded(_kernel(s, d, run, "depth double, width double, volume double"))
 
 
-@query()
-def landmarks(s: SparkSession, d: str) -> DataFrame:
-    def run(pdf):
-        import pandas as pd
-
-        from arborline.operators import kernels
-
-        pdf, p = _sorted(pdf)
-        return pd.DataFrame([(k, int(pdf["id"][i])) for k, i in enumerate(kernels.farthest_points(p, 8))], columns=["place", "id"])
-
-    return _kernel(s, d, run, "place long, id long")
-
-
-@query()
+@query("WITH RECURSIVE " + with_sql("vertices")[5:] + """, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY z DESC, id) AS k FROM vertices),
+st AS (SELECT label, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE, z DOUBLE)[]) AS kept FROM vertices GROUP BY label
+ UNION ALL SELECT st.label, r.k, CASE WHEN len(st.kept) < 10 AND len(list_filter(st.kept, lambda c: sqrt((c.x-r.x)*(c.x-r.x)+(c.y-r.y)*(c.y-r.y)+(c.z-r.z)*(c.z-r.z)) < 0.1)) = 0 THEN list_append(st.kept, {'id': r.id, 'x': r.x, 'y': r.y, 'z': r.z}) ELSE st.kept END FROM st JOIN r ON r.label = st.label AND r.k = st.k + 1),
+f AS (SELECT label, arg_max(kept, k) AS kept FROM st GROUP BY label)
+SELECT CAST(label AS INTEGER) AS label, CAST(i - 1 AS BIGINT) AS place, kept[i].id AS id FROM (SELECT label, kept, unnest(range(1, len(kept) + 1)) AS i FROM f)""")
 def distinct_top(s: SparkSession, d: str) -> DataFrame:
     """The highest vertices that keep a distance from each other."""
 
@@ -552,19 +534,6 @@ def distinct_top(s: SparkSession, d: str) -> DataFrame:
     return _kernel(s, d, run, "place long, id long")
 
 
-@query()
-def principal_axes(s: SparkSession, d: str) -> DataFrame:
-    def run(pdf):
-        import pandas as pd
-
-        from arborline.operators import kernels
-
-        _, p = _sorted(pdf)
-        return pd.DataFrame([tuple(map(float, kernels.principal_axes(p)[0]))], columns=["first", "second", "third"])
-
-    return rounded(_kernel(s, d, run, "first double, second double, third double"))
-
-
 @query()
 def greedy_selection(s: SparkSession, d: str) -> DataFrame:
     """Balls around the vertices of a specimen as candidates, selected by weighted greedy cover."""

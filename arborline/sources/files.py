@@ -35,30 +35,40 @@ def raw_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return f.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("sample_id"), "path", "content")
 
 
-def _rows(name: str, data: bytes, sample: str, part: str) -> Iterator[pd.DataFrame]:
+def _rows(name: str, data: bytes, sample: str, part: str, scalars: bool = False) -> Iterator[pd.DataFrame]:
     g = formats.read(name, data)
     values, names = (g.points, ["x", "y", "z"]) if part == "vertices" else (g.faces, ["a", "b", "c"])
     for k in range(0, len(values), CHUNK):
         v = values[k : k + CHUNK]
-        yield pd.DataFrame({"sample_id": sample, "vertex_id" if part == "vertices" else "face_id": np.arange(k, k + len(v)), **{c: v[:, i] for i, c in enumerate(names)}})
+        more = {"scalars": [dict(zip(g.extra, map(float, x))) for x in zip(*(c[k : k + CHUNK] for c in g.extra.values()))] if g.extra else [{}] * len(v)} if scalars else {}
+        yield pd.DataFrame({"sample_id": sample, "vertex_id" if part == "vertices" else "face_id": np.arange(k, k + len(v)), **{c: v[:, i] for i, c in enumerate(names)}, **more})
 
 
-def _decoded(files: DataFrame, part: str) -> DataFrame:
+def decode(files: DataFrame, part: str, scalars: bool = False) -> DataFrame:
+    """The vertices or faces of files (sample_id, path, content); with ``scalars``, vertices have a map of the file's further columns (labels).
+
+    Files that cannot be decoded give no rows; ``unreadable`` names them.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, data, sample in zip(batch["path"], batch["content"], batch["sample_id"]):
                 try:
-                    yield from _rows(name, bytes(data), sample, part)
+                    yield from _rows(name, bytes(data), sample, part, scalars)
                 except (ValueError, KeyError, IndexError):
                     continue
 
-    return files.mapInPandas(run, VERTICES if part == "vertices" else FACES)
+    return files.mapInPandas(run, (VERTICES + (", scalars map<string,double>" if scalars else "")) if part == "vertices" else FACES)
 
 
 def read_geometry(spark: SparkSession, path: str, pattern: str = "*") -> tuple[DataFrame, DataFrame]:
     """Vertices and faces of all files of a folder."""
     files = raw_files(spark, path, pattern)
-    return _decoded(files, "vertices"), _decoded(files, "faces")
+    return decode(files, "vertices"), decode(files, "faces")
+
+
+def read_labelled(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Vertices of all files of a folder with their further columns: sample_id, vertex_id, x, y, z, scalars."""
+    return decode(raw_files(spark, path, pattern), "vertices", scalars=True)
 
 
 def unreadable(spark: SparkSession, path: str) -> DataFrame:
