@@ -99,11 +99,11 @@ f AS (SELECT *, last_value(CASE WHEN radius IS NOT NULL THEN node_id END IGNORE
  WINDOW a AS (PARTITION BY root_id ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), c AS (PARTITION BY root_id ORDER BY node_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 h AS (SELECT root_id, node_id, coalesce(radius, bv + (av - bv) * (node_id - bp) / (ap - bp), bv, av) AS r FROM f),
 m AS (SELECT root_id, node_id, quantile_cont(r, 0.5) OVER (PARTITION BY root_id ORDER BY node_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS r FROM h)
-SELECT root_id, node_id, round(greatest(r, 0.5), 4) AS radius FROM m""")
+SELECT root_id, node_id, round(greatest(r, 0.5), 8) AS radius FROM m""")
 def parent_radius_profile(s: SparkSession, d: str) -> DataFrame:
     """Distances of supporting points by node (values by user and minute) as a radius profile."""
     e = table(s, d, "events").select(F.col("user_id").cast("long").alias("root_id"), F.minute("ts").alias("node_id"), F.col("value").cast("double").alias("distance"))
-    return rounded(ownership.parent_radii(e, 0.2, ["root_id"]), 4)
+    return rounded(ownership.parent_radii(e, 0.2, ["root_id"]), 8)
 
 
 @query("""WITH o AS (SELECT CAST(user_id AS BIGINT) AS root_id, CAST(extract(hour FROM ts) AS INTEGER) AS station, CAST(value AS DOUBLE) - 50 AS u, CAST(event_id % 101 AS DOUBLE) - 50 AS v FROM events),
