@@ -85,20 +85,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def running_sum(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """Adds ``name``, the sum of ``value`` over the rows of the same ``by`` up to a row (rows in ``order``, which must be unique).
+def running(df: DataFrame, by: list[str], order: list[str], value: str, name: str, kind: str = "sum") -> DataFrame:
+    """Adds ``name``, the sum (or with ``kind`` max the maximum) of ``value`` over the rows of the same ``by`` up to a row.
 
-    Rows are range partitioned by (by, order) and written, so that a key with very many rows lies in many parts; what the
-    parts before hold of a key comes from their sums, of which there is one per key and part. No window goes over a key.
+    Rows come in ``order``, which must be unique within ``by``. They are range partitioned by (by, order) and written, so
+    that a key with very many rows lies in many parts; what the parts before hold of a key comes from one row per key and
+    part. No window goes over a key. Null values count as nothing.
     """
+    total = F.sum if kind == "sum" else F.max
     n = partitions(df.sparkSession)
     parts = stored(df.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id()))
-    sums = parts.groupBy(*by, "_part").agg(F.sum(value).alias("_own"))
-    before = sums.withColumn("_past", F.sum("_own").over(W.partitionBy(*by).orderBy("_part")) - F.col("_own")).drop("_own")
-    within = parts.withColumn("_within", F.sum(value).over(W.partitionBy(*by, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    own = parts.groupBy(*by, "_part").agg(total(value).alias("_own"))
+    past = own.withColumn("_past", total("_own").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).drop("_own")
+    within = parts.withColumn("_within", total(value).over(W.partitionBy(*by, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "_part")]
-    out = within.alias("a").join(before.alias("b"), same)
-    return out.select("a.*", "b._past").withColumn(name, F.col("_past") + F.col("_within")).drop("_part", "_past", "_within")
+    both = F.coalesce(F.col("_past") + F.col("_within"), "_past", "_within") if kind == "sum" else F.greatest("_past", "_within")
+    return within.alias("a").join(past.alias("b"), same).select("a.*", "b._past").withColumn(name, both).drop("_part", "_past", "_within")
 
 
 def finite(value: Column | str) -> Column:

@@ -10,11 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from arborline.common import finite, running_sum
+from arborline.common import finite, running
 from arborline.functions import geometry as g
 
-METRICS = ("length", "mean_diameter")
-
 #: The states of a measurement.
 STATES = ("complete", "partial", "unavailable", "excluded")
 
@@ -64,9 +62,32 @@ def scope_summary(traits: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def status_counts(traits: DataFrame, by: list[str]) -> DataFrame:
-    """Roots per state of each metric: by, metric, complete, partial, unavailable, excluded, other."""
-    parts = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"{m}_measurement_status").alias("status")) for m in METRICS))
+def metrics_of(traits: DataFrame) -> list[str]:
+    """The metrics of a trait table: columns that have a state, an eligibility and a value."""
+    end = "_measurement_status"
+    return [c[: -len(end)] for c in traits.columns if c.endswith(end) and f"{c[: -len(end)]}_measurement_eligible" in traits.columns and c[: -len(end)] in traits.columns]
+
+
+def metric_rollup(traits: DataFrame, by: list[str], metrics: list[str] | None = None) -> DataFrame:
+    """Every metric of every scope in one pass: by, scope, metric, roots, eligible, total, mean, variation, p10, p50, p90, iqr.
+
+    ``metrics``: by default all that the table has. A scope without an eligible value of a metric has missing figures.
+    """
+    names = metrics_of(traits) if metrics is None else metrics
+    values = F.array(*(F.struct(F.lit(m).alias("metric"), eligible(m).alias("v")) for m in names))
+    t = with_scopes(traits.select(*by, "root_order", F.explode(values).alias("m")).select(*by, "root_order", "m.*"))
+    s = t.groupBy(*by, "scope", "metric").agg(
+        F.count("*").alias("roots"), F.count("v").alias("eligible"), F.sum("v").alias("total"), F.avg("v").alias("mean"), (F.stddev_samp("v") / F.avg("v")).alias("variation"),
+        F.percentile("v", F.array(*map(F.lit, (0.1, 0.5, 0.9, 0.25, 0.75)))).alias("p"),
+    )
+    e = lambda k: F.get("p", k)
+    return s.select(*by, "scope", "metric", "roots", "eligible", "total", "mean", "variation", e(0).alias("p10"), e(1).alias("p50"), e(2).alias("p90"), (e(4) - e(3)).alias("iqr"))
+
+
+def status_counts(traits: DataFrame, by: list[str], metrics: list[str] | None = None) -> DataFrame:
+    """Roots per state of each metric: by, metric, complete, partial, unavailable, excluded, other. ``metrics``: by default all that have a state."""
+    names = metrics or [c.removesuffix("_measurement_status") for c in traits.columns if c.endswith("_measurement_status")]
+    parts = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"{m}_measurement_status").alias("status")) for m in names))
     t = traits.select(*by, F.explode(parts).alias("m")).select(*by, "m.*")
     return t.groupBy(*by, "metric").agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATES), F.count_if(~F.coalesce(F.col("status").isin(*STATES), F.lit(False))).alias("other"))
 
@@ -120,7 +141,7 @@ def branch_gaps(branches: DataFrame, by: list[str], distinct: bool = False) -> D
 def distribution(traits: DataFrame, metric: str, by: list[str]) -> DataFrame:
     """The empirical distribution function: by, value, n, cumulative (share up to the value). A group with very many values is summed in ranges."""
     t = traits.select(*by, eligible(metric).alias("value")).filter("value is not null")
-    n = running_sum(t.groupBy(*by, "value").agg(F.count("*").alias("n")), by, ["value"], "n", "_up_to")
+    n = running(t.groupBy(*by, "value").agg(F.count("*").alias("n")), by, ["value"], "n", "_up_to")
     every = n.groupBy(*by).agg(F.sum("n").alias("_every"))
     same = [F.col(f"n.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by]
     return n.alias("n").join(every.alias("e"), same).select(*(f"n.{c}" for c in by), "value", "n", (F.col("_up_to") / F.col("_every")).alias("cumulative"))

@@ -7,6 +7,7 @@ sorted inside the kernels, since the rows of a group come in no order.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -45,18 +46,62 @@ class Grid:
         return near[np.linalg.norm(self.points[near] - p, axis=1) <= radius] if len(near) else near
 
 
+def _cells_of(points: np.ndarray, low: np.ndarray, width: float) -> tuple[np.ndarray, tuple[int, int]]:
+    """One number per cell; neighbours along the last axis are consecutive."""
+    c = np.floor((points - low) / width).astype(np.int64) + 1
+    span = c.max(axis=0) + 2
+    return (c[:, 0] * span[1] + c[:, 1]) * span[2] + c[:, 2], (int(span[1] * span[2]), int(span[2]))
+
+
 def nearest_neighbours(points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest others of each point (ties by position): indices and distances, block by block."""
+    """The k nearest others of each point (ties by position): indices and distances.
+
+    Points are sorted into cells that hold some k of them where any are; those of a cell look in the 27 cells around. A
+    point whose k nearest are no farther than a cell's width is done, since none nearer can lie outside; the others look
+    again in cells twice as wide. Time grows with the points, not with their square.
+    """
     n = len(points)
     k = min(k, max(0, n - 1))
     index, distance = np.empty((n, k), np.int64), np.empty((n, k))
-    square = (points**2).sum(1)
-    for a in range(0, n, 512):
-        d = square[a : a + 512, None] + square[None] - 2 * points[a : a + 512] @ points.T
-        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        index[a : a + 512] = near
-        distance[a : a + 512] = np.linalg.norm(points[a : a + 512, None] - points[near], axis=2)
+    if k == 0:
+        return index, distance
+    low, sides = points.min(axis=0), np.ptp(points, axis=0)
+    whole = float(max(sides.max(), 1e-12))
+    width = whole
+    while width > whole * 2**-19:
+        cell, _ = _cells_of(points, low, width / 2)
+        if n / len(np.unique(cell)) < k:
+            break
+        width /= 2
+    open_ = np.arange(n)
+    while len(open_):
+        cell, (sx, sy) = _cells_of(points, low, width)
+        order = np.argsort(cell, kind="stable")
+        keys, start = np.unique(cell[order], return_index=True)
+        stop = np.r_[start[1:], n]
+        asked = np.zeros(n, bool)
+        asked[open_] = True
+        rows = [x * sx + y * sy for x in (-1, 0, 1) for y in (-1, 0, 1)]
+        late = []
+        for key in np.unique(cell[open_]):
+            own = order[start[np.searchsorted(keys, key)] : stop[np.searchsorted(keys, key)]]
+            own = own[asked[own]]
+            at = np.searchsorted(keys, [key + r - 1 for r in rows]), np.searchsorted(keys, [key + r + 1 for r in rows], "right")
+            around = np.sort(np.concatenate([order[start[i] : stop[j - 1]] for i, j in zip(*at) if j > i]))
+            if len(around) <= k and width < whole:
+                late.append(own)
+                continue
+            for z in range(0, len(own), max(1, 4_000_000 // len(around))):
+                q = own[z : z + max(1, 4_000_000 // len(around))]
+                d = np.sqrt(((points[q, None] - points[around][None]) ** 2).sum(axis=2))
+                d[q[:, None] == around[None]] = np.inf
+                near = np.argsort(d, axis=1, kind="stable")[:, :k]
+                index[q], distance[q] = around[near], np.take_along_axis(d, near, 1)
+                short = distance[q, -1] > width
+                if width < whole and short.any():
+                    late.append(q[short])
+        open_ = np.concatenate(late) if late else np.zeros(0, np.int64)
+        width *= 2
     return index, distance
 
 
@@ -64,8 +109,8 @@ def neighbour_graph(points: np.ndarray, k: int = 14, radius: float | None = None
     """The symmetric graph of k nearest neighbours, optionally without edges beyond a radius."""
     index, distance = nearest_neighbours(points, k)
     graph: list[dict[int, float]] = [{} for _ in points]
-    for i in range(len(points)):
-        for j, d in zip(index[i].tolist(), distance[i].tolist()):
+    for i, (near, far) in enumerate(zip(index.tolist(), distance.tolist())):
+        for j, d in zip(near, far):
             if radius is None or d <= radius:
                 graph[i][j] = graph[j][i] = d
     return graph
@@ -267,19 +312,28 @@ def spread_out(points: np.ndarray, order: np.ndarray, count: int, separation: fl
 
 def greedy_cover(supports: list[set[int]], lengths: np.ndarray, spacing: float, penalty: float = 1.25, most: int | None = None) -> list[int]:
     """Weighted greedy cover: take the candidate of the greatest new support less ``penalty`` times its overlap, plus its
-    length terms, until none is worth more than nothing. Ties go to the first."""
+    length terms, until none is worth more than nothing. Ties go to the first.
+
+    A candidate's worth only falls as others are taken, so it is counted again only when it comes to the head of the queue.
+    """
     used: set[int] = set()
-    left, out = list(range(len(supports))), []
-    while left and (most is None or len(out) < most):
-        worth = []
-        for i in left:
-            new = len(supports[i] - used)
-            worth.append((new - penalty * (len(supports[i]) - new) + 10 * lengths[i] + 0.35 * lengths[i] / spacing) if new else -np.inf)
-        k = int(np.argmax(worth))
-        if worth[k] <= 0:
+    out: list[int] = []
+
+    def worth(i: int) -> float:
+        new = len(supports[i] - used)
+        return new - penalty * (len(supports[i]) - new) + 10 * lengths[i] + 0.35 * lengths[i] / spacing if new else -math.inf
+
+    queue = [(-worth(i), i, 0) for i in range(len(supports))]
+    heapq.heapify(queue)
+    while queue and (most is None or len(out) < most):
+        value, i, taken = heapq.heappop(queue)
+        if value >= 0:
             break
-        out.append(left.pop(k))
-        used |= supports[out[-1]]
+        if taken < len(out):
+            heapq.heappush(queue, (-worth(i), i, len(out)))
+            continue
+        out.append(i)
+        used |= supports[i]
     return out
 
 

@@ -123,6 +123,19 @@ def arc_window(nodes: DataFrame, window: float, anchor: str = "end", by: list[st
     return ends.select(*by, *((F.col(f"h{a}") - F.col(f"l{a}")).alias(f"w{a}") for a in "xyz"))
 
 
+def root_angles(nodes: DataFrame, window: float, parents: DataFrame | None = None, by: list[str] = BY) -> DataFrame:
+    """Directional angles in degrees: by, emergence, base_gravity, tip_gravity.
+
+    The direction at each end is that of ``arc_window``. Gravity is -z. ``parents``: by, px, py, pz, the parent's direction
+    where the root leaves it; without it, or without a direction, emergence is missing.
+    """
+    a, b = arc_window(nodes, window, "start", by), arc_window(nodes, window, "end", by)
+    out = a.select(*by, *(F.col(f"w{x}").alias(f"a{x}") for x in "xyz")).join(b.select(*by, *(F.col(f"w{x}").alias(f"b{x}") for x in "xyz")), by)
+    out = out.join(parents.select(*by, "px", "py", "pz"), by, "left") if parents is not None else out.select("*", *(F.lit(None).cast("double").alias(f"p{x}") for x in "xyz"))
+    down = [F.lit(0.0), F.lit(0.0), F.lit(-1.0)]
+    return out.select(*by, g.directed_angle(g.xyz("a"), g.xyz("p")).alias("emergence"), g.directed_angle(g.xyz("a"), down).alias("base_gravity"), g.directed_angle(g.xyz("b"), down).alias("tip_gravity"))
+
+
 def frusta(nodes: DataFrame, radius: str = "radius", by: list[str] = BY) -> DataFrame:
     """Lateral area and volume as cone sections between nodes that both have a radius; missing if there is none."""
     w = W.partitionBy(*by).orderBy("node_id")

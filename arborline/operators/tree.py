@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from arborline.common import normal_key, running_sum
+from arborline.common import normal_key, running, stored
 from arborline.functions import geometry as g
 from arborline.functions.text import stable_id
 from arborline.operators.hierarchy import current_links, hierarchies
@@ -60,13 +60,14 @@ def violations(roots: DataFrame) -> DataFrame:
 def prune(roots: DataFrame, offending: DataFrame) -> DataFrame:
     """The roots that are neither in ``offending`` (sample_id, root_id) nor below one: sample_id, root_id.
 
-    A root goes if an offender is on its path; paths are taken apart, so that no task sees a whole sample. Roots on and below
-    circles are left out.
+    A root goes if the interval of an offender in the Euler tour holds its own, that is, if of the offenders that begin
+    before it one ends after it: a running maximum along the tour. Roots on and below circles are left out.
     """
-    h = hierarchies(roots, paths=True).filter("kind = 'tree'").select("sample_id", "root_id", "path")
-    steps = h.select("sample_id", "root_id", F.explode("path").alias("step"))
-    gone = steps.join(offending.select("sample_id", F.col("root_id").alias("step")).distinct(), ["sample_id", "step"], "left_semi").select("sample_id", "root_id").distinct()
-    return h.select("sample_id", "root_id").join(gone, ["sample_id", "root_id"], "left_anti")
+    h = hierarchies(roots).filter("kind = 'tree'").select("sample_id", "root_id", F.col("top_root_id").alias("top"), "entry", "exit")
+    off = offending.select("sample_id", "root_id").distinct().withColumn("_off", F.lit(True))
+    t = h.join(off, ["sample_id", "root_id"], "left").withColumn("_ends", F.when(F.col("_off"), F.col("exit"))).drop("_off")
+    covered = running(t, ["sample_id", "top"], ["entry"], "_ends", "_covered", "max")
+    return covered.filter("_covered is null or _covered < exit").select("sample_id", "root_id")
 
 
 def numbered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -74,23 +75,25 @@ def numbered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
     The order must be unique within a key. Rows are numbered within ranges of (key, order), after the counts of the ranges before.
     """
-    return running_sum(df.withColumn("_one", F.lit(1).cast("long")), [key], order, "_one", "number").drop("_one")
+    return running(df.withColumn("_one", F.lit(1).cast("long")), [key], order, "_one", "number").drop("_one")
 
 
 def stable_ids(roots: DataFrame) -> DataFrame:
     """New ids ``root-o{order}-{number}`` under primary: sample_id, root_id, stable_id.
 
     Numbers count per order, in the order of (insertion_index, id) along the path from the top, so that siblings are
-    numbered by where they leave their parent; primary keeps its name.
+    numbered by where they leave their parent; primary keeps its name. That order is the one of an Euler tour in which
+    siblings are named by where they leave, so no path is taken apart.
     """
-    key = F.concat(F.lpad(F.coalesce(F.col("insertion_index").cast("string"), F.lit("9999999999")), 10, "0"), F.lit(":"), normal_key("root_id"))
-    now = roots.groupBy("sample_id", "root_id").agg(F.max(F.struct("recorded_at", "insertion_index")).alias("r")).select("sample_id", "root_id", F.col("r.insertion_index").alias("insertion_index"))
-    keys = now.select("sample_id", "root_id", key.alias("key"))
-    paths = hierarchies(roots, paths=True).filter((F.col("kind") == "tree") & (normal_key("top_root_id") == "primary"))
-    steps = paths.select("sample_id", "root_id", "depth", F.posexplode("path").alias("k", "step"))
-    named = steps.join(keys.select("sample_id", F.col("root_id").alias("step"), "key"), ["sample_id", "step"])
-    lines = named.groupBy("sample_id", "root_id", "depth").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "key"))), lambda s: s["key"]), "/").alias("line"))
-    return numbered(lines.withColumn("group", F.concat_ws("/", "sample_id", "depth")), "group", ["line", "root_id"]).select("sample_id", "root_id", F.when(F.col("depth") == 0, F.col("root_id")).otherwise(stable_id(F.col("depth"), F.col("number"))).alias("stable_id"))
+    now = roots.groupBy("sample_id", normal_key("root_id").alias("key")).agg(F.max(F.struct("recorded_at", "root_id", normal_key("parent_id").alias("parent_key"), "insertion_index")).alias("r"))
+    place = F.concat(F.lpad(F.coalesce(F.col("r.insertion_index").cast("string"), F.lit("9999999999")), 10, "0"), F.lit(":"), F.col("key"))
+    now = stored(now.filter("sample_id is not null and key is not null").select("sample_id", "key", "r.root_id", "r.parent_key", place.alias("place")))
+    up = now.select("sample_id", F.col("key").alias("parent_key"), F.col("place").alias("parent_place"))
+    named = now.join(up, ["sample_id", "parent_key"], "left").select("sample_id", F.col("place").alias("root_id"), F.col("parent_place").alias("parent_id"), F.lit(0).alias("root_order"), F.lit(0).alias("recorded_at"))
+    h = hierarchies(named).filter("kind = 'tree'").select("sample_id", F.col("root_id").alias("place"), "top_root_id", "depth", "entry")
+    h = h.join(now.select("sample_id", "place", "key", "root_id"), ["sample_id", "place"]).filter(F.expr("substring(top_root_id, 12)") == "primary")
+    out = numbered(h.withColumn("group", F.concat_ws("/", "sample_id", "depth")), "group", ["entry"])
+    return out.select("sample_id", "root_id", F.when(F.col("depth") == 0, F.col("root_id")).otherwise(stable_id(F.col("depth"), F.col("number"))).alias("stable_id"))
 
 
 def length_review(roots: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -402,7 +402,7 @@ def tree_violations(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_sql("current", "walk", "up", recursive=True) + _good + """, kk AS (SELECT sample_id, k, root_id, lpad(coalesce(CAST(insertion_index AS VARCHAR), '9999999999'), 10, '0') || ':' || k AS key FROM current),
-l AS (SELECT u.sample_id, u.k, max(u.links) AS depth, arg_max(u.here, u.links) AS top, string_agg(kk.key, '/' ORDER BY u.links DESC) AS line FROM up u JOIN good USING (sample_id, k) JOIN kk ON kk.sample_id = u.sample_id AND kk.k = u.here GROUP BY u.sample_id, u.k)
+l AS (SELECT u.sample_id, u.k, max(u.links) AS depth, arg_max(u.here, u.links) AS top, list(kk.key ORDER BY u.links DESC) AS line FROM up u JOIN good USING (sample_id, k) JOIN kk ON kk.sample_id = u.sample_id AND kk.k = u.here GROUP BY u.sample_id, u.k)
 SELECT l.sample_id, kk.root_id, CASE WHEN depth = 0 THEN kk.root_id ELSE format('root-o{}-{:03d}', depth, row_number() OVER (PARTITION BY l.sample_id, depth ORDER BY line, kk.root_id)) END AS stable_id FROM l JOIN kk ON kk.sample_id = l.sample_id AND kk.k = l.k WHERE top = 'primary'""")
 def stable_ids(s: SparkSession, d: str) -> DataFrame:
     return tree.stable_ids(table(s, d, "roots"))

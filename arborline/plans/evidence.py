@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from arborline.common import normal_key, table
 from arborline.functions import geometry as g
 from arborline.functions import text as tx
-from arborline.operators import mesh, ownership, polyline, spatial, tracing, tree
-from arborline.plans.catalogue import NEIGHBOURS, REACH, _owner_pieces, _pieces, rounded
-from arborline.plans.views import faces, nodes, vertices, with_sql
+from arborline.operators import architecture, mesh, ownership, polyline, spatial, tracing, tree
+from arborline.operators.hierarchy import current_links
+from arborline.plans.catalogue import NEIGHBOURS, REACH, WINDOW, _good, _owner_pieces, _pieces, _window, rounded
+from arborline.plans.views import faces, nodes, traits, vertices, with_sql
 from arborline.sources import files, guides
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,6 +152,30 @@ def root_trait_table(s: SparkSession, d: str) -> DataFrame:
     return t.select(*(F.round(c, digits.get(c, 4)).alias(c) if k == "double" else F.col(c) for c, k in t.dtypes))
 
 
+_starts = _window.replace("SELECT root_id, total - least(40.0, total * 0.25) AS low, total AS high", "SELECT root_id, CAST(0.0 AS DOUBLE) AS low, least(40.0, total * 0.25) AS high")
+
+
+def _angle(x: str, y: str, z: str) -> str:
+    n = f"sqrt(pow({x},2) + pow({y},2) + pow({z},2))"
+    return f"CASE WHEN {n} > 1e-12 THEN round(degrees(acos(greatest(-1.0, least(1.0, -({z}) / {n})))), 4) END"
+
+
+@query(_starts + "SELECT root_id, " + _angle("hx-lx", "hy-ly", "hz-lz") + " AS base_gravity, " + _angle("hx-lx", "hy-ly", "hz-lz") + " AS emergence FROM w WHERE hx IS NOT NULL")
+def root_angles(s: SparkSession, d: str) -> DataFrame:
+    """Angles at the base of each polyline, against gravity and against a parent that goes straight down."""
+    n = nodes(s, d)
+    down = n.select("root_id").distinct().select("root_id", F.lit(0.0).alias("px"), F.lit(0.0).alias("py"), F.lit(-1.0).alias("pz"))
+    return rounded(polyline.root_angles(n, WINDOW, down).select("root_id", "base_gravity", "emergence"), 4).filter("base_gravity is not null")
+
+
+@query(with_sql("latest") + """, sc AS (SELECT sample_id, el, ed, unnest(list_filter(['system', CASE WHEN root_order > 0 THEN 'laterals' END, CASE WHEN root_order IS NOT NULL THEN 'order_' || root_order END], lambda x: x IS NOT NULL)) AS scope FROM latest),
+m AS (SELECT sample_id, scope, 'length' AS metric, el AS v FROM sc UNION ALL SELECT sample_id, scope, 'mean_diameter', ed FROM sc)
+SELECT sample_id, scope, metric, count(*) AS roots, count(v) AS eligible, round(sum(v), 9) AS total, round(avg(v), 9) AS mean, round(stddev_samp(v) / avg(v), 9) AS variation, round(quantile_cont(v, 0.1), 9) AS p10, round(quantile_cont(v, 0.5), 9) AS p50, round(quantile_cont(v, 0.9), 9) AS p90, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 9) AS iqr FROM m GROUP BY ALL""")
+def metric_rollup(s: SparkSession, d: str) -> DataFrame:
+    t = traits(s, d, "root_order", "length", "length_measurement_status", "mean_diameter", "mean_diameter_measurement_status")
+    return rounded(architecture.metric_rollup(t, ["sample_id"]), 9)
+
+
 # Decisions
 
 
@@ -374,6 +399,17 @@ def labelled_mesh_file(s: SparkSession, d: str) -> DataFrame:
     return back.select("sample_id", "vertex_id", *(F.round(a, 9).alias(a) for a in "xyz"), F.col("scalars")["label"].alias("label"))
 
 
+@query(with_sql("current", "latest", "walk", "up", recursive=True) + _good + """ SELECT c.sample_id, c.k AS root_id, m.k AS parent_id, round(max(l.el), 6) AS length, CAST(2 AS BIGINT) AS points FROM current c JOIN good USING (sample_id, k) LEFT JOIN current m ON m.sample_id = c.sample_id AND m.k = c.p LEFT JOIN latest l ON l.sample_id = c.sample_id AND l.root_id = c.root_id GROUP BY ALL""")
+def root_documents(s: SparkSession, d: str) -> DataFrame:
+    """All hierarchies written as RSML documents with their lengths, and read again."""
+    links = current_links(table(s, d, "roots"))
+    t = traits(s, d, "length").select("sample_id", "root_id", architecture.eligible("length").alias("length"))
+    r = links.join(t, ["sample_id", "root_id"], "left").select("sample_id", F.col("key").alias("root_id"), F.col("parent_key").alias("parent_id"), "length")
+    ends = r.select("sample_id", "root_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("node_id"), F.lit(0.5).alias("x"), F.lit(0.0).alias("y"), F.lit(-1.5).alias("z"), F.lit(0.25).alias("radius"))
+    back = files.read_rsml(files.rsml_files(r, ends, ("length",)))
+    return back.filter(F.col("diameters") == F.array(F.lit(0.5), F.lit(0.5))).select("sample_id", "root_id", "parent_id", F.round(F.col("properties")["length"].cast("double"), 6).alias("length"), F.size("nodes").cast("long").alias("points"))
+
+
 @query(with_sql("vertices") + "SELECT 'all' AS sample_id, row_number() OVER (ORDER BY id) - 1 AS vertex_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM vertices")
 def point_text_file(s: SparkSession, d: str) -> DataFrame:
     """The vertices written as a text of coordinates and read again."""

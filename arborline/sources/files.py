@@ -167,10 +167,15 @@ def _number(value: float) -> str:
     return np.format_float_positional(float(value), trim="-")
 
 
-def rsml_files(roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One RSML document per sample: sample_id, content. Roots nest by parent; ``nodes``: sample_id, root_id, node_id, x, y, z."""
-    lines = nodes.groupBy("sample_id", "root_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "x", "y", "z"))).alias("line"))
-    rows = roots.select("sample_id", "root_id", "parent_id").join(lines, ["sample_id", "root_id"], "left")
+def rsml_files(roots: DataFrame, nodes: DataFrame, properties: tuple[str, ...] = ()) -> DataFrame:
+    """One RSML document per sample: sample_id, content. Roots nest by parent; ``nodes``: sample_id, root_id, node_id, x, y, z.
+
+    ``properties``: columns of ``roots`` that become properties of a root (missing values are left out). A column ``radius``
+    of the nodes becomes a function ``diameter`` along the polyline. Roots on circles have no place in a document.
+    """
+    radius = F.col("radius") if "radius" in nodes.columns else F.lit(None).cast("double")
+    lines = nodes.groupBy("sample_id", "root_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "x", "y", "z", radius.alias("r")))).alias("line"))
+    rows = roots.select("sample_id", "root_id", "parent_id", *properties).join(lines, ["sample_id", "root_id"], "left")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         children: dict = {}
@@ -184,8 +189,13 @@ def rsml_files(roots: DataFrame, nodes: DataFrame) -> DataFrame:
             if isinstance(r, str):
                 out.append(r)
                 continue
+            held = [(n, getattr(r, n)) for n in properties]
+            told = "".join(f"<{n} value={quoteattr(_number(v) if isinstance(v, float) else str(v))}/>" for n, v in held if v is not None and v == v)
+            told = f"<properties>{told}</properties>" if told else ""
+            widths = [p["r"] for p in (r.line if r.line is not None else []) if p["r"] is not None]
+            drawn = f'<functions><function name="diameter" domain="polyline">{"".join(f"<sample>{_number(2 * w)}</sample>" for w in widths)}</function></functions>' if widths else ""
             points = "".join(f'<point x="{_number(p["x"])}" y="{_number(p["y"])}" z="{_number(p["z"])}"/>' for p in (r.line if r.line is not None else []))
-            out.append(f"<root id={quoteattr(str(r.root_id))}><geometry><polyline>{points}</polyline></geometry>")
+            out.append(f"<root id={quoteattr(str(r.root_id))}>{told}<geometry><polyline>{points}</polyline></geometry>{drawn}")
             todo += ["</root>", *reversed(children.get(r.root_id, []))]
         out.append("</plant></scene></rsml>")
         return pd.DataFrame({"sample_id": [pdf["sample_id"].iloc[0]], "content": ["".join(out).encode()]})
@@ -193,6 +203,38 @@ def rsml_files(roots: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.groupBy("sample_id").applyInPandas(build, "sample_id string, content binary")
 
 
+def read_rsml(files: DataFrame) -> DataFrame:
+    """The roots of RSML documents (sample_id, content): sample_id, root_id, parent_id, properties, nodes (array of x, y, z), diameters.
+
+    Documents that are not XML give no rows.
+    """
+    from xml.etree import ElementTree
+
+    schema = "sample_id string, root_id string, parent_id string, properties map<string,string>, nodes array<struct<x:double,y:double,z:double>>, diameters array<double>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for sample, content in zip(batch["sample_id"], batch["content"]):
+                try:
+                    top = ElementTree.fromstring(bytes(content))
+                except ElementTree.ParseError:
+                    continue
+                todo = [(r, None) for p in top.iter("plant") for r in p.findall("root")]
+                while todo:
+                    r, parent = todo.pop()
+                    own = r.get("id")
+                    line = [{a: float(p.get(a)) for a in "xyz"} for p in r.findall("geometry/polyline/point")]
+                    rows.append((sample, own, parent, {p.tag: p.get("value") for q in r.findall("properties") for p in q}, line, [float(x.text) for x in r.findall("functions/function[@name='diameter']/sample")]))
+                    todo += [(c, own) for c in r.findall("root")]
+                if len(rows) >= CHUNK:
+                    yield pd.DataFrame(rows, columns=["sample_id", "root_id", "parent_id", "properties", "nodes", "diameters"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["sample_id", "root_id", "parent_id", "properties", "nodes", "diameters"])
+
+    return files.select("sample_id", "content").mapInPandas(run, schema)
+
+
 def hierarchy_json(roots: DataFrame) -> DataFrame:
     """Editable hierarchy rows as JSON text per root, with NaN as null: sample_id, root_id, document."""
     return roots.select("sample_id", "root_id", F.to_json(F.struct(F.lit("arborline.root-hierarchy/v1").alias("schema"), "root_id", "parent_id", "root_order", finite("confidence").alias("confidence"), "qc_flags"), {"ignoreNullFields": "false"}).alias("document"))

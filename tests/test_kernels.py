@@ -111,3 +111,45 @@ def test_radii(spark):
     assert s[0]["radius"] == pytest.approx(1) and s[1]["radius"] is None
     profile = spark.createDataFrame([("p", 0.0, 1.0), ("p", 1.0, 1.0), ("p", 3.0, 3.0)], "root string, arc double, radius double")
     assert own.arc_weighted_radius(profile, ["root"]).first()["radius"] == pytest.approx((1 + 2 * 2) / 3)
+
+
+@pytest.mark.parametrize("shape", ["even", "surface", "clusters", "copies", "line"])
+def test_neighbours_against_all_pairs(shape):
+    rng = np.random.default_rng(8)
+    p = {
+        "even": lambda: rng.random((700, 3)), "surface": lambda: np.c_[rng.random((700, 2)), np.zeros(700)], "clusters": lambda: np.r_[rng.normal(0, 1e-3, (400, 3)), rng.normal(5, 1, (300, 3))],
+        "copies": lambda: np.repeat(rng.random((30, 3)), 20, axis=0), "line": lambda: np.c_[np.arange(500.0), np.zeros((500, 2))],
+    }[shape]()
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    for n in (1, 6, 40):
+        index, distance = k.nearest_neighbours(p, n)
+        assert np.array_equal(index, np.argsort(d, axis=1, kind="stable")[:, :n]) and np.allclose(distance, np.sort(d, axis=1)[:, :n])
+    assert k.nearest_neighbours(p[:1], 3)[0].shape == (1, 0) and k.nearest_neighbours(p[:3], 9)[0].shape == (3, 2)
+
+
+def test_many_points_in_little_time():
+    import time
+
+    rng = np.random.default_rng(1)
+    turn, z = rng.uniform(0, 2 * np.pi, 100_000), rng.uniform(0, 30, 100_000)
+    p = np.c_[np.cos(turn), np.sin(turn), z]  # the surface of a tube
+    start = time.process_time()
+    k.nearest_neighbours(p, 14)
+    assert time.process_time() - start < 60
+
+
+def test_lazy_cover_equals_counting_again():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        supports = [set(rng.choice(60, rng.integers(0, 15)).tolist()) for _ in range(30)]
+        lengths = rng.random(30) * 0.2
+        used, left, want = set(), list(range(30)), []
+        while left:
+            worth = [(n := len(supports[i] - used)) and n - 1.25 * (len(supports[i]) - n) + 10 * lengths[i] + 0.35 * lengths[i] / 0.1 or -np.inf for i in left]
+            j = int(np.argmax(worth))
+            if worth[j] <= 0:
+                break
+            want.append(left.pop(j))
+            used |= supports[want[-1]]
+        assert k.greedy_cover(supports, lengths, 0.1) == want
