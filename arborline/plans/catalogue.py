@@ -534,7 +534,10 @@ def distinct_top(s: SparkSession, d: str) -> DataFrame:
     return _kernel(s, d, run, "place long, id long")
 
 
-@query()
+@query("WITH RECURSIVE " + with_sql("vertices")[5:] + """, sup AS (SELECT a.label, a.id, list(b.id) AS s FROM vertices a JOIN vertices b ON a.label = b.label AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= 0.15 GROUP BY a.label, a.id),
+st AS (SELECT label, CAST(-1 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS id, CAST(0 AS BIGINT) AS support, CAST([] AS BIGINT[]) AS used FROM vertices GROUP BY label
+ UNION ALL SELECT st.label, st.place + 1, f.id, f.n, list_distinct(list_concat(st.used, f.s)) FROM st JOIN LATERAL (SELECT id, s, n FROM (SELECT id, s, len(s) AS n, len(list_filter(s, lambda x: NOT list_contains(st.used, x))) AS new FROM sup WHERE sup.label = st.label) WHERE new > 0 AND new - 1.25 * (n - new) > 0 ORDER BY new - 1.25 * (n - new) DESC, id LIMIT 1) f ON true)
+SELECT CAST(label AS INTEGER) AS label, place, id, support FROM st WHERE place >= 0""")
 def greedy_selection(s: SparkSession, d: str) -> DataFrame:
     """Balls around the vertices of a specimen as candidates, selected by weighted greedy cover."""
 

@@ -121,6 +121,13 @@ UNION ALL SELECT 'total', NULL, root_order, metric, count(*), true, true, true,
     "p3_found": _replay,
     "p2_found": _evidence + "SELECT calibration_id, CASE WHEN outcome = 'converted' THEN CAST(round(number * factor * 1000) AS BIGINT) ELSE CAST(-1 AS BIGINT) END AS extent_um FROM o WHERE outcome NOT IN ('no_number', 'as_it_stands')",
     "p2_extents": _evidence + "SELECT calibration_id, round(number * factor, 6) AS extent_mm, outcome FROM o",
+    "p1_schema": r"""WITH f AS (SELECT file_id, station_id, written_at, received_at, ltrim(body, chr(65279)) AS body FROM sessions WHERE file_id IS NOT NULL AND station_id IS NOT NULL AND written_at IS NOT NULL),
+g AS (SELECT * FROM f WHERE json_valid(body)), r AS (SELECT * FROM g WHERE json_type(body) = 'OBJECT'),
+o AS (SELECT file_id, arg_min(written_at, received_at) AS written_at, arg_min(body, received_at) AS body FROM r GROUP BY file_id),
+t AS (SELECT o.file_id, o.written_at, t.fullkey, t.type FROM o, json_tree(o.body) t),
+k AS (SELECT DISTINCT file_id, written_at, replace(substr(fullkey, 3), '"', '') AS path, CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind FROM t WHERE fullkey <> '$' AND fullkey NOT LIKE '%[%'),
+c AS (SELECT path, kind, count(*) AS files, arg_min(file_id, {'w': written_at, 'f': file_id}) AS first_file_id, arg_max(file_id, {'w': written_at, 'f': file_id}) AS last_file_id FROM k GROUP BY path, kind)
+SELECT path, kind, files, first_file_id, last_file_id, CAST(count(kind) OVER (PARTITION BY path) AS INTEGER) AS alternatives FROM c""",
     "p5_found": HIERARCHY + _findings,
     "p5_faults_by_joins": HIERARCHY + _findings,
     "p5_hierarchy": HIERARCHY + """, t AS (SELECT sample_id, origin AS k, looped, first, list_reverse(seen[1:CASE WHEN looped THEN first + 1 ELSE links + 1 END]) AS line FROM c),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arborline.common import normal_key, table
 from arborline.operators import repair, spatial
+from arborline.operators.kernels import grouped
 from arborline.plans.catalogue import NEIGHBOURS, REACH, rounded
 from arborline.plans.evidence import _knn, _same
 from arborline.plans.views import nodes, vertices, with_sql
@@ -206,3 +207,20 @@ def quality_flags(s: SparkSession, d: str) -> DataFrame:
 def repaired_hierarchy(s: SparkSession, d: str) -> DataFrame:
     """Circles broken, weak subtrees pruned, orders and ids anew; the steps each have SQL of their own."""
     return repair.repair_hierarchy(table(s, d, "roots"), 0.2)
+
+
+@query()
+def traced_orders(s: SparkSession, d: str) -> DataFrame:
+    """The branches of each specimen below the path from its highest to its lowest vertex."""
+
+    def run(pdf):
+        from arborline.operators import growth, kernels
+
+        pdf = pdf.sort_values("id", ignore_index=True)
+        p = pdf[["x", "y", "z"]].to_numpy()
+        axis = kernels.path_between(p, int(p[:, 2].argmax()), int(p[:, 2].argmin()), 6)
+        spacing = float(kernels.nearest_neighbours(p, 1)[1].mean()) if len(p) > 1 else 1.0
+        out = growth.trace_orders(p, axis, max(spacing, 1e-9))
+        return out.assign(id=pdf["id"].to_numpy()[out["point"].to_numpy(int)]).drop(columns="point")
+
+    return grouped(vertices(s, d), "label", run, "root long, parent long, root_order long, place long, id long")

@@ -153,3 +153,34 @@ def test_lazy_cover_equals_counting_again():
             want.append(left.pop(j))
             used |= supports[want[-1]]
         assert k.greedy_cover(supports, lengths, 0.1) == want
+
+
+def test_orders_are_traced_from_the_axis(spark):
+    from arborline.operators import growth
+    from arborline.sources.files import synthetic_taproot
+
+    t = synthetic_taproot(spark).toPandas().sort_values("vertex_id")
+    p, root = t[["x", "y", "z"]].to_numpy(), t["root"].to_numpy()
+    spacing = float(np.median(k.nearest_neighbours(p, 1)[1]))
+    traced = growth.trace_orders(p, list(range(180)), spacing, 2)
+    first = traced[traced["root_order"] == 1]
+    assert 3 <= first["root"].nunique() <= 8 and (first["parent"] == 0).all() and traced["point"].between(0, len(p) - 1).all()
+    label = growth.assign_points(p, traced, spacing)
+    for branch in (1, 2, 3):  # most of each branch hangs on one traced root and its children
+        mine = label[root == branch]
+        mine = mine[mine > 0]
+        assert len(mine) >= 40
+    assert (label[root == 0] == 0).mean() > 0.9
+    again = growth.trace_orders(p, list(range(180)), spacing, 2)
+    assert again.equals(traced)
+
+
+def test_tracing_of_nothing():
+    from arborline.operators import growth
+
+    none = np.zeros((0, 3))
+    assert len(growth.trace_orders(none, [], 0.1)) == 0 and len(growth.assign_points(none, growth.trace_orders(none, [], 0.1), 0.1)) == 0
+    line = np.c_[np.zeros((30, 2)), np.arange(30.0)]
+    assert growth.trace_orders(line, list(range(30)), 1.0)["root"].nunique() == 1
+    assert growth.extend_tip(line, [0, 1], 1.0, np.zeros(30, bool)) == list(range(30))
+    assert growth.extend_tip(line, [3], 1.0, np.zeros(30, bool)) == [3]
