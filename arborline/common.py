@@ -86,20 +86,29 @@ def partitions(spark: SparkSession) -> int:
 
 
 def running(df: DataFrame, by: list[str], order: list[str], value: str, name: str, kind: str = "sum") -> DataFrame:
-    """Adds ``name``, the sum (or with ``kind`` max the maximum) of ``value`` over the rows of the same ``by`` up to a row.
+    """Adds ``name``: over the rows of the same ``by`` up to a row, the sum of ``value``, or with ``kind`` max the maximum, or last the last value there is.
 
-    Rows come in ``order``, which must be unique within ``by``. They are range partitioned by (by, order) and written, so
-    that a key with very many rows lies in many parts; what the parts before hold of a key comes from one row per key and
-    part. No window goes over a key. Null values count as nothing.
+    Rows come in ``order``, which must be unique within ``by`` among rows with a value. They are range partitioned by (by,
+    order) and written, so that a key with very many rows lies in many parts; what the parts before hold of a key comes
+    from one row per key and part. No window goes over a key. Null values count as nothing.
     """
-    total = F.sum if kind == "sum" else F.max
     n = partitions(df.sparkSession)
     parts = stored(df.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id()))
-    own = parts.groupBy(*by, "_part").agg(total(value).alias("_own"))
-    past = own.withColumn("_past", total("_own").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).drop("_own")
-    within = parts.withColumn("_within", total(value).over(W.partitionBy(*by, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    v = F.col(value)
+    if kind == "last":
+        total = F.max_by(v, F.when(v.isNotNull(), F.struct(*order)))
+        over = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    else:
+        total = F.sum(v) if kind == "sum" else F.max(v)
+        over = lambda c, w: (F.sum(c) if kind == "sum" else F.max(c)).over(w)
+    own = parts.groupBy(*by, "_part").agg(total.alias("_own"))
+    past = own.select(*by, "_part", over("_own", W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_past"))
+    within = parts.withColumn("_within", over(value, W.partitionBy(*by, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "_part")]
-    both = F.coalesce(F.col("_past") + F.col("_within"), "_past", "_within") if kind == "sum" else F.greatest("_past", "_within")
+    if kind == "sum":
+        both = F.coalesce(F.col("_past") + F.col("_within"), "_past", "_within")
+    else:
+        both = F.greatest("_past", "_within") if kind == "max" else F.coalesce("_within", "_past")
     return within.alias("a").join(past.alias("b"), same).select("a.*", "b._past").withColumn(name, both).drop("_part", "_past", "_within")
 
 

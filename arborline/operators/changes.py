@@ -9,12 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from arborline.common import normal_key, stored
-
-#: Probes of one removed row are spread over so many windows.
-SALTS = 8
+from arborline.common import normal_key, running, stored
 
 #: The time of the state before the log.
 BEFORE = -(2**62)
@@ -47,24 +43,19 @@ def in_force(ops: DataFrame, baselines: DataFrame) -> DataFrame:
     return per.filter(on).select("session_id", "operation_id", "a.*")
 
 
-def _first_after(probes: DataFrame, events: DataFrame, spread: Column) -> DataFrame:
-    """Adds ``d``, the time of the first event of (session_id, at) after ``t``; an as-of join as a union and a running window.
+def _first_after(probes: DataFrame, events: DataFrame) -> DataFrame:
+    """Adds ``d``, the time of the first event of (session_id, at) after ``t``; an as-of join as a union and a running value.
 
-    ``probes`` have session_id, at, t and further columns; ``events`` session_id, at, d. Probes of one key are spread
-    over SALTS windows, into each of which the key's events go.
+    ``probes`` have session_id, at, t and further columns; ``events`` session_id, at, d. The rows of one key, however many,
+    lie in ranges of time (see ``running``).
     """
     rest = [c for c in probes.columns if c not in ("session_id", "at", "t")]
-    left = probes.select("session_id", "at", F.col("t").alias("when"), F.lit(0).alias("event"), spread.alias("salt"), F.struct(F.col("t"), *rest).alias("p"), F.lit(None).cast("long").alias("d"))
-    right = events.select("session_id", "at", F.col("d").alias("when"), F.lit(1).alias("event"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(None).cast(left.schema["p"].dataType).alias("p"), F.col("d"))
-    w = W.partitionBy("session_id", "at", "salt").orderBy(F.desc("when"), "event").rowsBetween(W.unboundedPreceding, 0)
-    seen = left.unionByName(right).withColumn("next", F.last("d", ignorenulls=True).over(w))
+    left = probes.select("session_id", "at", (-F.col("t")).alias("before"), F.lit(0).alias("event"), F.struct(F.col("t"), *rest).alias("p"), F.lit(None).cast("long").alias("d"))
+    right = events.select("session_id", "at", (-F.col("d")).alias("before"), F.lit(1).alias("event"), F.lit(None).cast(left.schema["p"].dataType).alias("p"), F.col("d"))
+    seen = running(left.unionByName(right), ["session_id", "at"], ["before", "event"], "d", "next", "last")
     return seen.filter("event = 0").select("session_id", "at", "p.*", F.col("next").alias("d"))
 
 
-def _salt(*columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
-
-
 def replay(ops: DataFrame, label_map: DataFrame) -> DataFrame:
     """The tree of each session after its whole log: ``session_id, root_id, parent_id, last_operation_id``, all roots alive.
 
@@ -101,19 +92,18 @@ def replay(ops: DataFrame, label_map: DataFrame) -> DataFrame:
     )
 
     # Where a removal sends those that hang on the removed root: to the target of the merge, else to the root's last link before.
-    w = W.partitionBy("session_id", "root_id").orderBy("t").rowsBetween(W.unboundedPreceding, -1)
     both = writes.select("session_id", "root_id", "t", F.struct("t", "parent_id").alias("link"), none.alias("into"), F.lit(False).alias("removes")).unionByName(
         removals.select("session_id", "root_id", "t", F.lit(None).cast("struct<t:bigint,parent_id:string>").alias("link"), "into", F.lit(True).alias("removes"))
     )
-    sent = both.withColumn("before", F.last("link", ignorenulls=True).over(w)).filter("removes").select(
+    sent = running(both, ["session_id", "root_id"], ["t", "removes"], "link", "before", "last").filter("removes").select(
         "session_id", F.col("root_id").alias("gone_root"), F.col("t").alias("gone_t"),
         F.coalesce("into", "before.parent_id").alias("at"), F.when(F.col("into").isNotNull(), F.col("t")).otherwise(F.col("before.t")).alias("t"),
     )
     events = removals.select("session_id", F.col("root_id").alias("at"), F.col("t").alias("d"))
-    hops = stored(_first_after(sent, events, _salt("gone_root", "gone_t")))
+    hops = stored(_first_after(sent, events))
     hops = settle(hops)
 
-    held = _first_after(alive, events, _salt("root_id"))
+    held = _first_after(stored(alive), events)
     ends = hops.select("session_id", F.col("gone_root").alias("at"), F.col("gone_t").alias("d"), F.col("at").alias("end"))
     out = held.join(ends, ["session_id", "at", "d"], "left")
     return out.select("session_id", "root_id", F.when(F.col("d").isNull(), F.col("at")).otherwise(F.col("end")).alias("parent_id"), "last_operation_id")
