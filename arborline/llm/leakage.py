@@ -25,6 +25,9 @@ from arborline.llm.text import words
 #: Least number of running words of an item, and the greatest share of them that may be altered.
 RUN, ALTERED = 20, 1 / 7
 
+#: Words that a run has in common with the document at least: an altered word costs an edit each.
+LEAST_MATCHES = RUN - int(ALTERED * RUN)
+
 #: Words of a window, words between the starts of a document's windows.
 WINDOW, STRIDE = 16, 4
 
@@ -47,6 +50,9 @@ SIEVE, PIECE = 18, 250
 #: Greatest number of item words held by a Python worker at a time (some 400 bytes of index a word); more are looked for block by block.
 BLOCK_WORDS = 200_000
 
+#: Pairs of windows compared at a time (small enough for a processor's cache).
+CACHED = 4096
+
 #: Words of documents that a task takes together through the blocks of items.
 HOLD = 1_000_000
 
@@ -144,7 +150,8 @@ def _candidates(ix: Index, flat: np.ndarray, starts: np.ndarray) -> tuple[np.nda
             items.append(ix.windows[t][first + np.arange(n.sum())])
     if not docs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pair = np.unique(np.concatenate(docs) * len(ix.flat) + np.concatenate(items))
+    pair = np.sort(np.concatenate(docs) * len(ix.flat) + np.concatenate(items))
+    pair = pair[np.r_[True, pair[1:] != pair[:-1]]]
     return pair // len(ix.flat), pair % len(ix.flat)
 
 
@@ -152,14 +159,14 @@ def _near(ix: Index, flat: np.ndarray, d: np.ndarray, i: np.ndarray) -> np.ndarr
     """Whether at least NEAR words of the item's window stand within three words of their place in the document."""
     padded = np.concatenate([np.zeros(SHIFT, flat.dtype), flat, np.zeros(SHIFT, flat.dtype)])
     out = np.empty(len(d), bool)
-    for k in range(0, len(d), 100_000):
-        around = padded[d[k : k + 100_000, None] + np.arange(WINDOW + 2 * SHIFT)]
-        own = ix.flat[i[k : k + 100_000, None] + np.arange(WINDOW)]
+    for k in range(0, len(d), CACHED):
+        around = padded[d[k : k + CACHED, None] + np.arange(WINDOW + 2 * SHIFT)]
+        own = ix.flat[i[k : k + CACHED, None] + np.arange(WINDOW)]
         hit = own == around[:, SHIFT : SHIFT + WINDOW]
         for s in range(2 * SHIFT + 1):
             if s != SHIFT:
                 hit |= own == around[:, s : s + WINDOW]
-        out[k : k + 100_000] = hit.sum(axis=1) >= NEAR
+        out[k : k + CACHED] = hit.sum(axis=1, dtype=np.int8) >= NEAR
     return out
 
 
@@ -260,7 +267,10 @@ def _confirmed(ix: Index, doc: np.ndarray, item: int, starts: np.ndarray, at: np
             # The one alignment with the most matches is had cheaply; where it has no run, another one may.
             piece = stretch[k : k + 600]
             figures = ix.figure[own], ix.figure[piece]
-            if holds_run(runs_of(own, piece), *figures) or aligned_run(own, piece, *figures):
+            matches = runs_of(own, piece)
+            if len(matches) < LEAST_MATCHES:
+                continue  # no alignment has more
+            if holds_run(matches, *figures) or aligned_run(own, piece, *figures):
                 return True
     return False
 
