@@ -179,7 +179,7 @@ def _key(values: tuple) -> tuple:
 
 
 #: Rows that a task takes together before it sketches them, and bytes of sketches that it holds before it hands them on.
-HOLD_ROWS, HOLD_BYTES = 1_000_000, 128 << 20
+HOLD_ROWS, HOLD_BYTES = 300_000, 64 << 20
 
 
 def _sketch_rows(batches: Iterator[pd.DataFrame], groups: list[str]) -> Iterator[pd.DataFrame]:
