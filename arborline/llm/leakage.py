@@ -83,6 +83,18 @@ def has_figure(word: str) -> bool:
     return _DIGIT.search(word) is not None
 
 
+class _Unknown(dict):
+    """Numbers of words outside the vocabulary: 0, or for figures one of their own; each word is looked at once."""
+
+    def __init__(self, figure: int) -> None:
+        super().__init__()
+        self.figure = figure
+
+    def __missing__(self, word: str) -> int:
+        out = self[word] = self.figure if has_figure(word) else 0
+        return out
+
+
 def _codes(flat: np.ndarray, starts: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """The code of the window at each start: STEPS words, those beyond the window as -1."""
     out = np.empty((STEPS, len(starts)), np.int32)
@@ -251,6 +263,17 @@ def aligned_run(item: np.ndarray, doc: np.ndarray, item_figures: np.ndarray | No
     return False
 
 
+def _dense(item: np.ndarray, doc: np.ndarray) -> bool:
+    """Whether enough of the item's words stand close enough together for a run.
+
+    Of a run, some RUN running item words have at most the run's share of edits, so at least LEAST_MATCHES of them stand
+    in a stretch of RUN and as many more words as may have been put in.
+    """
+    width = RUN + int(ALTERED * RUN)
+    sums = np.r_[0, np.cumsum(np.isin(doc, item))]
+    return bool((sums[min(width, len(doc)) :] - sums[: len(sums) - min(width, len(doc))]).max() >= LEAST_MATCHES)
+
+
 def _confirmed(ix: Index, doc: np.ndarray, item: int, starts: np.ndarray, at: np.ndarray) -> bool:
     """Aligns the item with the stretch of the document around each cluster of candidate windows."""
     own = ix.flat[ix.offset[item] : ix.offset[item + 1]]
@@ -266,6 +289,8 @@ def _confirmed(ix: Index, doc: np.ndarray, item: int, starts: np.ndarray, at: np
         for k in range(0, max(1, len(stretch)), 400):
             # The one alignment with the most matches is had cheaply; where it has no run, another one may.
             piece = stretch[k : k + 600]
+            if not _dense(own, piece):
+                continue
             figures = ix.figure[own], ix.figure[piece]
             matches = runs_of(own, piece)
             if len(matches) < LEAST_MATCHES:
@@ -279,8 +304,9 @@ def search_batch(ix: Index, ids: list[int], texts: list[list[str]]) -> list[tupl
     """(document, item) of a batch of whole documents, given as their words."""
     pieces, spans, n = [], [], 0
     get, strange = ix.vocabulary.get, len(ix.vocabulary) + 1
+    other = _Unknown(strange).__getitem__
     for text in texts:
-        w = np.array([get(x) or (strange if has_figure(x) else 0) for x in text], np.int32)
+        w = np.array([get(x) or other(x) for x in text], np.int32)
         spans.append((n, n + len(w)))
         pieces += [w, np.zeros(WINDOW, np.int32)]
         n += len(w) + WINDOW
