@@ -310,7 +310,15 @@ def spread_out(points: np.ndarray, order: np.ndarray, count: int, separation: fl
     return out
 
 
-def greedy_cover(supports: list[set[int]], lengths: np.ndarray, spacing: float, penalty: float = 1.25, most: int | None = None) -> list[int]:
+# Fixed values that make results comparable with published ones. Cover: price of a point that is already covered, worth of
+# length as it stands and in spacings. Growth: weights of turn, density and distance; reach, least travel and passed progress in
+# steps, greatest turn in degrees, share of the old direction that is kept.
+OVERLAP, LENGTH, LENGTH_IN_SPACINGS = 1.25, 10.0, 0.35
+TURN, DENSITY, DISTANCE = 0.57, 0.20, 0.15
+REACH, TRAVEL, PASSED, WIDEST, KEPT = 2.2, 0.375, 0.29, 100.0, 0.75
+
+
+def greedy_cover(supports: list[set[int]], lengths: np.ndarray, spacing: float, penalty: float = OVERLAP, most: int | None = None) -> list[int]:
     """Weighted greedy cover: take the candidate of the greatest new support less ``penalty`` times its overlap, plus its
     length terms, until none is worth more than nothing. Ties go to the first.
 
@@ -321,7 +329,7 @@ def greedy_cover(supports: list[set[int]], lengths: np.ndarray, spacing: float,
 
     def worth(i: int) -> float:
         new = len(supports[i] - used)
-        return new - penalty * (len(supports[i]) - new) + 10 * lengths[i] + 0.35 * lengths[i] / spacing if new else -math.inf
+        return new - penalty * (len(supports[i]) - new) + LENGTH * lengths[i] + LENGTH_IN_SPACINGS * lengths[i] / spacing if new else -math.inf
 
     queue = [(-worth(i), i, 0) for i in range(len(supports))]
     heapq.heapify(queue)
@@ -378,36 +386,36 @@ def grow_path(points: np.ndarray, start: int, direction: np.ndarray, step: float
     Candidates lie within 2.2 steps at a turn of at most 100 degrees and at least 0.375 steps away; the score weighs turn,
     local density and distance; points passed (within 0.9 steps and not ahead) are not used again.
     """
-    grid = Grid(points, 2.2 * step)
+    grid = Grid(points, REACH * step)
     covered = np.zeros(len(points), bool) if blocked is None else blocked.copy()
     covered[start] = True
     path, d = [start], direction / max(np.linalg.norm(direction), 1e-12)
     for _ in range(steps):
         p = points[path[-1]]
-        near = grid.within(p, 2.2 * step)
+        near = grid.within(p, REACH * step)
         near = near[~covered[near]]
         v = points[near] - p
         far = np.linalg.norm(v, axis=1)
-        ok = far >= 0.375 * step
+        ok = far >= TRAVEL * step
         near, v, far = near[ok], v[ok], far[ok]
         if not len(near):
             break
         cosine = v @ d / far
-        ok = cosine >= np.cos(np.radians(100))
+        ok = cosine >= np.cos(np.radians(WIDEST))
         near, v, far, cosine = near[ok], v[ok], far[ok], cosine[ok]
         if not len(near):
             break
         dense = np.array([len(grid.within(points[i], 0.75 * step)) for i in near], float)
         spread = np.ptp(dense)
         dense = (dense - dense.min()) / spread if spread > 0 else np.full(len(dense), 0.5)
-        score = 0.57 * cosine + 0.20 * dense - 0.15 * np.abs(far - step) / step
+        score = TURN * cosine + DENSITY * dense - DISTANCE * np.abs(far - step) / step
         k = int(np.lexsort((near, -score))[0])
         axis = v[k] / far[k]
-        passed = grid.within(p, 0.9 * 2.2 * step)
-        covered[passed[(points[passed] - p) @ axis <= 0.29 * step]] = True
+        passed = grid.within(p, 0.9 * REACH * step)
+        covered[passed[(points[passed] - p) @ axis <= PASSED * step]] = True
         path.append(int(near[k]))
         covered[near[k]] = True
-        d = 0.75 * d + 0.25 * axis
+        d = KEPT * d + (1 - KEPT) * axis
         d /= max(np.linalg.norm(d), 1e-12)
     return path
 

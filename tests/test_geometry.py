@@ -17,8 +17,14 @@ def line(spark, points, root=1):
     return spark.createDataFrame([(root, i, *map(float, p)) for i, p in enumerate(points)], "root_id long, node_id long, x double, y double, z double")
 
 
-def tetrahedron(spark, faces=((0, 2, 1), (0, 1, 3), (0, 3, 2), (1, 2, 3)), shift=0.0):
-    v = [(i, p[0] + shift, p[1] + shift, p[2] + shift, i % 2) for i, p in enumerate([(0.0, 0.0, 0.0), (2.0, 0.0, 0.0), (0.0, 3.0, 0.0), (0.0, 0.0, 4.0)])]
+CORNERS = [(1.0, 1.0, 0.0), (4.0, 1.0, 1.0), (2.0, 5.0, 0.5), (1.5, 2.0, 6.0)]
+SIDES = ((0, 1, 3), (1, 2, 3), (2, 0, 3), (0, 2, 1))
+VOLUME = abs(np.linalg.det(np.diff([CORNERS[i] for i in (3, 0, 1, 2)], axis=0))) / 6
+AREA = sum(np.linalg.norm(np.cross(*(np.subtract(CORNERS[t[k]], CORNERS[t[0]]) for k in (1, 2)))) / 2 for t in SIDES)
+
+
+def tetrahedron(spark, faces=SIDES, shift=0.0):
+    v = [(i, p[0] + shift, p[1] + shift, p[2] + shift, i % 2) for i, p in enumerate(CORNERS)]
     return spark.createDataFrame(list(faces), "a long, b long, c long"), spark.createDataFrame(v, V)
 
 
@@ -56,20 +62,20 @@ def test_frusta_fill_and_intervals(spark):
 def test_closed_and_open_tetrahedron(spark):
     f, v = tetrahedron(spark)
     a = mesh.audit(f, v).first()
-    assert abs(a["signed_volume"]) == pytest.approx(4) and a["area"] == pytest.approx(13 + math.sqrt(244) / 2) and a["closed"]
+    assert abs(a["signed_volume"]) == pytest.approx(VOLUME) and a["area"] == pytest.approx(AREA) and a["closed"]
     assert mesh.origin_sensitivity(f, v).first()["spread"] == pytest.approx(0, abs=1e-12)
-    o, _ = tetrahedron(spark, ((0, 2, 1), (0, 1, 3), (0, 3, 2)))
+    o, _ = tetrahedron(spark, [t for t in SIDES if t != (1, 2, 3)])
     b = mesh.audit(o, v).first()
     assert b["boundary_edges"] == 3 and not b["closed"] and mesh.origin_sensitivity(o, v).first()["spread"] > 0
     far, w = tetrahedron(spark, shift=1e6)
-    assert mesh.component_volumes(far, w).first()["volume"] == pytest.approx(4, rel=1e-9)
+    assert mesh.component_volumes(far, w).first()["volume"] == pytest.approx(VOLUME, rel=1e-9)
     empty = f.limit(0)
     assert mesh.audit(empty, v).first()["faces"] == 0 and not mesh.audit(empty, v).first()["closed"]
 
 
 def test_owners_duplicates_and_weights(spark):
     f, v = tetrahedron(spark)
-    total = 13 + math.sqrt(244) / 2
+    total = AREA
     for mode in ("majority", "thirds"):
         assert sum(r["area"] for r in mesh.surface_by_owner(f, v, mode).collect()) == pytest.approx(total)
     assert sum(r["weight"] for r in mesh.vertex_weights(f, v).collect()) == pytest.approx(total)
@@ -82,8 +88,7 @@ def test_owners_duplicates_and_weights(spark):
 
 def test_seams(spark):
     soup = spark.createDataFrame([(3 * k, 3 * k + 1, 3 * k + 2) for k in range(4)], "a long, b long, c long")
-    p = [(0.0, 0.0, 0.0), (2.0, 0.0, 0.0), (0.0, 3.0, 0.0), (0.0, 0.0, 4.0)]
-    corners = [p[i] for t in ((0, 2, 1), (0, 1, 3), (0, 3, 2), (1, 2, 3)) for i in t]
+    corners = [CORNERS[i] for t in SIDES for i in t]
     v = spark.createDataFrame([(i, *c, 0) for i, c in enumerate(corners)], V)
     assert mesh.seam_index(soup, v).select("representative").distinct().count() == 4
     assert mesh.seam_index(soup.filter("a > 0"), v).filter("id <> representative").count() == 2  # only the corner that is still closed all around

@@ -3,14 +3,15 @@ import pytest
 
 from arborline.sources import files, formats
 
-P = np.array([[0.0, 0, 0], [2, 0, 0], [0, 3, 0], [0, 0, 4]])
-F4 = np.array([[0, 2, 1], [0, 1, 3], [0, 3, 2], [1, 2, 3]])
+# A skew wedge: a square pyramid without its base.
+P = np.array([[1.5, 0.25, 5.0], [-1.0, -1.0, 0.5], [1.0, -1.25, 0.0], [1.25, 1.0, -0.5], [-0.75, 1.5, 0.25]])
+F4 = np.array([[0, 1, 2], [0, 2, 3], [0, 3, 4], [0, 4, 1]])
 
 
 def test_round_trips():
-    g = formats.Geometry(P, F4, {"label": np.array([0, 3, -1, -2])})
+    g = formats.Geometry(P, F4, {"label": np.array([0, 3, -1, -2, 7])})
     back = formats.read_ply(formats.write_ply(g))
-    assert np.array_equal(back.points, P) and np.array_equal(back.faces, F4) and back.extra["label"].tolist() == [0, 3, -1, -2]
+    assert np.array_equal(back.points, P) and np.array_equal(back.faces, F4) and back.extra["label"].tolist() == [0, 3, -1, -2, 7]
     stl = formats.write_stl(g, "units=cm")
     assert formats.is_binary_stl(stl) and formats.header_text(stl) == "units=cm"
     soup = formats.read_stl(stl)
@@ -38,7 +39,7 @@ def test_folder(spark, tmp_path):
     (tmp_path / "bad.ply").write_bytes(b"nothing")
     (tmp_path / "empty.xyz").write_bytes(b"")
     v, f = files.read_geometry(spark, str(tmp_path))
-    assert {r["sample_id"]: r["count"] for r in v.groupBy("sample_id").count().collect()} == {"one": 4, "two": 12}
+    assert {r["sample_id"]: r["count"] for r in v.groupBy("sample_id").count().collect()} == {"one": 5, "two": 12}
     assert f.count() == 8 and files.unreadable(spark, str(tmp_path)).count() == 1
     assert [tuple(r) for r in files.declared_units(spark, str(tmp_path)).select("sample_id", "mm_per_unit").collect()] == [("two", 25.4)]
     assert files.check_mode("auto", f) == "triangle_mesh" and files.check_mode("auto", f.limit(0)) == "surface_points"
@@ -50,7 +51,7 @@ def test_folder(spark, tmp_path):
 def test_data_source(spark, tmp_path):
     (tmp_path / "one.ply").write_bytes(formats.write_ply(formats.Geometry(P, F4)))
     spark.dataSource.register(files.GeometrySource)
-    assert spark.read.format("geometry").load(str(tmp_path)).count() == 4
+    assert spark.read.format("geometry").load(str(tmp_path)).count() == 5
     assert spark.read.format("geometry").option("part", "faces").load(str(tmp_path)).count() == 4
 
 
