@@ -85,7 +85,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def running(df: DataFrame, by: list[str], order: list[str], value: str, name: str, kind: str = "sum") -> DataFrame:
+def running(df: DataFrame, by: list[str], order: list[str] | list[Column], value: str, name: str, kind: str = "sum") -> DataFrame:
     """Adds ``name``: over the rows of the same ``by`` up to a row, the sum of ``value``, or with ``kind`` max the maximum, or last the last value there is.
 
     Rows come in ``order``, which must be unique within ``by`` among rows with a value. They are range partitioned by (by,

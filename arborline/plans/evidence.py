@@ -394,8 +394,7 @@ def labelled_mesh_file(s: SparkSession, d: str) -> DataFrame:
     """The vertices written as a labelled PLY file and read again with their labels."""
     v = vertices(s, d).select(F.lit("all").alias("sample_id"), F.col("id").alias("vertex_id"), "x", "y", "z", "label")
     f = faces(s, d).select(F.lit("all").alias("sample_id"), F.monotonically_increasing_id().alias("face_id"), "a", "b", "c")
-    held = files.ply_files(v, f).select("sample_id", F.concat("sample_id", F.lit(".ply")).alias("path"), "content")
-    back = files.decode(held, "vertices", scalars=True)
+    back = files.decode_pieces(files.ply_pieces(v, f), "vertices", scalars=True)
     return back.select("sample_id", "vertex_id", *(F.round(a, 9).alias(a) for a in "xyz"), F.col("scalars")["label"].alias("label"))
 
 

@@ -1,7 +1,8 @@
 """Geometry files as tables, and tables as files.
 
 A folder of files is read by ``binaryFile`` and decoded file by file where it lies; one file is the least unit, as its
-bytes cannot be cut. Files that cannot be decoded give no rows but an entry in ``unreadable``.
+bytes cannot be cut. Files that cannot be decoded give no rows but an entry in ``unreadable``. PLY files made here also come
+in pieces of whole rows (``ply_pieces``, ``decode_pieces``), so that no task holds a file.
 """
 
 from __future__ import annotations
@@ -14,16 +15,19 @@ from xml.sax.saxutils import quoteattr
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from arborline.common import finite
+from arborline.common import finite, partitions, running, stored
 from arborline.operators.units import declared_word, unit_factor
 from arborline.sources import formats
 
 VERTICES = "sample_id string, vertex_id long, x double, y double, z double"
 FACES = "sample_id string, face_id long, a long, b long, c long"
+PIECES = "sample_id string, element int, piece long, rows long, content binary"
 
 #: Rows handed over at a time.
 CHUNK = 100_000
@@ -35,13 +39,16 @@ def raw_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return f.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("sample_id"), "path", "content")
 
 
-def _rows(name: str, data: bytes, sample: str, part: str, scalars: bool = False) -> Iterator[pd.DataFrame]:
-    g = formats.read(name, data)
+def _rows(g: formats.Geometry, sample: str, part: str, scalars: bool = False, first: int = 0) -> Iterator[pd.DataFrame]:
     values, names = (g.points, ["x", "y", "z"]) if part == "vertices" else (g.faces, ["a", "b", "c"])
     for k in range(0, len(values), CHUNK):
         v = values[k : k + CHUNK]
         more = {"scalars": [dict(zip(g.extra, map(float, x))) for x in zip(*(c[k : k + CHUNK] for c in g.extra.values()))] if g.extra else [{}] * len(v)} if scalars else {}
-        yield pd.DataFrame({"sample_id": sample, "vertex_id" if part == "vertices" else "face_id": np.arange(k, k + len(v)), **{c: v[:, i] for i, c in enumerate(names)}, **more})
+        yield pd.DataFrame({"sample_id": sample, "vertex_id" if part == "vertices" else "face_id": np.arange(first + k, first + k + len(v)), **{c: v[:, i] for i, c in enumerate(names)}, **more})
+
+
+def _schema(part: str, scalars: bool) -> str:
+    return (VERTICES + (", scalars map<string,double>" if scalars else "")) if part == "vertices" else FACES
 
 
 def decode(files: DataFrame, part: str, scalars: bool = False) -> DataFrame:
@@ -53,11 +60,11 @@ def decode(files: DataFrame, part: str, scalars: bool = False) -> DataFrame:
         for batch in batches:
             for name, data, sample in zip(batch["path"], batch["content"], batch["sample_id"]):
                 try:
-                    yield from _rows(name, bytes(data), sample, part, scalars)
+                    yield from _rows(formats.read(name, bytes(data)), sample, part, scalars)
                 except (ValueError, KeyError, IndexError):
                     continue
 
-    return files.mapInPandas(run, (VERTICES + (", scalars map<string,double>" if scalars else "")) if part == "vertices" else FACES)
+    return files.mapInPandas(run, _schema(part, scalars))
 
 
 def read_geometry(spark: SparkSession, path: str, pattern: str = "*") -> tuple[DataFrame, DataFrame]:
@@ -133,7 +140,7 @@ class _GeometryReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         path = partition.value
         with open(path, "rb") as f:
-            for part in _rows(path, f.read(), os.path.splitext(os.path.basename(path))[0], self.part):
+            for part in _rows(formats.read(path, f.read()), os.path.splitext(os.path.basename(path))[0], self.part):
                 yield from part.itertuples(index=False, name=None)
 
 
@@ -147,20 +154,87 @@ def synthetic_taproot(spark: SparkSession, axis: int = 180, laterals: int = 3, p
     return rows.select(F.col("id").alias("vertex_id"), F.col("root").cast("int").alias("root"), *((c + F.lit(noise) * F.randn(seed + k)).alias(a) for k, (a, c) in enumerate(at.items())))
 
 
+def ply_pieces(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """One labelled PLY file per sample, in pieces of whole rows: sample_id, element, piece, rows, content.
+
+    In the order of (element, piece) the pieces of a sample are the bytes of its file; element 0 is the header, 1 the
+    vertices by id, 2 the faces by id. ``vertices``: sample_id, vertex_id (unique in a sample), x, y, z, label; ``faces``:
+    sample_id, face_id, a, b, c (ids; faces with a corner that is not there are left out). No task holds a sample.
+    """
+    n = partitions(vertices.sparkSession)
+    v = vertices.select("sample_id", "vertex_id", "x", "y", "z", F.coalesce("label", F.lit(-1)).alias("label"), F.lit(1).alias("one"))
+    v = stored(running(v, ["sample_id"], [F.col("vertex_id").asc_nulls_last()], "one", "place").withColumn("place", F.col("place") - 1).drop("one"))
+    f = faces.select("sample_id", "face_id", "a", "b", "c")
+    for c in "abc":
+        at = v.select(F.col("sample_id").alias("_sample"), F.col("vertex_id").alias("_id"), F.col("place").alias(f"_{c}"))
+        f = f.join(at, F.col("sample_id").eqNullSafe(F.col("_sample")) & (F.col(c) == F.col("_id"))).drop("_sample", "_id", c)
+
+    def packed(rows: DataFrame, by: str, element: int) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            piece = TaskContext.get().partitionId() << 32
+            for batch in batches:
+                for sample, own in batch.groupby("sample_id", sort=False, dropna=False):
+                    for k in range(0, len(own), CHUNK):
+                        t = own.iloc[k : k + CHUNK]
+                        content = formats.ply_vertices(t[["x", "y", "z"]].to_numpy(), {"label": t["label"].to_numpy()}) if element == 1 else formats.ply_faces(t[["_a", "_b", "_c"]].to_numpy())
+                        yield pd.DataFrame({"sample_id": [None if pd.isna(sample) else sample], "element": [element], "piece": [piece], "rows": [len(t)], "content": [content]})
+                        piece += 1
+
+        order = ["sample_id", F.col(by).asc_nulls_last()]
+        return rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(run, PIECES)
+
+    body = stored(packed(v, "place", 1).unionByName(packed(f, "face_id", 2)))
+    rows = lambda k: F.sum(F.when(F.col("element") == k, F.col("rows")).otherwise(0))
+    text = F.format_string(formats.ply_head("%d", "%d", ["label"]).decode(), rows(1), rows(2))
+    head = body.groupBy("sample_id").agg(F.encode(text, "UTF-8").alias("content"))
+    return head.select("sample_id", F.lit(0).alias("element"), F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("rows"), "content").unionByName(body)
+
+
+def decode_pieces(pieces: DataFrame, part: str, scalars: bool = False) -> DataFrame:
+    """The vertices or faces of files in pieces (``ply_pieces``), as ``decode`` gives them.
+
+    All pieces are read, each by the header of its file. A file of which a piece cannot be read, or that has more or fewer
+    rows than its header says, gives no rows.
+    """
+    wanted = 1 if part == "vertices" else 2
+    head = stored(pieces.filter("element = 0").select(F.col("sample_id").alias("_sample"), F.col("content").alias("head")))
+    held = pieces.join(head, F.col("sample_id").eqNullSafe(F.col("_sample"))).drop("_sample")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for sample, element, piece, rows, content, top in zip(*(batch[c] for c in ("sample_id", "element", "piece", "rows", "content", "head"))):
+                try:
+                    if element == 0:
+                        out += [(sample, k, -1, -n) for k, n in enumerate(formats.ply_counts(bytes(top)), 1)]
+                    else:
+                        g = formats.read_ply_piece(bytes(top), element, rows, bytes(content))
+                        out.append((sample, element, piece, len(g.points) + len(g.faces)))
+                except (ValueError, KeyError, IndexError):
+                    out.append((sample, element, piece, None))
+            yield pd.DataFrame(out, columns=["sample_id", "element", "piece", "rows"]).astype({"rows": "Int64"})
+
+    found = stored(held.mapInPandas(read, "sample_id string, element int, piece long, rows long"))
+    bad = found.groupBy("sample_id", "element").agg(F.sum("rows").alias("n"), F.count(F.when(F.col("rows").isNull(), 1)).alias("unread")).filter("n <> 0 or unread > 0").select(F.col("sample_id").alias("_sample"))
+    w = W.partitionBy("sample_id").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)  # one row per piece
+    own = found.filter((F.col("element") == wanted) & (F.col("piece") >= 0)).select("sample_id", "piece", F.coalesce(F.sum("rows").over(w), F.lit(0)).alias("first"))
+    whole = stored(own.join(bad, F.col("sample_id").eqNullSafe(F.col("_sample")), "left_anti").select(F.col("sample_id").alias("_sample"), F.col("piece").alias("_piece"), "first"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for sample, rows, content, top, first in zip(*(batch[c] for c in ("sample_id", "rows", "content", "head", "first"))):
+                yield from _rows(formats.read_ply_piece(bytes(top), wanted, rows, bytes(content)), sample, part, scalars, first)
+
+    return held.filter(F.col("element") == wanted).join(whole, F.col("sample_id").eqNullSafe(F.col("_sample")) & (F.col("piece") == F.col("_piece"))).drop("_sample", "_piece").mapInPandas(run, _schema(part, scalars))
+
+
 def ply_files(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """One labelled PLY file per sample: sample_id, content. ``vertices``: sample_id, vertex_id, x, y, z, label; a sample must fit a task."""
-    v = vertices.select("sample_id", F.struct("vertex_id", "x", "y", "z", F.coalesce("label", F.lit(-1)).alias("label")).alias("v"))
-    f = faces.select("sample_id", F.struct("face_id", "a", "b", "c").alias("f"))
-
-    def pack(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        p = pd.DataFrame(left["v"].tolist()).sort_values("vertex_id")
-        place = pd.Series(np.arange(len(p)), index=p["vertex_id"])
-        t = pd.DataFrame(right["f"].tolist(), columns=["face_id", "a", "b", "c"]).sort_values("face_id")
-        t = t[t["a"].isin(place.index) & t["b"].isin(place.index) & t["c"].isin(place.index)]
-        corners = np.stack([place[t[c]].to_numpy() for c in "abc"], 1) if len(t) else None
-        return pd.DataFrame({"sample_id": [key[0]], "content": [formats.write_ply(formats.Geometry(p[["x", "y", "z"]].to_numpy(), corners, {"label": p["label"].to_numpy()}))]})
-
-    return v.groupBy("sample_id").cogroup(f.groupBy("sample_id")).applyInPandas(pack, "sample_id string, content binary")
+    """The files of ``ply_pieces`` as one row each: sample_id, content; a file must fit a task."""
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"sample_id": [pdf["sample_id"].iloc[0]], "content": [b"".join(map(bytes, pdf.sort_values(["element", "piece"])["content"]))]})
+
+    return ply_pieces(vertices, faces).groupBy("sample_id").applyInPandas(join, "sample_id string, content binary")
 
 
 def _number(value: float) -> str:
