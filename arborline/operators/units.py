@@ -3,7 +3,7 @@
 ``label_histories`` cuts the history of a sample into segments of equal unit by an exact penalised changepoint search on the
 logarithms; the levels are those of the known factors, which are the units of length and the factor with which a record
 says that it was calibrated. Each segment has the factor that reverses its shift. ``read_units`` reads what a record says
-of its own unit, which fixes the base of the levels and then confirms or overrules the segment record by record.
+of its own unit, which fixes the base of the levels and comes before the segment; the segment converts what it leaves open.
 """
 
 from __future__ import annotations
@@ -115,7 +115,10 @@ def convert_extents(calibrations: DataFrame) -> DataFrame:
     ``outcome``: as_it_stands, converted, no_evidence, no_unit (a word that names no unit of length), contradiction,
     no_number. Lengths of records that cannot be converted are null. Exact repeats count once.
     """
-    return _outcomes(read_units(calibrations)).drop("calibrated")
+    return _outcomes(read_units(calibrations)).drop("calibrated", *_CORNER)
+
+
+_CORNER = ("minimum_x", "minimum_y", "minimum_z")
 
 
 def _outcomes(r: DataFrame) -> DataFrame:
@@ -126,18 +129,20 @@ def _outcomes(r: DataFrame) -> DataFrame:
         .when(F.size("factors") == 0, "no_unit")
         .otherwise("contradiction")
     )
-    mm = {c: (finite(c) * F.col("factor")).alias(c + "_mm") for c in ("minimum_x", "minimum_y", "minimum_z")}
+    own = [finite(c).alias(c) for c in _CORNER]
+    mm = [(finite(c) * F.col("factor")).alias(c + "_mm") for c in _CORNER]
     mesh = finite("mm_per_mesh_unit")
-    return r.select("calibration_id", "sample_id", "recorded_at", "source", "number", "factor", F.when(mesh > 0, mesh).alias("calibrated"), (finite("number") * F.col("factor")).alias("extent_mm"), *mm.values(), outcome.alias("outcome"))
+    return r.select("calibration_id", "sample_id", "recorded_at", "source", "number", "factor", F.when(mesh > 0, mesh).alias("calibrated"), *own, (finite("number") * F.col("factor")).alias("extent_mm"), *mm, outcome.alias("outcome"))
 
 
 def convert_histories(calibrations: DataFrame) -> DataFrame:
-    """All records in millimetres by the segments of their histories, each checked against the record's own evidence.
+    """All records in millimetres, also those whose own evidence leaves the unit open, by the segments of their histories.
 
     The columns of ``convert_extents`` with ``history_factor`` and ``shift`` of the record's segment (``label_histories``).
     ``decided_by``: ``segment`` where the evidence names the factor of the segment, ``evidence`` where it names another
     (``overruled``) or the record has no positive number and so no history; null where it names none, contradicts itself or
-    is not there, so that the record cannot be converted. ``extent_mm`` and the corner use the factor that decides.
+    is not there, so that ``extent_mm`` is null. ``likely_factor`` is that of the evidence, else that of the segment;
+    ``likely_extent_mm`` and the ``likely_minimum`` columns are the lengths by it, null only without a number or both factors.
     """
     r = stored(_outcomes(read_units(calibrations)))
     measured = (F.col("number") > 0) & (F.col("number") < float("inf")) & F.col("sample_id").isNotNull()
@@ -147,21 +152,19 @@ def convert_histories(calibrations: DataFrame) -> DataFrame:
     agrees = F.abs(F.col("history_factor") - F.col("factor")) <= AGREE * F.col("factor")
     decided = F.when(F.col("factor").isNotNull(), F.when(F.coalesce(agrees, F.lit(False)), "segment").otherwise("evidence"))
     out = found.unionByName(rest).withColumn("decided_by", decided).withColumn("overruled", F.col("history_factor").isNotNull() & (F.col("decided_by") == "evidence"))
-    use = F.when(F.col("decided_by") == "segment", F.col("history_factor")).otherwise(F.col("factor"))
-    corner = {f"minimum_{x}_mm": F.col(f"minimum_{x}_mm") / F.col("factor") * use for x in "xyz"}
-    return out.withColumns({"extent_mm": finite("number") * use, **corner}).drop("calibrated")
+    likely = F.coalesce("factor", "history_factor")
+    lengths = {"likely_extent_mm": finite("number") * likely} | {f"likely_{c}_mm": F.col(c) * likely for c in _CORNER}
+    return out.withColumns({"likely_factor": likely, **lengths}).drop("calibrated", *_CORNER)
 
 
 def unit_cases(calibrations: DataFrame) -> DataFrame:
     """``calibration_id, extent_um`` of the records whose number is not in mm as it stands; -1 if it cannot be told.
 
-    Records come from the segments of their histories. Where the record's evidence confirms the segment its factor gives
-    the extent; a record that the evidence overrules, and one that has none, is what the evidence says.
+    A case is what the record says of itself. Histories have no say: where they name a unit that the record does not, the
+    case is still -1 (``convert_histories`` has the likely extent).
     """
-    r = convert_histories(calibrations).filter("outcome <> 'no_number'")
-    um = F.when(F.col("decided_by").isNotNull(), F.round(F.col("extent_mm") * 1000).cast("long"))
-    shifted = F.when(F.col("decided_by") == "segment", F.abs(F.col("history_factor") - 1) > AGREE).otherwise(F.col("outcome") != "as_it_stands")
-    return r.filter(shifted).select("calibration_id", F.coalesce(um, F.lit(-1).cast("long")).alias("extent_um"))
+    r = convert_extents(calibrations).filter("outcome not in ('no_number', 'as_it_stands')")
+    return r.select("calibration_id", F.coalesce(F.round(F.col("extent_mm") * 1000).cast("long"), F.lit(-1).cast("long")).alias("extent_um"))
 
 
 #: Spread of the logarithms (base e) within a unit, and the cost of a change of unit, for the changepoint search.

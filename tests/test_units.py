@@ -79,3 +79,19 @@ def test_calibrations_of_their_own_agree_over_blocks(spark, blocks):
     got = {r["calibration_id"]: r for r in units.unit_segments(records(spark, *given), blocks=blocks).collect()}
     assert [got[i]["unit_factor"] for i in range(40)] == [g["mm_per_mesh_unit"] for g in given]
     assert got[2]["shift"] == 1.0 and got[3]["shift"] == pytest.approx(0.47 / 32.08) and got[31]["shift"] == 1.0
+
+
+def test_segments_convert_what_the_evidence_leaves_open(spark):
+    given = [{"scale": 150.0, "declared_unit": "mm"}] * 4 + [{"scale": 15.0, "declared_unit": "cm"}] * 2
+    given += [{"scale": 15.01, "minimum_x": -2.0, "minimum_y": float("nan")}, {"scale": 15.02, "declared_unit": "cm", "mm_per_mesh_unit": 1.0}, {"scale": 15.03, "declared_unit": "px"}, {"scale": 15.04, "declared_unit": "inch", "minimum_x": -1.0}]
+    given += [{"scale": 0.0}, {"scale": 3.0, "sample_id": None, "declared_unit": "cm"}, {"scale": 3.0, "sample_id": None}, {}]
+    rows = {r["calibration_id"]: r for r in units.convert_histories(records(spark, *given)).collect()}
+    assert [rows[i]["outcome"] for i in (6, 7, 8)] == ["no_evidence", "contradiction", "no_unit"] and [rows[i]["extent_mm"] for i in (6, 7, 8)] == [None] * 3
+    assert [rows[i]["likely_extent_mm"] for i in range(10)] == pytest.approx([150.0] * 6 + [150.1, 150.2, 150.3, 15.04 * 25.4])
+    assert rows[6]["likely_minimum_x_mm"] == pytest.approx(-20.0) and rows[6]["likely_minimum_y_mm"] is None and rows[9]["likely_minimum_x_mm"] == pytest.approx(-25.4)
+    assert [rows[i]["likely_extent_mm"] for i in (10, 11, 12, 13)] == [None, 30.0, None, None]
+
+
+def test_cases_do_not_run_the_histories(spark, monkeypatch):
+    monkeypatch.delattr(units, "label_histories")
+    assert [tuple(r) for r in units.unit_cases(records(spark, {"scale": 5.0, "declared_unit": "cm"}, {"scale": 5.0})).orderBy("calibration_id").collect()] == [(0, 50_000), (1, -1)]
